@@ -7,7 +7,9 @@ inclusion probabilities along the null space of the constraints, here a source's
 documents, until a coordinate reaches 0 or 1, again and again; both totals stay as they are in every step, so
 at most two documents of a block are left undecided. Blocks have a bounded size; what they leave undecided is
 put together into new blocks, down to one per source. The landing decides its last two documents so that
-the tokens come closest.
+the tokens come closest. A long document would be among those last two, so documents of more than
+``GIANT`` times a source's mean are decided first, and the probability of all others makes up for the tokens
+by which the giants' landing missed.
 
 Null ids, null or unlisted sources and texts without tokens take no part; a target with a null or
 non-positive share, or without repeats, takes none. A target without documents can
@@ -27,6 +29,7 @@ from pagetrail.llm.tokens import VOCABULARY, token_sizes
 from pagetrail.plans.scratch import Scratch
 
 BLOCK = 2048
+GIANT = 4
 TINY = 1e-9
 
 
@@ -98,35 +101,32 @@ class Mixture:
         sizes = scratch.write(sizes.join(F.broadcast(wanted.select("source")), "source"), "sizes")
         have = sizes.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("docs"))
         plan = wanted.join(have, "source", "left").collect()  # one row a target
-        weight = sum(r.share for r in plan if r.have) or 1.0
-        self.total = min((r.most * r.have * weight / r.share for r in plan if r.have), default=0.0)
+        given = [r for r in plan if r.have]
         listed = sum(r.share for r in plan) or 1.0
-        rate = {r.source: self.total * r.share / weight / r.have for r in plan if r.have}
-        sizes_of = {r.source: r.docs for r in plan if r.have}
-        fields = "source string, base int, p double, blocks bigint"
+        weight = sum(r.share for r in given) or 1.0
+        self.total = min((r.most * r.have * weight / r.share for r in given), default=0.0)
         rates = []
-        for name, r in rate.items():
-            base = int(r + TINY)
-            rest = r - base
-            rates.append((name, base, rest if rest > TINY else 0.0, -(-sizes_of[name] // block)))
-        table = spark.createDataFrame(rates, fields)
+        for r in given:
+            rate = self.total * r.share / weight / r.have
+            base = int(rate + TINY)
+            rates.append((r.source, base, rate - base if rate - base > TINY else 0.0, -(-r.docs // block), GIANT * r.have / r.docs))
+        table = spark.createDataFrame(rates, "source string, base int, p double, blocks bigint, giant double")
+        most = max((r[3] for r in rates), default=1)
         units = sizes.join(F.broadcast(table), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
-        units = units.select("doc_id", "source", "tokens", "base", "p", "block")
-        whole, level = [units.filter("p = 0")], 0
-        todo = units.filter("p > 0")
-        most = max((b for *_, b in rates), default=1)
-        while True:
-            last = most == 1
-            flown = todo.groupBy("source", "block").applyInArrow(_flier(last, seed), units.schema)
-            flown = scratch.write(flown, f"level{level}")
-            whole.append(flown.filter("p = 0 or p = 1"))
-            if last:
-                break
-            todo = flown.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (block // 2)))
-            most, level = -(-most // (block // 2)), level + 1
-        rows = whole[0]
-        for part in whole[1:]:
-            rows = rows.unionByName(part)
+        sure, open_ = units.filter("p = 0"), units.filter("p > 0")
+        columns = ("doc_id", "source", "tokens", "base", "p", "block")
+        giants = self._decide(scratch, open_.filter("tokens > giant").select(*columns), most, block, seed, "giants")
+        missed = {r.source: r.n for r in giants.groupBy("source").agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).collect()}
+        rest = open_.filter("tokens <= giant")
+        totals = open_.groupBy("source").agg(F.sum(F.when(F.col("tokens") > F.col("giant"), F.col("tokens")).otherwise(0)).alias("giants"), F.sum("tokens").alias("all"))
+        shift = []
+        for t in totals.collect():  # one row a target
+            p = next(r[2] for r in rates if r[0] == t.source)
+            shift.append((t.source, (p * t.giants - missed.get(t.source, 0.0)) / max(t.all - t.giants, 1)))
+        moved = rest.join(F.broadcast(spark.createDataFrame(shift, "source string, shift double")), "source")
+        moved = moved.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift"))))
+        others = self._decide(scratch, moved.select(*columns), most, block, seed, "others")
+        rows = sure.select(*columns).unionByName(giants).unionByName(others)
         rows = rows.withColumn("copies", (F.col("base") + F.col("p")).cast("int")).filter("copies > 0")
         self.rows = scratch.write(rows.select("doc_id", "source", "tokens", "copies"), "rows")
         given = self.rows.groupBy("source").agg(
@@ -143,3 +143,20 @@ class Mixture:
             F.col("most").alias("max_repeats"),
             F.coalesce("repeats", F.lit(0)).alias("repeats"),
         )
+
+    @staticmethod
+    def _decide(scratch: Scratch, todo: DataFrame, most: int, block: int, seed: int, name: str) -> DataFrame:
+        """The units with p at 0 or 1: flights over blocks, then over what they leave undecided."""
+        schema, level, parts = todo.schema, 0, []
+        while True:
+            last = most == 1
+            flown = scratch.write(todo.groupBy("source", "block").applyInArrow(_flier(last, seed), schema), f"{name}{level}")
+            parts.append(flown.filter("p = 0 or p = 1"))
+            if last:
+                break
+            todo = flown.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (block // 2)))
+            most, level = -(-most // (block // 2)), level + 1
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
