@@ -179,25 +179,21 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     out.add(("address", m.start(), m.end()))
     before = -1
     for word in _CAPITAL.finditer(text):
-        start, w = word.start(), word[0]
-        follow = text[word.end() : word.end() + 2]
-        near = before >= 0 and start - before <= 3 and text[start - 1] in " \n" and "," not in text[before:start]
-        before = word.end()
-        single = len(w) == 1 and follow[:1] == "."
-        if single or follow[:1] in (" ", "\n", ","):
-            for k, pattern in enumerate(_NAMES):
-                if (k in (1, 3)) and not single and k == 1:
-                    continue
-                m = pattern.match(text, start)
-                if m is None:
-                    continue
-                if k == 1 or k == 3:
-                    out.add(("name", m.start(1), m.end(1)))
-                    continue
-                words = m[1].replace(",", " ").split()
-                lead = words[0] if k == 0 else words[1]
-                if is_given(lead) or (not near and _cue(text, start, "name")):
-                    out.add(("name", m.start(1), m.end(1)))
+        start, end = word.span()
+        near = 0 <= before >= start - 3 and text[start - 1] in " \n" and "," not in text[before:start]
+        before = end
+        follow = text[end : end + 3]
+        single = end - start == 1 and follow[:1] == "."
+        comma = follow[:1] == ","
+        if not single and not (follow[:1] in (" ", "\n", ",") and follow[1 + comma : 2 + comma].isupper()):
+            continue
+        for k in (1,) if single else (2, 3) if comma else (0,):
+            m = _NAMES[k].match(text, start)
+            if m is None:
+                continue
+            words = m[1].replace(",", " ").split()
+            if k in (1, 3) or is_given(words[0] if k == 0 else words[1]) or (not near and _cue(text, start, "name")):
+                out.add(("name", start, m.end(1)))
     return sorted(out, key=lambda c: (c[1], c[2], c[0]))
 
 
