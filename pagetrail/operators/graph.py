@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import wikitext as W
+from pagetrail.operators.search import Adjacency
+from pagetrail.plans.scratch import Scratch
 from pagetrail.sources.tables import distinct_links, edges_of
 
 
@@ -49,6 +51,7 @@ class LinkGraph:
         self.pages = pages.select("page_id", "title")
         self.links = links.select("from_page_id", "to_page_id", "title") if clean else distinct_links(links)
         self.edges = edges_of(self.links)
+        self._adjacency: Adjacency | None = None
         if residency is not Residency.NONE:
             self.edges = self.edges.persist(StorageLevel.MEMORY_AND_DISK)
             if residency is Residency.BACKGROUND:
@@ -69,6 +72,12 @@ class LinkGraph:
         self.pages.write.mode("errorifexists").parquet(f"{path}/pages")
         self.links.repartition("from_page_id").sortWithinPartitions("from_page_id", "to_page_id").write.mode("errorifexists").parquet(f"{path}/links")
 
+    def adjacency(self) -> Adjacency:
+        """Both directions of the edges, written once in their sort orders."""
+        if self._adjacency is None:
+            self._adjacency = Adjacency.stored(self.edges, Scratch(self.spark))
+        return self._adjacency
+
     # -- counts ----------------------------------------------------------------------------------
 
     def vertex_count(self) -> int:

@@ -4,7 +4,9 @@ Inside a layer the order in which a queue would visit vertices is the lexicograp
 so a vertex carries its smallest path instead of a place in a queue, and one minimum over a layer's
 expansions says where a sequential search would have stopped. The smaller fringe is expanded, forward on ties.
 
-A layer is one join of the fringe with the edges. The fringe's size is known from the step before; below
+A search begins on the driver: as long as all neighbours it has fetched are at most ``local_rows``, a layer is one
+lookup of the fringe in the adjacency, which is sorted so that most row groups are skipped. A search that
+needs more starts over as joins, with the same result. There a layer is one join of the fringe with the edges. The fringe's size is known from the step before; below
 ``BROADCAST_ROWS`` it is broadcast, so the edges are read once and not moved. Every layer is a written table.
 """
 
@@ -19,6 +21,58 @@ from pyspark.sql import functions as F
 from pagetrail.plans.scratch import Scratch
 
 BROADCAST_ROWS = 200_000
+#: So many neighbours may be fetched to the driver in one search.
+LOCAL_ROWS = 200_000
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Both directions of the edges as (v, w), v being where a step starts."""
+
+    forward: DataFrame
+    backward: DataFrame
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Adjacency:
+        return cls(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), edges.select(F.col("dst").alias("v"), F.col("src").alias("w")))
+
+    @classmethod
+    def stored(cls, edges: DataFrame, scratch: Scratch) -> Adjacency:
+        """Written in both sort orders, for lookups that skip most of the data."""
+        plain = cls.of(edges)
+        ranged = lambda df: df.repartitionByRange("v").sortWithinPartitions("v", "w")
+        return cls(scratch.write(ranged(plain.forward), "forward"), scratch.write(ranged(plain.backward), "backward"))
+
+
+def adjacency(edges: DataFrame | Adjacency) -> Adjacency:
+    return edges if isinstance(edges, Adjacency) else Adjacency.stored(edges, Scratch(edges.sparkSession))
+
+
+class _TooLarge(Exception):
+    pass
+
+
+class _Lookup:
+    """Neighbours of a fringe, fetched to the driver as long as the search stays within its rows."""
+
+    def __init__(self, near: Adjacency, rows: int):
+        self.near, self.left = near, rows
+
+    def __call__(self, ahead: bool, fringe: list[int]) -> dict[int, list[int]]:
+        table = self.near.forward if ahead else self.near.backward
+        if len(fringe) <= 1000:
+            found = table.filter(F.col("v").isin(fringe))
+        else:
+            ids = table.sparkSession.createDataFrame([(v,) for v in fringe], "v bigint")
+            found = table.join(F.broadcast(ids), "v")
+        rows = found.limit(self.left + 1).collect()
+        self.left -= len(rows)
+        if self.left < 0:
+            raise _TooLarge
+        out: dict[int, list[int]] = {v: [] for v in fringe}
+        for v, w in sorted(map(tuple, rows)):
+            out[v].append(w)
+        return out
 
 
 @dataclass(frozen=True)
@@ -33,6 +87,79 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _local_path(look: _Lookup, start: int, finish: int) -> tuple[list[int], int, int, int]:
+    parents: tuple[dict[int, int], dict[int, int]] = ({start: 0}, {finish: 0})
+    fringes = [[start], [finish]]
+    reached, expanded, crossed = 2, 0, 0
+    while all(fringes):
+        k = 0 if len(fringes[0]) <= len(fringes[1]) else 1
+        mine, other, new = parents[k], parents[1 - k], []
+        near = look(k == 0, fringes[k])
+        for v in fringes[k]:
+            expanded += 1
+            for w in near[v]:
+                crossed += 1
+                if w in other:
+                    halves = []
+                    for tree, at in zip((mine, other), (v, w)):
+                        half = []
+                        while at:
+                            half.append(at)
+                            at = tree[at]
+                        halves.append(half)
+                    path = halves[0][::-1] + halves[1]
+                    return (path if k == 0 else path[::-1]), reached, expanded, crossed
+                if w not in mine:
+                    mine[w] = v
+                    new.append(w)
+                    reached += 1
+        fringes[k] = new
+    return [], reached, expanded, crossed
+
+
+def _local_dag(look: _Lookup, start: int, finish: int, max_depth: int) -> tuple[list[tuple[int, int, int]] | None, int, int, int, int]:
+    """(edges with layers or None, path length, reached, expanded, crossed)."""
+    layers = ([{start}], [{finish}])
+    seen = ({start}, {finish})
+    links: list[list[dict[int, list[int]]]] = [[], []]
+    reached, expanded, crossed = 2, 0, 0
+    while layers[0][-1] and layers[1][-1]:
+        if len(layers[0]) + len(layers[1]) - 2 >= max_depth:
+            break
+        k = 0 if len(layers[0][-1]) <= len(layers[1][-1]) else 1
+        near = look(k == 0, sorted(layers[k][-1]))
+        links[k].append(near)
+        expanded += len(near)
+        crossed += sum(map(len, near.values()))
+        ends = set().union(*near.values()) if near else set()
+        new = ends - seen[0] - seen[1]
+        reached += len(new)
+        if ends & seen[1 - k]:
+            break
+        seen[k].update(new)
+        layers[k].append(new)
+    else:
+        return None, 0, reached, expanded, crossed
+    if not ends & seen[1 - k] if expanded else True:
+        return None, 0, reached, expanded, crossed
+    meet = {(v, w) for v, ws in near.items() for w in ws if w in seen[1 - k]}
+    if k == 1:
+        meet = {(w, v) for v, w in meet}
+    depth = len(layers[0]) - 1
+    edges = {(v, w, depth) for v, w in meet}
+    now = {v for v, _ in meet}
+    for d in range(depth - 1, -1, -1):
+        step = {(v, w, d) for v in layers[0][d] for w in links[0][d].get(v, ()) if w in now}
+        edges |= step
+        now = {v for v, _, _ in step}
+    now = {w for _, w in meet}
+    for i, d in enumerate(range(len(layers[1]) - 2, -1, -1)):
+        step = {(v, w, depth + 1 + i) for w in layers[1][d] for v in links[1][d].get(w, ()) if v in now}
+        edges |= step
+        now = {w for _, w, _ in step}
+    return sorted(edges), depth + len(layers[1]), reached, expanded, crossed
+
+
 class _Side:
     """One direction of the search: its edges as (v, w), its layers, its fringe."""
 
@@ -67,20 +194,25 @@ class _Side:
         self.sizes.append(written.count())
 
 
-def _sides(edges: DataFrame, scratch: Scratch, start: int, finish: int, with_path: bool) -> tuple[_Side, _Side]:
-    forward = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    backward = edges.select(F.col("dst").alias("v"), F.col("src").alias("w"))
-    return _Side(forward, scratch, "f", start, with_path), _Side(backward, scratch, "b", finish, with_path)
+def _sides(near: Adjacency, scratch: Scratch, start: int, finish: int, with_path: bool) -> tuple[_Side, _Side]:
+    return _Side(near.forward, scratch, "f", start, with_path), _Side(near.backward, scratch, "b", finish, with_path)
 
 
-def shortest_path(edges: DataFrame, start: int, finish: int) -> tuple[list[int], SearchStats]:
+def shortest_path(edges: DataFrame | Adjacency, start: int, finish: int, local_rows: int = LOCAL_ROWS) -> tuple[list[int], SearchStats]:
     """One shortest path as a list of page ids with both ends, [] when there is none, and the counters."""
     began = time.monotonic()
     ms = lambda: int((time.monotonic() - began) * 1000)
     if start == finish:
         return [start], SearchStats(1, 0, 0, ms())
-    scratch = Scratch(edges.sparkSession)
-    ahead, behind = _sides(edges, scratch, start, finish, True)
+    near = adjacency(edges)
+    if local_rows:
+        try:
+            path, *counts = _local_path(_Lookup(near, local_rows), start, finish)
+            return path, SearchStats(*counts, ms())
+        except _TooLarge:
+            pass
+    scratch = Scratch(near.forward.sparkSession)
+    ahead, behind = _sides(near, scratch, start, finish, True)
     reached, expanded, crossed = 2, 0, 0
     while ahead.size and behind.size:
         side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
@@ -115,7 +247,9 @@ class PathDag:
     length: int
 
 
-def shortest_path_dag(edges: DataFrame, start: int, finish: int, max_depth: int = 253) -> tuple[PathDag | None, SearchStats]:
+def shortest_path_dag(
+    edges: DataFrame | Adjacency, start: int, finish: int, max_depth: int = 253, local_rows: int = LOCAL_ROWS
+) -> tuple[PathDag | None, SearchStats]:
     """All shortest paths as a graph, None when there are none within ``max_depth`` edges, and the counters.
 
     The layer in which the sides meet is completed. Start and finish being the same gives a graph
@@ -123,12 +257,20 @@ def shortest_path_dag(edges: DataFrame, start: int, finish: int, max_depth: int
     """
     began = time.monotonic()
     ms = lambda: int((time.monotonic() - began) * 1000)
-    spark = edges.sparkSession
+    near = edges if isinstance(edges, Adjacency) or start == finish else adjacency(edges)
+    spark = near.forward.sparkSession if isinstance(near, Adjacency) else near.sparkSession
     shape = "src bigint, dst bigint, layer int"
     if start == finish:
         return PathDag(spark.createDataFrame([], shape), start, finish, 0), SearchStats(1, 0, 0, ms())
+    if local_rows:
+        try:
+            found, length, *counts = _local_dag(_Lookup(near, local_rows), start, finish, max_depth)
+            dag = None if found is None else PathDag(spark.createDataFrame(found, shape), start, finish, length)
+            return dag, SearchStats(*counts, ms())
+        except _TooLarge:
+            pass
     scratch = Scratch(spark)
-    ahead, behind = _sides(edges, scratch, start, finish, False)
+    ahead, behind = _sides(near, scratch, start, finish, False)
     reached, expanded, crossed = 2, 0, 0
     while ahead.size and behind.size:
         if len(ahead.layers) + len(behind.layers) - 2 >= max_depth:

@@ -28,7 +28,7 @@ def graph(spark: SparkSession, sf: str) -> LinkGraph:
 
 def _dag(spark: SparkSession, sf: str) -> AnnotatedDag:
     g = graph(spark, sf)
-    dag, _ = shortest_path_dag(g.edges, START, FINISH)
+    dag, _ = shortest_path_dag(g.adjacency(), START, FINISH)
     if dag is None:
         raise ValueError(f"no path from {START} to {FINISH}")
     return AnnotatedDag(g, dag)
@@ -198,17 +198,17 @@ def distance_pairs(spark, sf):
 
 
 def classic_path(spark, sf):
-    path, _ = shortest_path(graph(spark, sf).edges, START, FINISH)
+    path, _ = shortest_path(graph(spark, sf).adjacency(), START, FINISH)
     return spark.createDataFrame([(i, p) for i, p in enumerate(path)], "step int, page_id bigint")
 
 
 def classic_distance(spark, sf):
-    path, _ = shortest_path(graph(spark, sf).edges, START, FINISH)
+    path, _ = shortest_path(graph(spark, sf).adjacency(), START, FINISH)
     return spark.createDataFrame([(len(path) - 1,)], "distance int")
 
 
 def search_stats(spark, sf):
-    edges = graph(spark, sf).edges
+    edges = graph(spark, sf).adjacency()
     _, one = shortest_path(edges, START, FINISH)
     _, all_ = shortest_path_dag(edges, START, FINISH)
     rows = [(n, s.vertices_reached, s.vertices_expanded, s.edges_expanded) for n, s in (("path", one), ("dag", all_))]
