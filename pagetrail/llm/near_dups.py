@@ -2,14 +2,17 @@
 
 A record is the set of hashes of its runs of consecutive words. Two records with Jaccard similarity t or
 more share one of the first n - ceil(t n) + 1 hashes of either set under any fixed order, so records that
-share such a hash, and only those, meet in a tile. The order puts runs with a rare word first, which keeps
-tiles small; it is taken from counts over all records, and the result doesn't depend on it.
+share such a hash, and only those, meet in a tile. The order puts frequent runs last, which keeps tiles
+small; it is taken from counts over all records, and the result doesn't depend on it. The first common hash of two
+records lies early enough in both to leave room for the overlap they need, so its places bound the overlap too.
 
 Inside a tile records lie by size. Only records of the same or the adjoining size band, a band being a
 factor 1/t, can reach t, so each is compared with the following ones up to the end of its reach. A pair is
-first bounded from its two bitmaps: every hash toggles one of 256 bits, so the number of differing bits
-is at most the size of the symmetric difference, which bounds the overlap from above. What is left is
-decided by the exact intersection of the two sorted hash arrays.
+first bounded from its two bitmaps: every hash toggles one bit, so the number of differing bits
+is at most the size of the symmetric difference, which bounds the overlap from above. A bitmap has two to four bits for
+every hash; the wider one of a pair is folded to the width of the other. What is left is
+decided by the exact intersection of the two sorted hash arrays, made again from the two texts: compressed
+text is smaller to move than hashes, and only the texts of candidates move.
 
 Records whose words are the same in the same order are one class from the first shuffle on: they are
 combined before it where they meet in a task, and each tile sees a class once. So a third of all records
@@ -22,7 +25,6 @@ Ties in size or hash don't matter; repeated ids count as copies of one another a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,12 @@ from pagetrail.llm.groups import connected_groups
 from pagetrail.plans.scratch import Scratch, partitions
 
 WORD = re.compile(r"\w+")
-BITS = 256
-#: So many of the most frequent words order the runs; the others count as equally rare.
+#: The least and the largest width of a bitmap.
+BITS, MOST_BITS = 256, 1 << 16
+#: So many of the most frequent runs are ordered by frequency; the others count as equally rare.
 FREQUENT = 1 << 16
+#: Runs are counted in lots of so many; what a lot holds less than LOT_LEAST times is not frequent.
+LOT, LOT_LEAST = 2_000_000, 3
 #: Bits of the filter that spares texts without a candidate the second reading; a full filter spares none.
 FILTER_BITS = 1 << 23
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -55,124 +60,189 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def copy_hash(words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+class Runs:
+    """The distinct hashed runs of a batch of texts, all texts at once.
 
+    ``place``: where each text with enough words is in the batch; ``copy``: the hash of its word sequence;
+    ``n``: its number of distinct runs; ``owner`` and ``hashes``: the runs, sorted by owner and hash.
+    """
 
-class Runs:
-    """The distinct hashed runs of a batch of texts, with their rarity."""
-
-    def __init__(self, size: int, min_words: int, frequent: dict[int, int] | None = None):
-        self.size, self.min_words, self.frequent = size, min_words, frequent or {}
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def _word(self, word: str) -> tuple[int, int]:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        found = self.known[word] = (h, self.frequent.get(h - (1 << 63), 0))
-        return found
-
-    def of(self, texts: list[str | None]) -> list[tuple[int, list[str], np.ndarray, np.ndarray]]:
-        """(place, words, sorted distinct hashes, their rarity) of each text with enough words."""
-        out, known, word = [], self.known, self._word
+    def __init__(self, texts: list[str | None], size: int, min_words: int, known: dict[str, int]):
+        flat: list[int] = []
+        place, lengths = [], []
         for i, text in enumerate(texts):
             words = words_of(text)
-            if not words or len(words) < self.min_words:
-                continue
-            seen = np.array([known.get(w) or word(w) for w in words], dtype=np.uint64)
-            k = min(self.size, len(words))
-            m = len(words) - k + 1
-            h, rare = np.zeros(m, np.uint64), np.full(m, np.iinfo(np.uint64).max)
-            for j in range(k):
-                h += seen[j : j + m, 0] * _MIX[j % 5] + np.uint64(j // 5)
-                h = (h << np.uint64(13)) | (h >> np.uint64(51))
-                np.minimum(rare, seen[j : j + m, 1], out=rare)
-            h, first = np.unique(_finish(h), return_index=True)
-            out.append((i, words, h, rare[first]))
+            if words and len(words) >= min_words:
+                try:
+                    flat += [known[w] for w in words]
+                except KeyError:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    for w in words:
+                        if w not in known:
+                            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                    flat += [known[w] for w in words]
+                place.append(i)
+                lengths.append(len(words))
+        word = np.array(flat, np.uint64)
+        length = np.array(lengths, np.int64)
+        ends = np.cumsum(length)
+        starts = ends - length
+        self.place = place
+        self.copy = np.array([xxhash.xxh3_64_intdigest(word[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+        count = np.maximum(length - size + 1, 1)
+        owner = np.repeat(np.arange(len(place)), count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
+        h = np.zeros(len(owner), np.uint64)
+        for j in range(size):
+            inside = at + j < ends[owner]  # a text shorter than a run is one run
+            h += np.where(inside, word[np.minimum(at + j, len(word) - 1)] * _MIX[j % 5] + np.uint64(j // 5), np.uint64(0)) if len(word) else np.uint64(0)
+            h = (h << np.uint64(13)) | (h >> np.uint64(51))
+        h = _finish(h)
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
+        self.hashes, self.owner = h[once], owner[once]
+        self.n = np.bincount(self.owner, minlength=len(place)).astype(np.int64)
+
+
+def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+
+
+def widths(n: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), BITS, MOST_BITS)
+
+
+def signatures(runs: Runs) -> list[bytes]:
+    """A bitmap for each text, of the width its size asks for: every hash toggles one bit."""
+    width = widths(runs.n)
+    out: list[bytes] = [b""] * len(width)
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        local = np.full(len(width), -1)
+        for lo in range(0, len(mine), max(1, (1 << 24) // w)):
+            part = mine[lo : lo + max(1, (1 << 24) // w)]
+            local[:] = -1
+            local[part] = np.arange(len(part))
+            at = local[runs.owner]
+            take = at >= 0
+            bit = at[take] * w + (runs.hashes[take] & np.uint64(w - 1)).astype(np.int64)
+            odd = np.bincount(bit, minlength=len(part) * w).astype(np.uint8) & 1
+            rows = np.packbits(odd.reshape(-1, w), axis=1, bitorder="little")
+            for i, row in zip(part.tolist(), rows):
+                out[i] = row.tobytes()
+    return out
+
+
+class Bitmaps:
+    """The bitmaps of a tile's records by width; narrower ones are folded from wider ones when asked for."""
+
+    def __init__(self, n: np.ndarray, packed: list[bytes]):
+        self.width = widths(n)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        order = np.argsort(self.width, kind="stable")
+        for w in np.unique(self.width).tolist():
+            mine = order[np.searchsorted(self.width[order], w) : np.searchsorted(self.width[order], w, "right")]
+            row = np.full(len(n), -1)
+            row[mine] = np.arange(len(mine))
+            self.levels[w] = row, np.frombuffer(b"".join(packed[i] for i in mine.tolist()), np.uint64).reshape(len(mine), w // 64)
+
+    def _at(self, own: np.ndarray, w: int) -> np.ndarray:
+        """The bitmaps of records ``own``, all of width w or more, folded to w."""
+        out = np.empty((len(own), w // 64), np.uint64)
+        for level in np.unique(self.width[own]).tolist():
+            row, bits = self.levels[level]
+            mine = self.width[own] == level
+            found = bits[row[own[mine]]]
+            while found.shape[1] > w // 64:
+                half = found.shape[1] // 2
+                found = found[:, :half] ^ found[:, half:]
+            out[mine] = found
         return out
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At most the size of the symmetric difference of each pair."""
+        out = np.empty(len(a), np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            for part in np.array_split(np.flatnonzero(width == w), max(1, len(a) * w >> 28)):
+                out[part] = np.bitwise_count(self._at(a[part], w) ^ self._at(b[part], w)).sum(axis=1, dtype=np.int64)
+        return out
 
-def prefix_length(n: int, t: float) -> int:
-    return n - int(np.ceil(t * n - 1e-9)) + 1
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
-    bits = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
-
-
-def _first_pass(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (id, copy hash); kind 1: (word hash, count)."""
 
-    def rows(kind: int, a: list[int], b: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"]
-        )
+def _first_pass(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: (id, copy hash); kind 1: (frequent run, count)."""
 
-    count: Counter[str] = Counter()
+    def rows(kind: int, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
-    def flush() -> pa.RecordBatch:
-        words = list(count)
-        out = rows(1, [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words], list(count.values()))
-        count.clear()
-        return out
+    def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(lot), return_counts=True) if lot else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keep = n >= LOT_LEAST
+        return rows(1, h[keep].view(np.int64), n[keep])
 
+    known: dict[str, int] = {}
+    lot: list[np.ndarray] = []
     for batch in batches:
-        ids, copies = [], []
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            words = words_of(text)
-            if words and len(words) >= min_words and i is not None:
-                ids.append(i)
-                copies.append(copy_hash(words))
-                count.update(words)
-        yield rows(0, ids, copies)
-        if len(count) > 1_000_000:
-            yield flush()
-    yield flush()
+        batch = batch.filter(batch.column("id").is_valid())
+        runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
+        yield rows(0, batch.column("id").to_numpy()[runs.place], runs.copy)
+        lot.append(runs.hashes)
+        if sum(map(len, lot)) > LOT:
+            yield counted(lot)
+            lot = []
+    yield counted(lot)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int, buckets: int, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """One row per batch and bucket: the prefix hashes that fall there, and the records they come from."""
-    runs = Runs(size, min_words, frequent.value)
+    """One row per batch and bucket: the prefix hashes that fall there, their places, and the records they come from."""
+    known: dict[str, int] = {}
+    hot, times = frequent.value
     for batch in batches:
-        ids = batch.column("id").to_pylist()
-        seen: dict[int, int] = {}
-        docs, keys, owner = [], [], []
-        for i, words, h, rare in runs.of(batch.column("text").to_pylist()):
-            if ids[i] is None:
-                continue
-            copy = copy_hash(words)
-            if copy in seen:  # copies within a batch are one record from here on
-                docs[seen[copy]][0] = min(docs[seen[copy]][0], ids[i])
-                continue
-            seen[copy] = len(docs)
-            pick = h[np.lexsort((h, rare))[: prefix_length(len(h), t)]]
-            keys.append(pick)
-            owner.append(np.full(len(pick), len(docs), np.uint32))
-            docs.append([ids[i], copy, len(h), signature(h)])
-        if not docs:
+        batch = batch.filter(batch.column("id").is_valid())
+        runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
+        if not runs.place:
             continue
-        key, own = np.concatenate(keys), np.concatenate(owner)
-        bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-        table = np.array([d[:3] for d in docs], np.int64)
-        signs = np.stack([d[3] for d in docs])
-        out: list[list] = [[], [], [], [], []]
-        order = np.lexsort((key, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        ids = batch.column("id").to_numpy()[runs.place]
+        # copies within a batch are one record from here on, under their smallest id
+        order = np.lexsort((ids, runs.copy))
+        lead = np.r_[True, runs.copy[order][1:] != runs.copy[order][:-1]]
+        first = np.zeros(len(ids), bool)
+        first[order[lead]] = True
+        rare = np.zeros(len(runs.hashes), np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, runs.hashes), len(hot) - 1)
+            rare = np.where(hot[at] == runs.hashes, times[at], 0)
+        order = np.lexsort((runs.hashes, rare, runs.owner))
+        own = runs.owner[order]
+        spot = np.arange(len(own)) - (np.cumsum(runs.n) - runs.n)[own]
+        keep = first[own] & (spot < prefix_length(runs.n, t)[own])
+        key, own, spot = runs.hashes[order][keep], own[keep], spot[keep]
+        signs = signatures(runs)
+        table = np.stack([ids, runs.copy, runs.n], axis=1)
+        bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out: list[list] = [[] for _ in range(6)]
         for b in range(buckets):
             at = order[bounds[b] : bounds[b + 1]]
             if len(at):
                 used, local = np.unique(own[at], return_inverse=True)
-                for column, value in zip(out, (b, key[at], local.astype(np.uint32), table[used], signs[used])):
-                    column.append(value if isinstance(value, int) else value.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["bucket", "hashes", "owners", "docs", "signs"]
-        )
+                blobs = (key[at].astype(np.uint32), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.minimum(spot[at], 65_535).astype(np.uint16), table[used])
+                out[0].append(b)
+                for column, value in zip(out[1:], blobs):
+                    column.append(value.tobytes())
+                out[5].append(b"".join(signs[i] for i in used.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=list(_BLOBS))
+
 
+#: The low 32 bits of a hash stand for it inside a bucket; a chance agreement costs one comparison.
+_BLOBS = ("bucket", "hashes", "owners", "spots", "docs", "signs")
 
-def _compare(key: np.ndarray, n: np.ndarray, sign: np.ndarray, ids: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Pairs of records of one tile that the bitmap bound can't exclude; rows come sorted by (key, n)."""
+
+def _compare(key: np.ndarray, spot: np.ndarray, n: np.ndarray, own: np.ndarray, maps: Bitmaps, ids: np.ndarray, t: float) -> Iterator[np.ndarray]:
+    """Pairs of records of one tile that no bound excludes; rows come sorted by (key, n)."""
     alive = np.arange(len(key) - 1)
     step = 1
     while len(alive):
@@ -182,10 +252,10 @@ def _compare(key: np.ndarray, n: np.ndarray, sign: np.ndarray, ids: np.ndarray,
         alive, other = alive[near], other[near]  # sizes ascend: what is out of reach stays out of reach
         for lo in range(0, len(alive), 1 << 16):
             a, b = alive[lo : lo + (1 << 16)], other[lo : lo + (1 << 16)]
-            apart = np.bitwise_count(sign[a] ^ sign[b]).sum(axis=1, dtype=np.int64)
-            total = n[a] + n[b]
-            most = (total - apart) // 2
-            keep = most * (1 + t) >= t * total - 1e-9
+            need = t * (n[a] + n[b]) - 1e-9
+            room = np.minimum(n[a] - spot[a], n[b] - spot[b]) * (1 + t) >= need
+            a, b, need = a[room], b[room], need[room]
+            keep = ((n[a] + n[b] - maps.apart(own[a], own[b])) // 2) * (1 + t) >= need
             if keep.any():
                 yield np.sort(np.stack([ids[a[keep]], ids[b[keep]]], axis=1), axis=1)
         step += 1
@@ -194,36 +264,44 @@ def _compare(key: np.ndarray, n: np.ndarray, sign: np.ndarray, ids: np.ndarray,
 def _tiles(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     parts: dict[int, list] = {}
     for batch in batches:
-        for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "owners", "docs", "signs"))):
+        for b, *blobs in zip(*(batch.column(c).to_pylist() for c in _BLOBS)):
             parts.setdefault(b, []).append(blobs)
     for blobs in parts.values():
-        keys, owners, docs, signs, base = [], [], [], [], 0
-        for hashes, own, table, sign in blobs:
-            keys.append(np.frombuffer(hashes, np.uint64))
-            owners.append(np.frombuffer(own, np.uint32).astype(np.int64) + base)
+        keys, owners, spots, docs, signs, base = [], [], [], [], [], 0
+        for hashes, own, spot, table, sign in blobs:
+            keys.append(np.frombuffer(hashes, np.uint32))
+            owners.append(np.frombuffer(own, np.uint16 if 2 * len(keys[-1]) == len(own) else np.uint32).astype(np.int64) + base)
+            spots.append(np.frombuffer(spot, np.uint16).astype(np.int64))
             docs.append(np.frombuffer(table, np.int64).reshape(-1, 3))
-            signs.append(np.frombuffer(sign, np.uint64).reshape(-1, BITS // 64))
+            at = 0
+            for w in (widths(docs[-1][:, 2]) // 8).tolist():
+                signs.append(sign[at : at + w])
+                at += w
             base += len(docs[-1])
-        key, own, table, sign = np.concatenate(keys), np.concatenate(owners), np.concatenate(docs), np.concatenate(signs)
+        blobs.clear()
+        key, own, spot, table = (np.concatenate(x) for x in (keys, owners, spots, docs))
         order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
+        key, own, spot = key[order], own[order], spot[order]
         shared = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
         shared[1:] |= same
         shared[:-1] |= same
-        key, own = key[shared], own[shared]
+        key, own, spot = key[shared], own[shared], spot[shared]
+        if not len(key):
+            continue
         # a class of copies shows all its hashes here, so its smallest id stands for it everywhere
         by_copy = np.lexsort((table[:, 0], table[:, 1]))
-        lead = np.r_[True, table[by_copy[1:], 1] != table[by_copy[:-1], 1]] if len(by_copy) else np.zeros(0, bool)
+        lead = np.r_[True, table[by_copy[1:], 1] != table[by_copy[:-1], 1]]
         rep = np.empty(len(table), np.int64)
         rep[by_copy] = by_copy[np.maximum.accumulate(np.where(lead, np.arange(len(by_copy)), 0))]
         own = rep[own]
         order = np.lexsort((own, table[own, 2], key))
-        key, own = key[order], own[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])] if len(key) else np.zeros(0, bool)
-        key, own = key[once], own[once]
+        key, own, spot = key[order], own[order], spot[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        key, own, spot = key[once], own[once], spot[once]
         found: list[np.ndarray] = []
-        for pairs in _compare(key, table[own, 2], sign[own], table[own, 0], t):
+        maps = Bitmaps(table[:, 2], signs)
+        for pairs in _compare(key, spot, table[own, 2], own, maps, table[own, 0], t):
             found.append(pairs)
             if sum(map(len, found)) > 1_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
@@ -238,28 +316,28 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], size: int, min_words: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, sorted hashes) of the records that the filter lets through."""
-    runs = Runs(size, min_words)
+def _wanted(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(id, text) of the records that the filter lets through."""
     for batch in batches:
-        near = wanted.value[batch.column("slot").to_numpy()]
-        batch = batch.filter(pa.array(near))
-        ids = batch.column("id").to_pylist()
-        found = runs.of(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([h.tobytes() for _, _, h, _ in found], pa.binary())], names=["id", "hashes"]
-        )
+        yield batch.select(["id", "text"]).filter(pa.array(wanted.value[batch.column("slot").to_numpy()]))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], size: int, t: float) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
+        _, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        texts = batch.column("ta").to_pylist() + batch.column("tb").to_pylist()
+        runs = Runs([texts[i] for i in first.tolist()], size, 1, known)
+        ends = np.cumsum(runs.n)
         keep = []
-        for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for i, j in zip(*np.split(back.reshape(-1), 2)):
+            x, y = runs.hashes[ends[i] - runs.n[i] : ends[i]], runs.hashes[ends[j] - runs.n[j] : ends[j]]
             if len(x) > len(y):
                 x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             keep.append(both >= t * (len(x) + len(y) - both) - 1e-9)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -271,16 +349,17 @@ class NearDuplicates:
         """``docs``: id BIGINT and text STRING; ids are taken to be unique, other columns are ignored."""
         spark = docs.sparkSession
         self.scratch = scratch = Scratch(spark)
-        docs = docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-        first = scratch.write(docs.mapInArrow(lambda it: _first_pass(it, min_words), "kind int, a bigint, b bigint"), "first")
+        docs = docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
+        first = scratch.write(docs.mapInArrow(lambda it: _first_pass(it, size, min_words), "kind int, a bigint, b bigint"), "first")
         copies = first.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("copy"))
         leads = copies.groupBy("copy").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
         self.classes = copies.join(leads, "copy").select("id", "class_id", "n_copies")
         top = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
-        frequent = spark.sparkContext.broadcast({r.a: r.n for r in top})
-        buckets = partitions(spark)
+        hot = np.array([r.a for r in top], np.int64).view(np.uint64)
+        frequent = spark.sparkContext.broadcast((np.sort(hot), np.array([r.n for r in top], np.int64)[np.argsort(hot)]))
+        buckets = max(1, partitions(spark) // 2)  # a record's bitmap goes to every bucket it has a hash in
         keyed = docs.mapInArrow(
-            lambda it: _keys(it, size, threshold, min_words, buckets, frequent), "bucket int, hashes binary, owners binary, docs binary, signs binary"
+            lambda it: _keys(it, size, threshold, min_words, buckets, frequent), "bucket int, hashes binary, owners binary, spots binary, docs binary, signs binary"
         )
         met = keyed.repartition(buckets, "bucket").mapInArrow(lambda it: _tiles(it, threshold), "a bigint, b bigint").distinct()
         candidates = scratch.write(met, "candidates")
@@ -291,10 +370,11 @@ class NearDuplicates:
         for row in words.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
             wanted[row.at] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
         bits = spark.sparkContext.broadcast(wanted.reshape(-1))
-        arrays = docs.withColumn("slot", slot).mapInArrow(lambda it: _arrays(it, size, min_words, bits), "id bigint, hashes binary")
-        one = arrays.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-        two = arrays.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-        sure = candidates.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint")
+        texts = docs.withColumn("slot", slot).mapInArrow(lambda it: _wanted(it, bits), "id bigint, text string")
+        one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+        two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        both = candidates.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+        sure = both.mapInArrow(lambda it: _verify(it, size, threshold), "a bigint, b bigint")
         self.pairs = scratch.write(sure, "sure")
         scratch.drop("candidates")
 
