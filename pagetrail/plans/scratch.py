@@ -37,6 +37,15 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Drop every written table of this application; call it when no result is needed any more."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(pattern) or []:
+        files.delete(status.getPath(), True)
+
+
 class Scratch:
     """Written tables of one operator run; superseded ones are dropped at once."""
 
