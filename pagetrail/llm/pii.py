@@ -275,7 +275,7 @@ def _rows(texts: list[str | None]) -> tuple[list[tuple[int, str, int, int]], np.
             for kind, start, end in candidates(text):
                 found.append((i, kind, start, end))
                 rows.append(features(text, kind, start, end))
-    return found, np.array(rows, float).reshape(len(rows), -1)
+    return found, np.array(rows, float) if rows else np.zeros((0, 1))
 
 
 class Model:

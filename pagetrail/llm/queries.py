@@ -117,8 +117,31 @@ g AS (SELECT v AS raw_id, min(w) AS group_id FROM walk GROUP BY v)
 """
 
 
+_TEXT = "coalesce(array_to_string([x.text FOR x IN revision], ''), '')"
+_P1 = rf"""
+WITH w AS (SELECT raw_id, regexp_extract_all(lower({_TEXT}), '[\p{{L}}\p{{N}}_]+') AS ws FROM raw_pages WHERE coalesce(redirect._title, '') = ''),
+s AS (SELECT DISTINCT raw_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT raw_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 30)),
+n AS (SELECT raw_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.raw_id AS x, b.raw_id AS y, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.raw_id < b.raw_id GROUP BY 1, 2)
+SELECT x AS raw_id_a, y AS raw_id_b FROM c JOIN n p ON p.raw_id = x JOIN n q ON q.raw_id = y WHERE c >= 0.5 * (p.n + q.n - c)"""
+
+
+def _same_look(text: str) -> str:
+    """Width, spaces, unseen characters, equal shapes and accents by tables alone."""
+    shapes = lookalikes.SHAPE | {"ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï"}
+    spaces = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+    wide = f"array_to_string([CASE WHEN ord(ch) BETWEEN 65281 AND 65374 THEN chr(ord(ch) - 65248) ELSE ch END FOR ch IN string_split({text}, '')], '')"
+    seen = rf"regexp_replace({wide}, '[\p{{Cf}}\x{{34F}}\x{{180B}}-\x{{180F}}\x{{FE00}}-\x{{FE0F}}]', '', 'g')"
+    plain = f"replace(replace({seen}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    return f"nfc_normalize(translate({plain}, '{''.join(shapes)}{spaces}', '{''.join(shapes.values())}{' ' * len(spaces)}'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p6_found": f"""WITH l AS (SELECT link_id, target, {_same_look("target")} AS form FROM parsed_links WHERE target <> ''),
+          p AS (SELECT page_id, title, {_same_look("title")} AS form FROM pages WHERE title <> '')
+          SELECT link_id, page_id FROM l JOIN p USING (form) WHERE target <> title""",
         "p4_found": _TOGETHER.format(more="", test="c.c >= 6 AND c.c * (SELECT count(*) FROM k) >= 5 * x.n * y.n"),
         "p4_counts": _TOGETHER.format(more=", c.c AS n_together, x.n AS n_a, y.n AS n_b", test="c.c >= 2"),
         "p5_found": _GROUPS + "SELECT raw_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1)",
