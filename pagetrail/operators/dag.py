@@ -38,6 +38,13 @@ class AnnotatedDag:
         """(page_id, n_paths): how many shortest paths lead from a page to the finish; null beyond 64 bits."""
         if self._counts is None:
             spark = self.graph.spark
+            if self.dag.local is not None:
+                count = {self.dag.finish: 1}
+                for src, dst, _ in sorted(self.dag.local, key=lambda e: -e[2]):
+                    count[src] = count.get(src, 0) + count[dst]
+                rows = [(page, n if n < 1 << 63 else None) for page, n in count.items()]
+                self._counts = spark.createDataFrame(rows, "page_id bigint, n_paths bigint")
+                return self._counts
             now = spark.range(1).select(F.lit(self.dag.finish).cast("bigint").alias("page_id"), F.lit(1).cast("bigint").alias("n_paths"))
             parts = [now]
             for layer in range(self.dag.length - 1, -1, -1):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,14 +76,6 @@ def inclusion(title: Column, ns: Column, redirect: Column) -> Column:
     )
 
 
-@dataclass(frozen=True)
-class IngestCounts:
-    included_pages: int
-    excluded_pages: int
-    total_links: int
-    unique_valid_links: int
-
-
 class Ingest:
     """Index a table of page records.
 
@@ -105,14 +97,22 @@ class Ingest:
         numbered = first.withColumn("page_id", F.col(page_id)) if page_id else self._number(first, order)
         self.numbered = self.scratch.write(numbered.select(*order, "page_id", "title"), "pages")
         self.pages = self.numbered.select("page_id", "title")
-        keyed = included.join(self.numbered.select(*order, "page_id"), order).select("page_id", "title", "text")
-        self.raw_links = self.scratch.write(with_links(keyed), "raw")
+        self._included, self._order = included, order
+
+    @cached_property
+    def raw_links(self) -> DataFrame:
+        """(page_id, title, links) of every indexed page, all closed links in order."""
+        keyed = self._included.join(self.numbered.select(*self._order, "page_id"), self._order).select("page_id", "title", "text")
+        return self.scratch.write(with_links(keyed), "raw")
+
+    @cached_property
+    def links(self) -> DataFrame:
         each = self.raw_links.select("page_id", F.col("title").alias("page_title"), F.explode("links").alias("l")).select("page_id", "page_title", "l.*")
         real = each.filter((F.col("target") != "") & (F.col("target") != F.col("page_title")))
         kept = real.groupBy("page_id", "target").agg(F.min(F.struct("place", "title")).alias("first"))
         to = self.pages.select(F.col("page_id").alias("to_page_id"), F.col("title").alias("target"))
         links = kept.join(to, "target").select(F.col("page_id").alias("from_page_id"), "to_page_id", F.col("first.title").alias("title"))
-        self.links = self.scratch.write(links, "links")
+        return self.scratch.write(links, "links")
 
     def _number(self, rows: DataFrame, order: list[str]) -> DataFrame:
         ranged = self.scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")

@@ -179,8 +179,8 @@ class _Side:
     def size(self) -> int:
         return self.sizes[-1]
 
-    def expand(self) -> DataFrame:
-        return self.scratch.write(self.edges.join(_small(self.fringe, self.size), "v"), f"{self.name}-out")
+    def expand(self) -> tuple[DataFrame, int]:
+        return self.scratch.write_counted(self.edges.join(_small(self.fringe, self.size), "v"), f"{self.name}-out")
 
     def labels(self) -> DataFrame:
         out = self.layers[0]
@@ -189,9 +189,9 @@ class _Side:
         return out
 
     def push(self, layer: DataFrame) -> None:
-        written = self.scratch.write(layer, f"{self.name}{len(self.layers)}")
+        written, rows = self.scratch.write_counted(layer, f"{self.name}{len(self.layers)}")
         self.layers.append(written)
-        self.sizes.append(written.count())
+        self.sizes.append(rows)
 
 
 def _sides(near: Adjacency, scratch: Scratch, start: int, finish: int, with_path: bool) -> tuple[_Side, _Side]:
@@ -216,7 +216,7 @@ def shortest_path(edges: DataFrame | Adjacency, start: int, finish: int, local_r
     reached, expanded, crossed = 2, 0, 0
     while ahead.size and behind.size:
         side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
-        out = side.expand()
+        out, rows = side.expand()
         known = other.labels().select(F.col("v").alias("w"), F.col("path").alias("rest"))
         cut = out.join(known, "w").agg(F.min(F.struct("path", "w", "rest")).alias("cut")).first().cut
         kept = out
@@ -224,9 +224,10 @@ def shortest_path(edges: DataFrame | Adjacency, start: int, finish: int, local_r
             limit = F.struct(F.array(*(F.lit(v).cast("bigint") for v in cut.path)).alias("path"), F.lit(cut.w).cast("bigint").alias("w"))
             kept = out.filter(F.struct("path", "w") <= limit)
             expanded += side.fringe.filter(F.col("path") <= limit.getField("path")).count()
+            rows = kept.count()
         else:
             expanded += side.size
-        crossed += kept.count()
+        crossed += rows
         old = ahead.labels().select(F.col("v").alias("w")).unionByName(behind.labels().select(F.col("v").alias("w")))
         new = kept.join(old, "w", "left_anti").groupBy(F.col("w").alias("v")).agg(F.min(F.concat("path", F.array("w"))).alias("path"))
         side.push(new)
@@ -239,12 +240,16 @@ def shortest_path(edges: DataFrame | Adjacency, start: int, finish: int, local_r
 
 @dataclass(frozen=True)
 class PathDag:
-    """The edges on any shortest path: (src, dst, layer), layer being the distance of src from the start."""
+    """The edges on any shortest path: (src, dst, layer), layer being the distance of src from the start.
+
+    ``local``: the same edges as rows, where the search stayed on the driver.
+    """
 
     edges: DataFrame
     start: int
     finish: int
     length: int
+    local: tuple[tuple[int, int, int], ...] | None = None
 
 
 def shortest_path_dag(
@@ -265,7 +270,7 @@ def shortest_path_dag(
     if local_rows:
         try:
             found, length, *counts = _local_dag(_Lookup(near, local_rows), start, finish, max_depth)
-            dag = None if found is None else PathDag(spark.createDataFrame(found, shape), start, finish, length)
+            dag = None if found is None else PathDag(spark.createDataFrame(found, shape), start, finish, length, tuple(found))
             return dag, SearchStats(*counts, ms())
         except _TooLarge:
             pass
@@ -276,9 +281,9 @@ def shortest_path_dag(
         if len(ahead.layers) + len(behind.layers) - 2 >= max_depth:
             return None, SearchStats(reached, expanded, crossed, ms())
         side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
-        out = side.expand()
+        out, rows = side.expand()
         expanded += side.size
-        crossed += out.count()
+        crossed += rows
         meet = scratch.write(out.join(other.labels().withColumnRenamed("v", "w"), "w", "left_semi"), "meet")
         met = not meet.isEmpty()
         old = ahead.labels().select(F.col("v").alias("w")).unionByName(behind.labels().select(F.col("v").alias("w")))
@@ -321,16 +326,14 @@ def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 253) -> Data
     ``starts``: a column ``start``. All searches advance together, one join a layer.
     """
     scratch = Scratch(edges.sparkSession)
+    near = scratch.write(edges.select("src", "dst").repartitionByRange("src").sortWithinPartitions("src"), "edges")
     fringe = starts.select(F.col("start").cast("bigint").alias("start"), F.col("start").cast("bigint").alias("page_id")).distinct()
-    fringe = scratch.write(fringe.withColumn("distance", F.lit(0)), "d0")
+    fringe, rows = scratch.write_counted(fringe.withColumn("distance", F.lit(0)), "d0")
     seen, depth = fringe, 0
-    while depth < max_depth:
-        rows = fringe.count()
-        if not rows:
-            break
+    while rows and depth < max_depth:
         depth += 1
-        out = edges.join(_small(fringe, rows), edges.src == fringe.page_id).select("start", F.col("dst").alias("page_id")).distinct()
+        out = near.join(_small(fringe, rows), near.src == fringe.page_id).select("start", F.col("dst").alias("page_id")).distinct()
         new = out.join(seen.select("start", "page_id"), ["start", "page_id"], "left_anti")
-        fringe = scratch.write(new.withColumn("distance", F.lit(depth)), f"d{depth}")
+        fringe, rows = scratch.write_counted(new.withColumn("distance", F.lit(depth)), f"d{depth}")
         seen = seen.unionByName(fringe)
     return seen

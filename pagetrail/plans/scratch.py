@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -64,6 +65,12 @@ class Scratch:
             drop_table(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``write``, and the number of rows, counted on the way."""
+        seen = Observation()
+        written = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return written, seen.get["n"]
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
