@@ -30,30 +30,29 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     scratch = Scratch(edges.sparkSession)
     pairs = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).dropna()
     pairs = scratch.write(pairs.distinct(), "pairs")
-    graph = scratch.write(_both_ways(pairs.filter("u <> v")), "graph")
-    forest: list[DataFrame] = []
-    while not graph.isEmpty():
+    graph, rows = scratch.write_counted(_both_ways(pairs.filter("u <> v")), "graph")
+    rounds: list[DataFrame] = []
+    while rows:
         low = graph.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        told = graph.join(low, "u").select(F.col("v").alias("u"), "m").unionByName(low).distinct()
-        told = scratch.write(told, "told")
+        told = scratch.write(graph.join(low, "u").select(F.col("v").alias("u"), "m").unionByName(low), "told")
         chosen = told.groupBy("u").agg(F.min("m").alias("least"), F.max(F.col("m") == F.col("u")).alias("stays"))
-        chosen = scratch.write(chosen, "chosen")
-        forest.append(
-            scratch.write(chosen.filter("not stays").select(F.col("u").alias("vertex"), F.col("least").alias("parent")), f"tree{len(forest)}")
-        )
+        chosen = scratch.write(chosen, f"round{len(rounds)}")
+        rounds.append(chosen)
         links = told.join(chosen, "u").filter("m <> least").select(F.col("least").alias("u"), F.col("m").alias("v"))
-        graph = scratch.write(_both_ways(links.distinct()), "graph")
-    hung = None
-    for tree in forest:
-        kept = tree.select("vertex")
-        hung = kept if hung is None else hung.unionByName(kept)
-    vertices = pairs.select(F.col("u").alias("vertex")).unionByName(pairs.select(F.col("v").alias("vertex"))).distinct()
-    seeds = vertices if hung is None else vertices.join(hung, "vertex", "left_anti")
+        graph, rows = scratch.write_counted(_both_ways(links), "graph")
+    forest = [r.filter("not stays").select(F.col("u").alias("vertex"), F.col("least").alias("parent")) for r in rounds]
+    vertices = pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
+    if not forest:
+        return vertices.select("vertex", F.col("vertex").alias("group_id"))
+    hung = forest[0].select("vertex")
+    for tree in forest[1:]:
+        hung = hung.unionByName(tree.select("vertex"))
+    seeds = vertices.join(hung, "vertex", "left_anti")
     named = scratch.write(seeds.select("vertex", F.col("vertex").alias("group_id")), "named")
-    for tree in reversed(forest):
-        below = tree.join(named.withColumnRenamed("vertex", "parent"), "parent").select("vertex", "group_id")
-        named = scratch.write(named.unionByName(below), "named")
-    scratch.drop("pairs", "graph", "told", "chosen", *(f"tree{i}" for i in range(len(forest))))
+    for k in range(len(forest) - 1, -1, -1):  # a parent left the graph later than its child, or never
+        below = forest[k].join(named.withColumnRenamed("vertex", "parent"), "parent").select("vertex", "group_id")
+        named = named.unionByName(scratch.write(below, f"named{k}"))
+    scratch.drop("pairs", "graph", "told", *(f"round{i}" for i in range(len(rounds))))
     return named
 
 
