@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions.wikitext import page_text
+from pagetrail.llm.batches import portions
 from pagetrail.llm.markup_labels import LABELLED
 from pagetrail.llm.trees import DecisionTree
 
@@ -368,7 +369,7 @@ def render(parts: list[tuple[str, Block]]) -> str:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tree: DecisionTree) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text"):
         ids, kinds, places = [], [], []
         for i, parts in zip(batch.column("id").to_pylist(), classify(batch.column("text").to_pylist(), tree)):
             seen = dict.fromkeys(KINDS, 0)
@@ -382,7 +383,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tree: DecisionTree) -> Iterator[p
 
 
 def _clean(batches: Iterator[pa.RecordBatch], tree: DecisionTree) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text"):
         texts = [render(parts) for parts in classify(batch.column("text").to_pylist(), tree)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["raw_id", "clean_text"])
 

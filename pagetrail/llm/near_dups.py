@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.functions.wikitext import page_text
+from pagetrail.llm.batches import portions
 from pagetrail.llm.groups import connected_groups
 from pagetrail.plans.scratch import Scratch, partitions
 
@@ -184,7 +185,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], size: int, min_words: int) ->
 
     known: dict[str, int] = {}
     lot: list[np.ndarray] = []
-    for batch in batches:
+    for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
         runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
         yield rows(0, batch.column("id").to_numpy()[runs.place], runs.copy)
@@ -199,7 +200,7 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int
     """One row per batch and bucket: the prefix hashes that fall there, their places, and the records they come from."""
     known: dict[str, int] = {}
     hot, times = frequent.value
-    for batch in batches:
+    for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
         runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
         if not runs.place:
@@ -324,7 +325,7 @@ def _wanted(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, t: float) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    for batch in batches:
+    for batch in portions(batches, "ta", "tb"):
         if not batch.num_rows:
             continue
         ids = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.llm.batches import portions
 from pagetrail.llm.pii_labels import GIVEN, labelled
 from pagetrail.llm.trees import BoostedTrees
 
@@ -331,7 +332,7 @@ def trained(seed: int = 0) -> Model:
 
 
 def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text"):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         rows = [(i, kind, text[a:b]) for i, text, spans in zip(ids, texts, model.find(texts)) for a, b, kind in spans]
         yield pa.RecordBatch.from_arrays(
@@ -340,7 +341,7 @@ def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 
 def _redacted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "text"):
         texts = batch.column("text").to_pylist()
         out = []
         for text, spans in zip(texts, model.find(texts)):
