@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         from pagetrail.server import Service, serve
 
-        serve(Service(LinkGraph.open(spark, a.graph), os.path.basename(a.graph.rstrip("/")), a.base_url, a.static), port=a.port)
+        serve(Service(LinkGraph.open(spark, a.graph), os.path.basename(a.graph.rstrip("/")), a.base_url, a.static or os.path.join(os.path.dirname(__file__), "web")), port=a.port)
     return 0
 
 
