@@ -4,7 +4,7 @@
   python -m pagetrail.cli search GRAPH START FINISH [count|path|paths|edges|dot] [--random] [--skip N] [--max N] [--order id|title|text]
   python -m pagetrail.cli inspect GRAPH PAGE
   python -m pagetrail.cli xml-stats FILE...
-  python -m pagetrail.cli serve GRAPH [--port N] [--static FOLDER] [--base-url URL]
+  python -m pagetrail.cli serve GRAPH [--host H] [--port N] [--static FOLDER] [--base-url URL]
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ def _parser() -> argparse.ArgumentParser:
     stats.add_argument("files", nargs="+")
     serving = commands.add_parser("serve")
     serving.add_argument("graph")
+    serving.add_argument("--host", default="127.0.0.1")
     serving.add_argument("--port", type=int, default=8001)
     serving.add_argument("--static")
     serving.add_argument("--base-url", default="https://en.wikipedia.org/wiki/")
@@ -130,7 +131,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         from pagetrail.server import Service, serve
 
-        serve(Service(LinkGraph.open(spark, a.graph), os.path.basename(a.graph.rstrip("/")), a.base_url, a.static or os.path.join(os.path.dirname(__file__), "web")), port=a.port)
+        serve(Service(LinkGraph.open(spark, a.graph), os.path.basename(a.graph.rstrip("/")), a.base_url, a.static or os.path.join(os.path.dirname(__file__), "web")), a.host, a.port)
     return 0
 
 
