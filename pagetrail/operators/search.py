@@ -23,6 +23,7 @@ from pagetrail.plans.scratch import Scratch
 BROADCAST_ROWS = 200_000
 #: So many neighbours may be fetched to the driver in one search.
 LOCAL_ROWS = 200_000
+GATHER = 16
 
 
 @dataclass(frozen=True)
@@ -320,20 +321,24 @@ def shortest_path_dag(
     return PathDag(dag, start, finish, length), SearchStats(reached, expanded, crossed, ms())
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int = 253) -> DataFrame:
-    """(start, page_id, distance) of everything within ``max_depth`` edges of each start.
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, page_id, distance) of everything that each start reaches, or within ``max_depth`` edges of it.
 
-    ``starts``: a column ``start``. All searches advance together, one join a layer.
+    ``starts``: a column ``start``. All searches advance together, one join a layer, until no search finds a new page. Layers are
+    gathered into one table every ``GATHER`` layers, so a deep search doesn't read ever more tables.
     """
     scratch = Scratch(edges.sparkSession)
     near = scratch.write(edges.select("src", "dst").repartitionByRange("src").sortWithinPartitions("src"), "edges")
     fringe = starts.select(F.col("start").cast("bigint").alias("start"), F.col("start").cast("bigint").alias("page_id")).distinct()
     fringe, rows = scratch.write_counted(fringe.withColumn("distance", F.lit(0)), "d0")
     seen, depth = fringe, 0
-    while rows and depth < max_depth:
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
         out = near.join(_small(fringe, rows), near.src == fringe.page_id).select("start", F.col("dst").alias("page_id")).distinct()
         new = out.join(seen.select("start", "page_id"), ["start", "page_id"], "left_anti")
         fringe, rows = scratch.write_counted(new.withColumn("distance", F.lit(depth)), f"d{depth}")
         seen = seen.unionByName(fringe)
+        if depth % GATHER == 0:
+            seen = scratch.write(seen, "seen")
+            scratch.drop(*(f"d{d}" for d in range(depth)))  # the fringe stays
     return seen

@@ -14,7 +14,7 @@ from pagetrail.operators.graph import LinkGraph
 from pagetrail.operators.ingest import Ingest, inclusion, with_links
 from pagetrail.operators.search import distances, shortest_path, shortest_path_dag
 
-#: The pair of pages that the search queries join, and the steps they may take in SQL.
+#: The pair of pages that the search queries join, and the steps that the SQL takes; distances have no bound outside of SQL.
 START, FINISH, STEPS = 88, 21, 12
 
 
@@ -181,18 +181,18 @@ def duplicate_titles(spark, sf):
 
 def bfs_layers(spark, sf):
     start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
-    return distances(graph(spark, sf).edges, start, STEPS).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+    return distances(graph(spark, sf).edges, start).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distance_from_page(spark, sf):
     start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
-    return distances(graph(spark, sf).edges, start, STEPS).select("page_id", "distance")
+    return distances(graph(spark, sf).edges, start).select("page_id", "distance")
 
 
 def distance_pairs(spark, sf):
     """Distances from the index pages to the hub pages, all searches in one loop."""
     core = _t(spark, sf, "core_pages")
-    found = distances(graph(spark, sf).edges, core.filter("role = 'index'").select(F.col("page_id").alias("start")), STEPS)
+    found = distances(graph(spark, sf).edges, core.filter("role = 'index'").select(F.col("page_id").alias("start")))
     hubs = core.filter("role = 'hub'").select("page_id")
     return found.join(hubs, "page_id", "left_semi").select("start", "page_id", "distance")
 
