@@ -44,11 +44,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(together.TogetherCounts(_t(spark, sf, "links")).counts(min_count=2))
+    return _pairs(together.TogetherCounts(_t(spark, sf, "links"), max_basket=None).counts(min_count=1))
 
 
 def p4_surprise(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(together.TogetherCounts(_t(spark, sf, "links")).surprising(min_count=2), "lift", "expected", "log10_p", "q_value")
+    return _pairs(together.TogetherCounts(_t(spark, sf, "links"), max_basket=None).surprising(min_count=1), "lift", "expected", "log10_p", "q_value")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Items that appear together: exact pair counts against a bipartite configuration null.
 
 Counts are exact. Items too rare to reach the least count, or too frequent to reach the least lift, are
-dropped before pairs are made, which removes no pair of the result. Baskets hold at most ``max_basket`` items
-by definition, so a basket's pairs are bounded; they are combined within each batch, so only
+dropped before pairs are made, which removes no pair of the result. Where baskets hold at most ``max_basket`` items
+by definition, a basket's pairs are bounded; they are combined within each batch, so only
 partial counts reach the shuffle.
 
+Without ``max_basket`` all baskets count, and the pairs of a large one don't fit in a task. Items are then hashed into blocks of
+about ``BLOCK``, and two blocks make a tile. A basket sends each tile the items it has in the two blocks, so a basket of k items
+sends the smaller of k^2 and k times the number of blocks, and a pair is counted in one tile alone: no pair is shuffled.
+
 The null model is the bipartite configuration model: item i is in basket b with probability
 x_i y_b / (1 + x_i y_b), independently, and the x and y are fitted so every item has its observed number of
 baskets and every basket its observed size in expectation. Items of one frequency share their x and baskets of
@@ -27,11 +31,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetrail.plans.scratch import Scratch
+from pagetrail.plans.scratch import Scratch, partitions
 
 #: Item frequencies beyond so many different ones are fitted in geometric classes.
 CLASSES = 1 << 13
 BIN = 64
+#: Items of a block, in the mean. A tile's counts are an array of the square of it.
+BLOCK = 1024
+#: Items that a tile gathers before it adds them to its counts.
+PORTION = 1 << 20
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +75,110 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (known[a], known[b], freq[a], freq[b], c)], names=["a", "b", "na", "nb", "c"])
 
 
+_PART = "tile bigint, a array<bigint>, na array<bigint>, b array<bigint>, nb array<bigint>"
+
+
+def _spread(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """For every two blocks in which a basket has items, those items; b is empty within one block."""
+    names = ["tile", "a", "na", "b", "nb"]
+    kinds = [pa.int64()] + [pa.list_(pa.int64())] * 4
+    out: list[list] = [[] for _ in names]
+    held = 0
+    for batch in batches:
+        items = batch.column("items")
+        flat = items.flatten()
+        block, ids, ns = (flat.field(k).to_numpy() for k in ("block", "item", "n"))
+        offsets = items.offsets.to_numpy() - items.offsets[0].as_py()
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            order = np.argsort(block[lo:hi], kind="stable") + lo
+            own, item, n = block[order], ids[order], ns[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]).tolist()
+            parts = [(int(own[f]), item[f:e], n[f:e]) for f, e in zip(first, [*first[1:], hi - lo])]
+            for i, (p, a, na) in enumerate(parts):
+                for q, b, nb in parts[i:]:
+                    if p == q and len(a) < 2:
+                        continue
+                    within = p == q
+                    for column, value in zip(out, (p * blocks + q, a, na, b[:0] if within else b, nb[:0] if within else nb)):
+                        column.append(value)
+                    held += len(a) + len(b)
+                    if held > PORTION:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                        out, held = [[] for _ in names], 0
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
+
+class _Tile:
+    """The counts of one tile; rows and columns grow with the items that come."""
+
+    def __init__(self) -> None:
+        self.items: list[np.ndarray] = [np.empty(0, np.int64)] * 2
+        self.ns: list[np.ndarray] = [np.empty(0, np.int64)] * 2
+        self.counts = np.zeros((0, 0), np.int32)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> None:
+        self.waiting.append((a, na, b, nb) if len(b) else (a, na, a, na))
+        self.held += len(a) + len(b)
+        if self.held > PORTION:
+            self.fold()
+
+    def fold(self) -> None:
+        if not self.waiting:
+            return
+        places = []
+        for side in (0, 1):
+            come = np.concatenate([w[2 * side] for w in self.waiting])
+            n = np.concatenate([w[2 * side + 1] for w in self.waiting])
+            known, at = np.unique(np.concatenate([self.items[side], come]), return_index=True)
+            old = np.searchsorted(known, self.items[side])
+            self.ns[side] = np.concatenate([self.ns[side], n])[at]
+            self.items[side] = known
+            places.append((old, np.searchsorted(known, come)))
+        grown = np.zeros((len(self.items[0]), len(self.items[1])), np.int32)
+        grown[np.ix_(places[0][0], places[1][0])] = self.counts
+        i = j = 0
+        for a, _, b, _ in self.waiting:
+            grown[places[0][1][i : i + len(a), None], places[1][1][j : j + len(b)]] += 1
+            i, j = i + len(a), j + len(b)
+        self.counts, self.waiting, self.held = grown, [], 0
+
+    def rows(self, within: bool) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        step = max(1, (1 << 16) // max(1, self.counts.shape[1]))
+        for lo in range(0, len(self.counts), step):
+            some = self.counts[lo : lo + step]
+            i, j = np.nonzero(some)
+            c, i = some[i, j].astype(np.int64), i + lo
+            a, b, na, nb = self.items[0][i], self.items[1][j], self.ns[0][i], self.ns[1][j]
+            if within:
+                a, b, na, nb, c = (v[a < b] for v in (a, b, na, nb, c))
+            turn = a > b
+            a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, na, nb, c)], names=["a", "b", "na", "nb", "c"])
+
+
+def _count_tiles(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, c) of whole tiles; the parts of a tile follow each other."""
+    now, tile = None, _Tile()
+    for batch in batches:
+        lists = []
+        for name in ("a", "na", "b", "nb"):
+            column = batch.column(name)
+            lists.append((column.flatten().to_numpy(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()))
+        for k, at in enumerate(batch.column("tile").to_pylist()):
+            if at != now:
+                if now is not None:
+                    yield from tile.rows(now // blocks == now % blocks)
+                now, tile = at, _Tile()
+            tile.add(*(flat[ends[k] : ends[k + 1]] for flat, ends in lists))
+    if now is not None:
+        yield from tile.rows(now // blocks == now % blocks)
+
+
 class Null:
     """The fitted model over classes of item frequency and of basket size."""
 
@@ -162,27 +274,41 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.R
 
 
 class TogetherCounts:
-    def __init__(self, links: DataFrame, basket: str = "from_page_id", item: str = "to_page_id", max_basket: int = 200):
+    def __init__(self, links: DataFrame, basket: str = "from_page_id", item: str = "to_page_id", max_basket: int | None = 200):
+        """``max_basket``: larger baskets are left out; None takes all."""
         self.spark = links.sparkSession
         self.scratch = Scratch(self.spark)
         pair = links.select(F.col(basket).cast("bigint").alias("basket"), F.col(item).cast("bigint").alias("item"))
         pair = pair.dropna().filter("basket <> item").distinct()
-        size = pair.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= max_basket)
+        size = pair.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
+        if max_basket is not None:
+            size = size.filter(F.col("size") <= max_basket)
+        self.bounded = max_basket is not None
         self.pairs = self.scratch.write(pair.join(size, "basket"), "members")
         self.items = self.scratch.write(self.pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "items")
         sizes = self.pairs.groupBy("size").agg((F.count(F.lit(1)) / F.col("size")).cast("bigint").alias("n")).collect()
-        self.sizes = {r["size"]: r.n for r in sizes}  # at most max_basket rows
+        self.sizes = {r["size"]: r.n for r in sizes}  # at most max_basket rows, else the root of twice the memberships
         self.n_baskets = sum(self.sizes.values())
 
     def counts(self, min_count: int = 2, min_lift: float = 0.0) -> DataFrame:
         """(a, b, na, nb, c), a < b, for every pair in at least ``min_count`` baskets."""
         able = self.items.filter((F.col("n") >= min_count) & (F.col("n") * min_lift <= self.n_baskets))
+        if not self.bounded:
+            return self._tiled(able).filter((F.col("c") >= min_count) & (F.col("c") * self.n_baskets >= F.col("na") * F.col("nb") * min_lift))
         sets = self.pairs.join(able, "item").groupBy("basket").agg(F.collect_list(F.struct("item", "n")).alias("items"))
         sets = sets.filter(F.size("items") > 1).select("items")
         made = sets.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, c bigint")
         total = made.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
         return total.filter((F.col("c") >= min_count) & (F.col("c") * self.n_baskets >= F.col("na") * F.col("nb") * min_lift))
 
+    def _tiled(self, able: DataFrame) -> DataFrame:
+        blocks = max(1, -(-self.items.count() // BLOCK))
+        block = F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")
+        sets = self.pairs.join(able, "item").groupBy("basket").agg(F.collect_list(F.struct(block, "item", "n")).alias("items"))
+        parts = sets.filter(F.size("items") > 1).select("items").mapInArrow(lambda it: _spread(it, blocks), _PART)
+        tiles = parts.repartition(max(partitions(self.spark), blocks * (blocks + 1) // 32), "tile").sortWithinPartitions("tile")
+        return tiles.mapInArrow(lambda it: _count_tiles(it, blocks), "a bigint, b bigint, na bigint, nb bigint, c bigint")
+
     def surprising(self, min_count: int = 2, min_lift: float = 0.0) -> DataFrame:
         """``counts`` with lift, expected, log10_p and q_value.
 
