@@ -116,8 +116,7 @@ def ns_parse(spark, sf):
 
 
 def wiki_url(spark, sf):
-    kept = _t(spark, sf, "pages").filter(F.col("title").rlike("^[A-Za-z0-9 ()]*$"))
-    return kept.select("page_id", W.wiki_url("https://wiki.example/", F.col("title")).alias("url"))
+    return _t(spark, sf, "pages").select("page_id", W.wiki_url("https://wiki.example/", F.col("title")).alias("url"))
 
 
 def dot_quote(spark, sf):
