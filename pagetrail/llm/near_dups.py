@@ -389,19 +389,21 @@ class NearDuplicates:
         within = copied.withColumnRenamed("id", "x").join(copied.withColumnRenamed("id", "y"), "class_id").filter("x < y")
         return across.unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    def groups(self) -> DataFrame:
+    def groups(self, docs: DataFrame | None = None) -> DataFrame:
         """(id, group_id, n_links): records joined directly or over others; n_links: links to other classes.
 
         Copies are joined by membership and not counted as links. A record without partner is its own group.
+        With ``docs`` (a column ``id``), its records that have fewer than ``min_words`` words, or none, come out too, each as its own group.
         """
         named = connected_groups(self.pairs).select(F.col("vertex").alias("class_id"), "group_id")
         links = self.pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
         out = self.classes.join(named, "class_id", "left").join(links, "class_id", "left")
-        return out.select("id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        if docs is not None:
+            out = docs.select(F.col("id").cast("bigint").alias("id")).filter("id IS NOT NULL").join(out, "id", "left")
+        return out.select("id", F.coalesce("group_id", "class_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def page_docs(raw_pages: DataFrame) -> DataFrame:
-    """(id, text) of the records without a redirect title."""
-    return raw_pages.filter(F.coalesce(F.col("redirect._title"), F.lit("")) == "").select(
-        F.col("raw_id").alias("id"), page_text(F.col("revision")).alias("text")
-    )
+def page_docs(raw_pages: DataFrame, redirects: bool = False) -> DataFrame:
+    """(id, text) of the records without a redirect title, or of all with ``redirects``."""
+    kept = raw_pages if redirects else raw_pages.filter(F.coalesce(F.col("redirect._title"), F.lit("")) == "")
+    return kept.select(F.col("raw_id").alias("id"), page_text(F.col("revision")).alias("text"))

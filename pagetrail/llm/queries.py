@@ -21,7 +21,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dups.NearDuplicates(near_dups.page_docs(_t(spark, sf, "raw_pages"))).groups().withColumnRenamed("id", "raw_id")
+    docs = near_dups.page_docs(_t(spark, sf, "raw_pages"), redirects=True)
+    return near_dups.NearDuplicates(docs).groups(docs).withColumnRenamed("id", "raw_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,3 +42,12 @@ def test_tiles_in_portions(monkeypatch):
     got = [tuple(r.values()) for b in together._count_tiles(iter(batches), 3) for r in b.to_pylist()]
     c = Counter(p for s in sets for p in combinations(s, 2))
     assert len(got) == len(c) and set(got) == {(a, b, n[a], n[b], k) for (a, b), k in c.items()}
+
+
+def test_every_record_has_a_group(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, text), (2, "", text + " more"), (3, "Red", "#REDIRECT [[Red]]"), (4, "Red", "#REDIRECT [[Red]]"), (5, None, ""), (6, None, None), (7, "Blue", "!!"), (8, "Blue", text)]
+    raw = [(i, (r,) if r is not None else None, [(t,)] if t is not None else None) for i, r, t in rows]
+    sf = _save(spark, tmp_path, raw_pages=(raw, "raw_id bigint, redirect struct<_title: string>, revision array<struct<text: string>>"))
+    got = [tuple(r) for r in Q.p1_groups(spark, sf).collect()]
+    assert sorted(got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 1, 1)]
