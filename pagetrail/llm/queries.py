@@ -69,6 +69,13 @@ def p6_canonical_titles(spark: SparkSession, sf: str) -> DataFrame:
     return titles.join(lookalikes.canonical_forms(titles.select("text"), titles), "text").select("page_id", F.col("form").alias("canonical_title"))
 
 
+def p6_canonical_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per link; null and empty targets stay as they are."""
+    links = _t(spark, sf, "parsed_links").select("link_id", F.col("target").alias("text"))
+    forms = lookalikes.canonical_forms(links.filter("text <> ''"), _t(spark, sf, "pages").select(F.col("title").alias("text")))
+    return links.join(forms, "text", "left").select("link_id", F.coalesce("form", "text").alias("canonical_target"))
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(_t(spark, sf, "documents"), _t(spark, sf, "pack_sizes"))
 
@@ -92,7 +99,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     mine = (
         p1_found, p1_groups, p2_found, p2_clean_text, p4_found, p4_counts, p4_surprise, p5_found, p5_groups,
-        p6_found, p6_canonical_titles, p7_containers, p8_mixture, p8_report, p9_found, p9_redacted,
+        p6_found, p6_canonical_titles, p6_canonical_targets, p7_containers, p8_mixture, p8_report, p9_found, p9_redacted,
     )
     return {f.__name__: f for f in mine}
 

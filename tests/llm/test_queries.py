@@ -51,3 +51,16 @@ def test_every_record_has_a_group(spark, tmp_path):
     sf = _save(spark, tmp_path, raw_pages=(raw, "raw_id bigint, redirect struct<_title: string>, revision array<struct<text: string>>"))
     got = [tuple(r) for r in Q.p1_groups(spark, sf).collect()]
     assert sorted(got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 1, 1)]
+
+
+def test_targets_and_titles_come_out_in_one_form(spark, tmp_path):
+    titles = ["Red rose", "Caf\u00e9", "Atlas"]
+    targets = ["Red\u00a0rose", "Cafe\u0301", "\u0410tlas", "Atlas", "\uff2eowhere\u200b at all", "", None, "Red rose"]
+    sf = _save(
+        spark, tmp_path,
+        pages=(list(enumerate(titles)), "page_id bigint, title string"),
+        parsed_links=(list(enumerate(targets)), "link_id bigint, target string"),
+    )
+    got = [tuple(r) for r in Q.queries()["p6_canonical_targets"](spark, sf).collect()]
+    assert sorted(got) == list(enumerate(["Red rose", "Caf\u00e9", "Atlas", "Atlas", "Nowhere at all", "", None, "Red rose"]))
+    assert [r.canonical_title for r in Q.p6_canonical_titles(spark, sf).orderBy("page_id").collect()] == titles
