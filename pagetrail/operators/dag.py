@@ -49,7 +49,8 @@ class AnnotatedDag:
             parts = [now]
             for layer in range(self.dag.length - 1, -1, -1):
                 step = self.dag.edges.filter(F.col("layer") == layer).join(now, self.dag.edges.dst == now.page_id)
-                now = self.scratch.write(step.groupBy(F.col("src").alias("page_id")).agg(F.try_sum("n_paths").alias("n_paths")), f"count{layer}")
+                total = F.when(F.count_if(F.col("n_paths").isNull()) == 0, F.try_sum("n_paths"))  # a sum alone would skip nulls
+                now = self.scratch.write(step.groupBy(F.col("src").alias("page_id")).agg(total.alias("n_paths")), f"count{layer}")
                 parts.append(now)
             out = parts[0]
             for part in parts[1:]:
