@@ -2,21 +2,24 @@
 
 A record is the set of hashes of its runs of consecutive words. Two records with Jaccard similarity t or
 more share one of the first n - ceil(t n) + 1 hashes of either set under any fixed order, so records that
-share such a hash, and only those, meet in a tile. The order puts frequent runs last, which keeps tiles
-small; it is taken from counts over all records, and the result doesn't depend on it. The first common hash of two
-records lies early enough in both to leave room for the overlap they need, so its places bound the overlap too.
-
-Inside a tile records lie by size. Only records of the same or the adjoining size band, a band being a
-factor 1/t, can reach t, so each is compared with the following ones up to the end of its reach. A pair is
-first bounded from its two bitmaps: every hash toggles one bit, so the number of differing bits
-is at most the size of the symmetric difference, which bounds the overlap from above. A bitmap has two to four bits for
-every hash; the wider one of a pair is folded to the width of the other. What is left is
-decided by the exact intersection of the two sorted hash arrays, made again from the two texts: compressed
-text is smaller to move than hashes, and only the texts of candidates move.
-
-Records whose words are the same in the same order are one class from the first shuffle on: they are
-combined before it where they meet in a task, and each tile sees a class once. So a third of all records
-being copies costs one record's work. Spark moves hashes packed into one row per batch and bucket.
+share such a hash, and only those, meet. The order puts frequent runs last, which keeps tiles small: frequency is
+estimated over all records by one table of ``SLOTS`` counters, so it has a fixed size at every scale. The result doesn't
+depend on it.
+
+A tile holds the records of one size band (a factor 1/t wide) that share one such hash; only tiles of the same hash and of
+the same or the adjoining band are compared. Tiles are spread over buckets whose number follows the number of
+hashes, so a task's share doesn't grow with the input; a tile of a hash far above the usual frequency is split into blocks, and
+each pair of blocks is a tile of its own. The places of the first common hash of two records bound their overlap.
+
+Candidates are decided where each record comes once for many of its pairs: all candidates around the same smallest
+partner share a place, in blocks of ``BLOCK`` records. A pair is first bounded from its two bitmaps: every hash
+toggles one bit, so the number of differing bits is at most the size of the symmetric difference, which bounds the
+overlap from above. A bitmap has two to four bits for every hash; the wider one of a pair is folded to the width of
+the other. What is left is decided by the exact intersection of the two sorted hash arrays (40 bits a hash).
+
+Records whose words are the same in the same order are one class from the first pass on and meet once. ``groups`` doesn't
+compare all records of a group: a first round compares each record of a tile with the tile's smallest one only, a second
+one compares what is still in different groups.
 
 Nulls and empty texts: no words, no partner. Fewer words than a run: the whole text is the one run.
 Ties in size or hash don't matter; repeated ids count as copies of one another and pair with other ids only.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +46,18 @@ from pagetrail.plans.scratch import Scratch, partitions
 WORD = re.compile(r"\w+")
 #: The least and the largest width of a bitmap.
 BITS, MOST_BITS = 256, 1 << 16
-#: So many of the most frequent runs are ordered by frequency; the others count as equally rare.
-FREQUENT = 1 << 16
-#: Runs are counted in lots of so many; what a lot holds less than LOT_LEAST times is not frequent.
-LOT, LOT_LEAST = 2_000_000, 3
-#: Bits of the filter that spares texts without a candidate the second reading; a full filter spares none.
+#: Counters that estimate how frequent a run is, and how many of them travel in one row.
+SLOTS, SLOT_BLOCK = 1 << 22, 1 << 16
+#: Hashes a bucket holds on average, and the frequency above the median from which a tile is split.
+BUCKET, SPLIT = 200_000, 20_000
+#: Records of one kind that meet in one place when candidates are decided.
+BLOCK = 1024
+#: Bits of the filter that spares texts without a candidate the last reading; a full filter spares none.
 FILTER_BITS = 1 << 23
+#: Characters that are cut into words at once.
+CHUNK = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+_BASE = 0x5851F42D4C957F2D
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,50 +70,124 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@cache
+def _characters() -> np.ndarray:
+    """A 64-bit value for every character that belongs to words, 0 for the others."""
+    word = np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
+    return np.where(word, _finish(np.arange(1, 0x110001, dtype=np.uint64) * _MIX[0]) | np.uint64(1), np.uint64(0))
+
+
+_powers_cache: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^64."""
+    if not _powers_cache or len(_powers_cache[0]) < n:
+        size = max(n, 2 * CHUNK)
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        _powers_cache[:] = out
+    return _powers_cache[0][:n], _powers_cache[1][:n]
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of a lower-cased text, and where the words begin."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    value = _characters()[code]
+    inside = np.zeros(len(code) + 2, bool)
+    np.not_equal(value, 0, out=inside[1:-1])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    up, down = _powers(len(code))
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(value * up, out=total[1:])
+    return _finish((total[ends] - total[starts]) * down[starts] if len(starts) else np.zeros(0, np.uint64)), starts
+
+
+def _long_word_hashes(text: str) -> np.ndarray:
+    """``_word_hashes`` of a long text, cut where no word is."""
+    out, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + CHUNK)
+        end = WORD.match(text, end).end() if end < len(text) and WORD.match(text, end) else end
+        out.append(_word_hashes(text[start:end])[0])
+        start = end
+    return np.concatenate(out)
+
+
+def _words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, words of a stretch of texts, words in each): stretches of about CHUNK characters."""
+    lower = [t.lower() if t else "" for t in texts]
+    i = 0
+    while i < len(lower):
+        if len(lower[i]) > CHUNK:
+            words = _long_word_hashes(lower[i])
+            yield i, words, np.array([len(words)])
+            i += 1
+            continue
+        j, size = i, 0
+        while j < len(lower) and len(lower[j]) <= CHUNK and size <= CHUNK:
+            size += len(lower[j]) + 1
+            j += 1
+        words, starts = _word_hashes("\n".join(lower[i:j]))
+        ends = np.cumsum(np.array([len(t) + 1 for t in lower[i:j]]))
+        at = np.searchsorted(starts, np.r_[0, ends])
+        yield i, words, np.diff(at)
+        i = j
+
+
 class Runs:
-    """The distinct hashed runs of a batch of texts, all texts at once.
+    """The distinct hashed runs of a batch of texts.
 
     ``place``: where each text with enough words is in the batch; ``copy``: the hash of its word sequence;
-    ``n``: its number of distinct runs; ``owner`` and ``hashes``: the runs, sorted by owner and hash.
+    ``n``: its number of distinct runs; ``hashes``: the runs, text by text and sorted inside; ``ends``: where each text's end.
     """
 
-    def __init__(self, texts: list[str | None], size: int, min_words: int, known: dict[str, int]):
-        flat: list[int] = []
-        place, lengths = [], []
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            if words and len(words) >= min_words:
-                try:
-                    flat += [known[w] for w in words]
-                except KeyError:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    for w in words:
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                    flat += [known[w] for w in words]
-                place.append(i)
-                lengths.append(len(words))
-        word = np.array(flat, np.uint64)
-        length = np.array(lengths, np.int64)
-        ends = np.cumsum(length)
-        starts = ends - length
-        self.place = place
-        self.copy = np.array([xxhash.xxh3_64_intdigest(word[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
-        count = np.maximum(length - size + 1, 1)
-        owner = np.repeat(np.arange(len(place)), count)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
-        h = np.zeros(len(owner), np.uint64)
-        for j in range(size):
-            inside = at + j < ends[owner]  # a text shorter than a run is one run
-            h += np.where(inside, word[np.minimum(at + j, len(word) - 1)] * _MIX[j % 5] + np.uint64(j // 5), np.uint64(0)) if len(word) else np.uint64(0)
-            h = (h << np.uint64(13)) | (h >> np.uint64(51))
-        h = _finish(h)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
-        self.hashes, self.owner = h[once], owner[once]
-        self.n = np.bincount(self.owner, minlength=len(place)).astype(np.int64)
+    def __init__(self, texts: list[str | None], size: int, min_words: int):
+        place, copies, parts, counts = [], [], [], []
+        for first, words, lengths in _words(texts):
+            ends = np.cumsum(lengths)
+            kept = np.flatnonzero((lengths >= min_words) & (lengths > 0))
+            place.append(first + kept)
+            if not len(kept):
+                continue
+            h = np.zeros(len(words), np.uint64)
+            for j in range(min(size, len(words))):
+                h[: len(words) - j] += words[j:] * _MIX[j % 5] + np.uint64(j // 5)
+                h = (h << np.uint64(13)) | (h >> np.uint64(51))
+            h = _finish(h)
+            for i in kept.tolist():
+                a, b = int(ends[i] - lengths[i]), int(ends[i])
+                copies.append(xxhash.xxh3_64_intdigest(words[a:b].tobytes()))
+                if b - a < size:  # a text shorter than a run is one run
+                    own = np.array([xxhash.xxh3_64_intdigest(words[a:b].tobytes(), b - a)], np.uint64)
+                else:
+                    own = h[a : b - size + 1]
+                    own.sort()
+                parts.append(own)
+                counts.append(len(own))
+        self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        self.copy = np.array(copies, np.uint64).view(np.int64)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        count = np.array(counts, np.int64)
+        once = np.ones(len(flat), bool)
+        once[1:] = flat[1:] != flat[:-1]
+        ends = np.cumsum(count)
+        once[ends[:-1]] = True
+        self.hashes = flat[once]
+        upto = np.r_[0, np.cumsum(once)]
+        self.ends = upto[ends]
+        self.n = self.ends - upto[ends - count]
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.ends[i] - self.n[i] : self.ends[i]]
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
@@ -117,27 +200,27 @@ def widths(n: np.ndarray) -> np.ndarray:
 
 def signatures(runs: Runs) -> list[bytes]:
     """A bitmap for each text, of the width its size asks for: every hash toggles one bit."""
-    width = widths(runs.n)
-    out: list[bytes] = [b""] * len(width)
-    for w in np.unique(width).tolist():
-        mine = np.flatnonzero(width == w)
-        local = np.full(len(width), -1)
-        for lo in range(0, len(mine), max(1, (1 << 24) // w)):
-            part = mine[lo : lo + max(1, (1 << 24) // w)]
-            local[:] = -1
-            local[part] = np.arange(len(part))
-            at = local[runs.owner]
-            take = at >= 0
-            bit = at[take] * w + (runs.hashes[take] & np.uint64(w - 1)).astype(np.int64)
-            odd = np.bincount(bit, minlength=len(part) * w).astype(np.uint8) & 1
-            rows = np.packbits(odd.reshape(-1, w), axis=1, bitorder="little")
-            for i, row in zip(part.tolist(), rows):
-                out[i] = row.tobytes()
+    out = []
+    for i, w in enumerate(widths(runs.n).tolist()):
+        bit = (runs.of(i) & np.uint64(w - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(bit, minlength=w) & 1).astype(np.uint8), bitorder="little").tobytes())
     return out
 
 
+def packed(runs: Runs) -> list[bytes]:
+    """The upper 40 bits of each text's hashes, ascending, in five bytes each."""
+    flat = np.ascontiguousarray((runs.hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+    return [flat[a:b].tobytes() for a, b in zip((runs.ends - runs.n).tolist(), runs.ends.tolist())]
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).reshape(-1)
+
+
 class Bitmaps:
-    """The bitmaps of a tile's records by width; narrower ones are folded from wider ones when asked for."""
+    """Bitmaps of records by width; narrower ones are folded from wider ones when asked for."""
 
     def __init__(self, n: np.ndarray, packed: list[bytes]):
         self.width = widths(n)
@@ -167,143 +250,170 @@ class Bitmaps:
         out = np.empty(len(a), np.int64)
         width = np.minimum(self.width[a], self.width[b])
         for w in np.unique(width).tolist():
-            for part in np.array_split(np.flatnonzero(width == w), max(1, len(a) * w >> 28)):
+            mine = np.flatnonzero(width == w)
+            for part in np.array_split(mine, max(1, len(mine) * w >> 28)):
                 out[part] = np.bitwise_count(self._at(a[part], w) ^ self._at(b[part], w)).sum(axis=1, dtype=np.int64)
         return out
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (id, copy hash); kind 1: (frequent run, count)."""
+# --- frequency of runs -------------------------------------------------------------------------------------------
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(34)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _coded(count: np.ndarray) -> np.ndarray:
+    """Counts as eighths of their logarithm, in a byte; 0 stays 0."""
+    return np.where(count > 0, np.minimum(255, 1 + np.rint(8 * np.log2(np.maximum(count, 1)))), 0).astype(np.uint8)
+
 
-    def rows(kind: int, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+_DECODED = np.r_[0.0, 2.0 ** (np.arange(255) / 8)]
 
-    def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(lot), return_counts=True) if lot else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = n >= LOT_LEAST
-        return rows(1, h[keep].view(np.int64), n[keep])
 
-    known: dict[str, int] = {}
-    lot: list[np.ndarray] = []
+def _counter_rows(count: np.ndarray) -> pa.RecordBatch:
+    blocks = [(b, _coded(part).tobytes()) for b, part in enumerate(count.reshape(-1, SLOT_BLOCK)) if part.any()]
+    ids = np.array([b for b, _ in blocks], np.int64)
+    return _first_rows(1, ids, np.zeros(len(ids), np.int64), pa.array([blob for _, blob in blocks], pa.binary()))
+
+
+def _first_rows(kind: int, a: np.ndarray, b: np.ndarray, blob: pa.Array | None = None) -> pa.RecordBatch:
+    blob = pa.nulls(len(a), pa.binary()) if blob is None else blob
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), blob], names=["kind", "a", "b", "blob"])
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: (id, copy hash); kind 1: (block of counters, -, counts); kind 2: (places of hashes that will travel, -)."""
+    count = np.zeros(SLOTS, np.uint32)
+    travel = 0
     for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
-        runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
-        yield rows(0, batch.column("id").to_numpy()[runs.place], runs.copy)
-        lot.append(runs.hashes)
-        if sum(map(len, lot)) > LOT:
-            yield counted(lot)
-            lot = []
-    yield counted(lot)
-
-
-def _keys(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int, buckets: int, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """One row per batch and bucket: the prefix hashes that fall there, their places, and the records they come from."""
-    known: dict[str, int] = {}
-    hot, times = frequent.value
+        runs = Runs(batch.column("text").to_pylist(), size, min_words)
+        yield _first_rows(0, batch.column("id").to_numpy()[runs.place], runs.copy)
+        count += np.bincount(_slots(runs.hashes), minlength=SLOTS).astype(np.uint32)
+        travel += int(prefix_length(runs.n, t).sum())
+    yield _counter_rows(count)
+    yield _first_rows(2, np.array([travel]), np.zeros(1, np.int64))
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for a, blob in zip(batch.column("a").to_pylist(), batch.column("blob").to_pylist()):
+            total[a] = total.get(a, 0.0) + _DECODED[np.frombuffer(blob, np.uint8)]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([_coded(v).tobytes() for v in total.values()], pa.binary())], names=["a", "blob"])
+
+
+# --- tiles ---------------------------------------------------------------------------------------------------------
+
+#: One row a batch and bucket. The low 32 bits of a hash stand for it inside a bucket; a chance agreement costs one comparison.
+_BLOBS = ("bucket", "hashes", "owners", "spots", "classes", "sizes", "inside")
+_ROLE = np.uint32(1 << 31)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int, buckets: int, usual: float, counts: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The hashes of every class that may be the first common ones, with their places, by bucket."""
+    codes = np.frombuffer(counts.value, np.uint8)
     for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
-        runs = Runs(batch.column("text").to_pylist(), size, min_words, known)
-        if not runs.place:
+        runs = Runs(batch.column("text").to_pylist(), size, min_words)
+        if not len(runs.n):
             continue
-        ids = batch.column("id").to_numpy()[runs.place]
-        # copies within a batch are one record from here on, under their smallest id
-        order = np.lexsort((ids, runs.copy))
-        lead = np.r_[True, runs.copy[order][1:] != runs.copy[order][:-1]]
-        first = np.zeros(len(ids), bool)
-        first[order[lead]] = True
-        rare = np.zeros(len(runs.hashes), np.int64)
+        _, first = np.unique(runs.copy, return_index=True)  # copies within a batch are one record from here on
+        inside = batch.column("inside").to_numpy(zero_copy_only=False)[runs.place] if "inside" in batch.schema.names else None
+        # ascending: rare runs first, hashes in order among equally rare ones
+        ordered = (codes[_slots(runs.hashes)].astype(np.uint64) << np.uint64(56)) | (runs.hashes >> np.uint64(8))
+        length = prefix_length(runs.n, t)
+        parts = []
+        for i in first.tolist():
+            own = ordered[runs.ends[i] - runs.n[i] : runs.ends[i]]
+            own.sort()
+            parts.append(own[: length[i]])
+        key = np.concatenate(parts)
+        own = np.repeat(first, length[first])
+        spot = np.arange(len(key)) - np.repeat(np.cumsum(length[first]) - length[first], length[first])
+        near = np.minimum(spot * 256 // runs.n[own], 255).astype(np.uint8)  # never beyond the true place
+        role = np.zeros(len(key), np.uint32)
+        tile = key & np.uint64((1 << 56) - 1)
+        often = np.ceil((_DECODED[(key >> np.uint64(56)).astype(np.int64)] - usual) / SPLIT)
+        hot = np.flatnonzero(often > 1)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, runs.hashes), len(hot) - 1)
-            rare = np.where(hot[at] == runs.hashes, times[at], 0)
-        order = np.lexsort((runs.hashes, rare, runs.owner))
-        own = runs.owner[order]
-        spot = np.arange(len(own)) - (np.cumsum(runs.n) - runs.n)[own]
-        keep = first[own] & (spot < prefix_length(runs.n, t)[own])
-        key, own, spot = runs.hashes[order][keep], own[keep], spot[keep]
-        signs = signatures(runs)
-        table = np.stack([ids, runs.copy, runs.n], axis=1)
-        bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            many = often[hot].astype(np.int64)
+            again = np.repeat(hot, many)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+            mine = (runs.copy[own[again]].view(np.uint64) % np.repeat(many, many).astype(np.uint64)).astype(np.int64)
+            pair = np.minimum(mine, other) * (1 << 24) + np.maximum(mine, other)
+            split = _finish(tile[again] ^ _finish(pair.astype(np.uint64) * _MIX[1])) >> np.uint64(8)
+            rest = np.flatnonzero(often <= 1)
+            tile = np.r_[tile[rest], split]
+            role = np.r_[role[rest], (mine > other).astype(np.uint32)]
+            own, near = np.r_[own[rest], own[again]], np.r_[near[rest], near[again]]
+        bucket = ((tile >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
         order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out: list[list] = [[] for _ in range(6)]
-        for b in range(buckets):
-            at = order[bounds[b] : bounds[b + 1]]
-            if len(at):
-                used, local = np.unique(own[at], return_inverse=True)
-                blobs = (key[at].astype(np.uint32), local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.minimum(spot[at], 65_535).astype(np.uint16), table[used])
-                out[0].append(b)
-                for column, value in zip(out[1:], blobs):
-                    column.append(value.tobytes())
-                out[5].append(b"".join(signs[i] for i in used.tolist()))
+        bucket, tile, own, near, role = bucket[order], tile[order].astype(np.uint32), own[order], near[order], role[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        out: list[list] = [[] for _ in _BLOBS]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # two records for one class where a split tile has it in either role
+            used, local = np.unique(own[a:b] * 2 + role[a:b], return_inverse=True)
+            sizes = runs.n[used // 2].astype(np.uint32) | np.where(used % 2 == 1, _ROLE, np.uint32(0))
+            small = sizes.max() < 1 << 16
+            out[0].append(int(bucket[a]))
+            out[1].append(tile[a:b].tobytes())
+            out[2].append(local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
+            out[3].append(near[a:b].tobytes())
+            out[4].append(runs.copy[used // 2].tobytes())
+            out[5].append((sizes.astype(np.uint16) if small else sizes).tobytes())
+            out[6].append(inside[used // 2].astype(np.int64).tobytes() if inside is not None else b"")
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=list(_BLOBS))
 
 
-#: The low 32 bits of a hash stand for it inside a bucket; a chance agreement costs one comparison.
-_BLOBS = ("bucket", "hashes", "owners", "spots", "docs", "signs")
+def _gathered(parts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    keys, owners, spots, classes, sizes, insides, base = [], [], [], [], [], [], 0
+    for tile, own, spot, cls, size, inside in parts:
+        keys.append(np.frombuffer(tile, np.uint32))
+        owners.append(np.frombuffer(own, np.uint16 if 2 * len(keys[-1]) == len(own) else np.uint32).astype(np.int64) + base)
+        spots.append(np.frombuffer(spot, np.uint8))
+        classes.append(np.frombuffer(cls, np.int64))
+        sizes.append(np.frombuffer(size, np.uint16 if 4 * len(size) == len(cls) else np.uint32).astype(np.uint32))
+        insides.append(np.frombuffer(inside, np.int64) if inside else classes[-1])
+        base += len(classes[-1])
+    return tuple(np.concatenate(x) for x in (keys, owners, spots, classes, sizes, insides))
 
 
-def _compare(key: np.ndarray, spot: np.ndarray, n: np.ndarray, own: np.ndarray, maps: Bitmaps, ids: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Pairs of records of one tile that no bound excludes; rows come sorted by (key, n)."""
-    alive = np.arange(len(key) - 1)
-    step = 1
-    while len(alive):
-        alive = alive[alive + step < len(key)]
-        other = alive + step
-        near = (key[alive] == key[other]) & (n[alive] >= t * n[other] - 1e-9)
-        alive, other = alive[near], other[near]  # sizes ascend: what is out of reach stays out of reach
-        for lo in range(0, len(alive), 1 << 16):
-            a, b = alive[lo : lo + (1 << 16)], other[lo : lo + (1 << 16)]
-            need = t * (n[a] + n[b]) - 1e-9
-            room = np.minimum(n[a] - spot[a], n[b] - spot[b]) * (1 + t) >= need
-            a, b, need = a[room], b[room], need[room]
-            keep = ((n[a] + n[b] - maps.apart(own[a], own[b])) // 2) * (1 + t) >= need
-            if keep.any():
-                yield np.sort(np.stack([ids[a[keep]], ids[b[keep]]], axis=1), axis=1)
-        step += 1
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], t: float, star: bool) -> Iterator[pa.RecordBatch]:
     parts: dict[int, list] = {}
     for batch in batches:
         for b, *blobs in zip(*(batch.column(c).to_pylist() for c in _BLOBS)):
             parts.setdefault(b, []).append(blobs)
-    for blobs in parts.values():
-        keys, owners, spots, docs, signs, base = [], [], [], [], [], 0
-        for hashes, own, spot, table, sign in blobs:
-            keys.append(np.frombuffer(hashes, np.uint32))
-            owners.append(np.frombuffer(own, np.uint16 if 2 * len(keys[-1]) == len(own) else np.uint32).astype(np.int64) + base)
-            spots.append(np.frombuffer(spot, np.uint16).astype(np.int64))
-            docs.append(np.frombuffer(table, np.int64).reshape(-1, 3))
-            at = 0
-            for w in (widths(docs[-1][:, 2]) // 8).tolist():
-                signs.append(sign[at : at + w])
-                at += w
-            base += len(docs[-1])
-        blobs.clear()
-        key, own, spot, table = (np.concatenate(x) for x in (keys, owners, spots, docs))
-        order = np.argsort(key, kind="stable")
-        key, own, spot = key[order], own[order], spot[order]
+    for b in list(parts):
+        key, own, spot, cls, size, inside = _gathered(parts.pop(b))
+        role, n = (size >= _ROLE)[own], (size & ~_ROLE).astype(np.int64)[own]
+        order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64), kind="stable")
         shared = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
+        same = key[order][1:] == key[order][:-1]
         shared[1:] |= same
         shared[:-1] |= same
-        key, own, spot = key[shared], own[shared], spot[shared]
-        if not len(key):
+        order = order[shared]
+        if not len(order):
             continue
-        # a class of copies shows all its hashes here, so its smallest id stands for it everywhere
-        by_copy = np.lexsort((table[:, 0], table[:, 1]))
-        lead = np.r_[True, table[by_copy[1:], 1] != table[by_copy[:-1], 1]]
-        rep = np.empty(len(table), np.int64)
-        rep[by_copy] = by_copy[np.maximum.accumulate(np.where(lead, np.arange(len(by_copy)), 0))]
-        own = rep[own]
-        order = np.lexsort((own, table[own, 2], key))
-        key, own, spot = key[order], own[order], spot[order]
-        once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-        key, own, spot = key[once], own[once], spot[once]
+        key, own, spot, role, n = key[order], own[order], spot[order], role[order], n[order]
+        # one entry a class and tile: copies show all their hashes at the same places
+        which = cls[own]
+        order = np.lexsort((which, n, key))
+        key, own, spot, role, n, which = key[order], own[order], spot[order], role[order], n[order], which[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (which[1:] != which[:-1]) | (role[1:] != role[:-1])]
+        key, own, spot, role, n, which = key[once], own[once], spot[once], role[once], n[once], which[once]
+        lead = np.r_[True, key[1:] != key[:-1]]
+        number = np.cumsum(lead) - 1
+        crossed = np.logical_or.reduceat(role, np.flatnonzero(lead))[number]
+        room = n - (spot.astype(np.int64) * n + 255) // 256  # at least what is left from the place on
         found: list[np.ndarray] = []
-        maps = Bitmaps(table[:, 2], signs)
-        for pairs in _compare(key, spot, table[own, 2], own, maps, table[own, 0], t):
-            found.append(pairs)
+        for a, b in _star(key, n, t, lead) if star else _near(key, n, t):
+            ok = (which[a] != which[b]) & (~crossed[a] | (role[a] != role[b])) & (inside[own[a]] != inside[own[b]] if not star else True)
+            ok &= np.minimum(room[a], room[b]) * (1 + t) >= t * (n[a] + n[b]) - 1e-9
+            a, b = a[ok], b[ok]
+            found.append(np.sort(np.stack([which[a], which[b]], axis=1), axis=1))
             if sum(map(len, found)) > 1_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
                 if len(found[0]) > 500_000:
@@ -312,35 +422,94 @@ def _tiles(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBat
             yield _pairs(np.unique(np.concatenate(found), axis=0))
 
 
+def _near(key: np.ndarray, n: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries of one tile or of adjoining size bands, within reach of each other; entries come sorted by (key, n)."""
+    alive, step = np.arange(len(key) - 1), 1
+    while len(alive):
+        alive = alive[alive + step < len(key)]
+        other = alive + step
+        near = (key[alive] == key[other]) & (n[alive] >= t * n[other] - 1e-9)
+        alive, other = alive[near], other[near]  # sizes ascend: what is out of reach stays out of reach
+        for lo in range(0, len(alive), 1 << 18):
+            yield alive[lo : lo + (1 << 18)], other[lo : lo + (1 << 18)]
+        step += 1
+
+
+def _star(key: np.ndarray, n: np.ndarray, t: float, lead: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each entry with the smallest one of its tile and band, and that one with the smallest of the band below."""
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(1 / t)).astype(np.int64) if t < 1 else n
+    first = lead.copy()
+    first[1:] |= band[1:] != band[:-1]
+    at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    entry = np.flatnonzero(~first)
+    yield at[entry], entry
+    entry = np.flatnonzero(first & ~lead)
+    yield at[entry - 1], entry
+
+
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, text) of the records that the filter lets through."""
-    for batch in batches:
-        yield batch.select(["id", "text"]).filter(pa.array(wanted.value[batch.column("slot").to_numpy()]))
+# --- decision ------------------------------------------------------------------------------------------------------
 
 
-def _verify(batches: Iterator[pa.RecordBatch], size: int, t: float) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in portions(batches, "ta", "tb"):
-        if not batch.num_rows:
-            continue
-        ids = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
-        _, first, back = np.unique(ids, return_index=True, return_inverse=True)
-        texts = batch.column("ta").to_pylist() + batch.column("tb").to_pylist()
-        runs = Runs([texts[i] for i in first.tolist()], size, 1, known)
-        ends = np.cumsum(runs.n)
-        keep = []
-        for i, j in zip(*np.split(back.reshape(-1), 2)):
-            x, y = runs.hashes[ends[i] - runs.n[i] : ends[i]], runs.hashes[ends[j] - runs.n[j] : ends[j]]
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(both >= t * (len(x) + len(y) - both) - 1e-9)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _sets(batches: Iterator[pa.RecordBatch], size: int, min_words: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(id, n, bitmap, hashes) of the records that the filter lets through."""
+    bits = np.frombuffer(wanted.value, np.uint8)
+    for batch in portions(batches, "text"):
+        slot = batch.column("slot").to_numpy()
+        batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
+        runs = Runs(batch.column("text").to_pylist(), size, min_words)
+        ids = batch.column("id").to_numpy()[runs.place]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs.n, pa.int64()), pa.array(signatures(runs), pa.binary()), pa.array(packed(runs), pa.binary())], names=["id", "n", "sign", "runs"])
+
+
+def _decide(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Rows come by place: first its records (a: id), then its pairs. What has been read of a place stays until it ends."""
+    ids: list[int] = []
+    sizes: list[int] = []
+    signs: list[bytes] = []
+    blobs: list[bytes] = []
+    at: dict[int, int] = {}
+    now = None
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+        columns = [batch.column(c) for c in ("a", "b", "n", "sign", "runs")]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if place[lo] != now:
+                now = place[lo]
+                at, ids, sizes, signs, blobs = {}, [], [], [], []
+            a, b, n, sign, runs = (c.slice(lo, hi - lo).to_pylist() for c in columns)
+            split = next((i for i, x in enumerate(b) if x is not None), hi - lo)
+            for i in range(split):
+                if a[i] not in at:
+                    at[a[i]] = len(at)
+                    sizes.append(n[i])
+                    signs.append(sign[i])
+                    blobs.append(runs[i])
+            if split == hi - lo:
+                continue
+            yield _kept(np.array(a[split:]), np.array(b[split:]), at, np.array(sizes), signs, blobs, t)
+
+
+def _kept(a: np.ndarray, b: np.ndarray, at: dict[int, int], n: np.ndarray, signs: list[bytes], blobs: list[bytes], t: float) -> pa.RecordBatch:
+    x = np.array([at[i] for i in a.tolist()])
+    y = np.array([at[i] for i in b.tolist()])
+    maps = Bitmaps(n, signs)
+    need = t * (n[x] + n[y]) - 1e-9
+    keep = (n[x] + n[y] - maps.apart(x, y)) // 2 * (1 + t) >= need
+    sets: dict[int, np.ndarray] = {}
+    for k in np.flatnonzero(keep).tolist():
+        i, j = (x[k], y[k]) if n[x[k]] <= n[y[k]] else (y[k], x[k])
+        for v in (i, j):
+            if v not in sets:
+                sets[v] = unpacked(blobs[v])
+        small, large = sets[i], sets[j]
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        keep[k] = both >= t * (len(small) + len(large) - both) - 1e-9
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
 class NearDuplicates:
@@ -348,36 +517,74 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 1):
         """``docs``: id BIGINT and text STRING; ids are taken to be unique, other columns are ignored."""
-        spark = docs.sparkSession
+        self.spark = spark = docs.sparkSession
+        self.size, self.threshold, self.min_words = size, threshold, min_words
         self.scratch = scratch = Scratch(spark)
-        docs = docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
-        first = scratch.write(docs.mapInArrow(lambda it: _first_pass(it, size, min_words), "kind int, a bigint, b bigint"), "first")
+        self.docs = docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
+        first = scratch.write(self.docs.mapInArrow(lambda it: _first_pass(it, size, threshold, min_words), "kind int, a bigint, b bigint, blob binary"), "first")
         copies = first.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("copy"))
-        leads = copies.groupBy("copy").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
-        self.classes = copies.join(leads, "copy").select("id", "class_id", "n_copies")
-        top = first.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
-        hot = np.array([r.a for r in top], np.int64).view(np.uint64)
-        frequent = spark.sparkContext.broadcast((np.sort(hot), np.array([r.n for r in top], np.int64)[np.argsort(hot)]))
-        buckets = max(1, partitions(spark) // 2)  # a record's bitmap goes to every bucket it has a hash in
+        self.leads = copies.groupBy("copy").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+        self.classes = copies.join(self.leads, "copy").select("id", "class_id", "n_copies")
+        counters = first.filter("kind = 1").select("a", "blob").mapInArrow(_added, "a bigint, blob binary").repartition(SLOTS // SLOT_BLOCK, "a")
+        codes = np.zeros(SLOTS, np.uint8)
+        for row in counters.mapInArrow(_added, "a bigint, blob binary").collect():  # SLOTS bytes in all
+            codes[row.a * SLOT_BLOCK : (row.a + 1) * SLOT_BLOCK] = np.frombuffer(row.blob, np.uint8)
+        self.usual = float(_DECODED[int(np.median(codes))])
+        self.counts = spark.sparkContext.broadcast(codes.tobytes())
+        travel = first.filter("kind = 2").agg(F.sum("a").alias("n")).first().n or 0
+        self.buckets = max(1, -(-travel // BUCKET))
+
+    def _candidates(self, name: str, star: bool = False, inside: DataFrame | None = None) -> DataFrame:
+        """(a, b) of class representatives that no bound of the tiles excludes; a < b.
+
+        ``star``: only each record with the smallest of its tile. ``inside`` (id, inside): pairs with equal ``inside`` are left out.
+        """
+        size, t, least, buckets, usual, counts = self.size, self.threshold, self.min_words, self.buckets, self.usual, self.counts
+        docs = self.docs
+        if inside is not None:
+            docs = docs.join(inside, "id").select("id", "text", "inside")
         keyed = docs.mapInArrow(
-            lambda it: _keys(it, size, threshold, min_words, buckets, frequent), "bucket int, hashes binary, owners binary, spots binary, docs binary, signs binary"
+            lambda it: _keys(it, size, t, least, buckets, usual, counts),
+            "bucket int, hashes binary, owners binary, spots binary, classes binary, sizes binary, inside binary",
         )
-        met = keyed.repartition(buckets, "bucket").mapInArrow(lambda it: _tiles(it, threshold), "a bigint, b bigint").distinct()
-        candidates = scratch.write(met, "candidates")
+        met = keyed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _tiles(it, t, star), "a bigint, b bigint").distinct()
+        lead = self.leads.select("copy", "class_id")
+        ids = met.join(lead.select(F.col("copy").alias("a"), F.col("class_id").alias("x")), "a").join(lead.select(F.col("copy").alias("b"), F.col("class_id").alias("y")), "b")
+        return self.scratch.write(ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), name)
+
+    def _decided(self, candidates: DataFrame, name: str) -> DataFrame:
+        """The candidates that reach the threshold."""
+        size, t, least = self.size, self.threshold, self.min_words
+        ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
+        low = ends.select("e.u", "e.v").groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("a"), F.least("u", "v").alias("low"))
+        low = self.scratch.write(low, f"{name}-low")
+        blocks = low.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+        pairs = candidates.join(low.join(blocks, "low"), "a").select("a", "b", F.xxhash64("low", block("a"), block("b")).alias("place"))
+        pairs = self.scratch.write(pairs, f"{name}-placed")
         slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")
-        ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("slot"))
-        words = ends.groupBy((F.col("slot") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("slot").cast("bigint") % 32768).alias("bits"))
-        wanted = np.zeros((FILTER_BITS // 32768, 32768), bool)
-        for row in words.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
-            wanted[row.at] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
-        bits = spark.sparkContext.broadcast(wanted.reshape(-1))
-        texts = docs.withColumn("slot", slot).mapInArrow(lambda it: _wanted(it, bits), "id bigint, text string")
-        one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        both = candidates.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-        sure = both.mapInArrow(lambda it: _verify(it, size, threshold), "a bigint, b bigint")
-        self.pairs = scratch.write(sure, "sure")
-        scratch.drop("candidates")
+        seen = low.select(F.pmod(F.xxhash64("a"), F.lit(FILTER_BITS)).alias("slot"))
+        words = seen.groupBy((F.col("slot") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+        wanted = bytearray(FILTER_BITS // 8)
+        for row in words.collect():  # FILTER_BITS / 8 bytes in all
+            wanted[row.at * 4096 : row.at * 4096 + len(row.bits)] = row.bits
+        bits = self.spark.sparkContext.broadcast(bytes(wanted))
+        sets = self.docs.withColumn("slot", slot).mapInArrow(lambda it: _sets(it, size, least, bits), "id bigint, n bigint, sign binary, runs binary")
+        goes = pairs.select("place", F.explode(F.array("a", "b")).alias("id")).distinct()
+        records = goes.join(sets, "id").select("place", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "sign", "runs")
+        nothing = F.lit(None).cast("binary")
+        both = records.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("bigint").alias("n"), nothing.alias("sign"), nothing.alias("runs")))
+        placed = both.repartition(partitions(self.spark), "place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+        out = self.scratch.write(placed.mapInArrow(lambda it: _decide(it, t), "a bigint, b bigint"), name)
+        self.scratch.drop(f"{name}-low", f"{name}-placed")
+        return out
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(a, b): similar pairs of class representatives; a < b."""
+        out = self._decided(self._candidates("candidates"), "sure")
+        self.scratch.drop("candidates")
+        return out
 
     def record_pairs(self) -> DataFrame:
         """(a, b): all similar pairs of records, copies written out; a < b."""
@@ -390,17 +597,21 @@ class NearDuplicates:
         return across.unionByName(within.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def groups(self, docs: DataFrame | None = None) -> DataFrame:
-        """(id, group_id, n_links): records joined directly or over others; n_links: links to other classes.
+        """(id, group_id): records joined directly or over others; a record without partner is its own group.
 
-        Copies are joined by membership and not counted as links. A record without partner is its own group.
         With ``docs`` (a column ``id``), its records that have fewer than ``min_words`` words, or none, come out too, each as its own group.
+        Pairs inside a group that the first round has joined are not compared.
         """
-        named = connected_groups(self.pairs).select(F.col("vertex").alias("class_id"), "group_id")
-        links = self.pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-        out = self.classes.join(named, "class_id", "left").join(links, "class_id", "left")
+        near = self._decided(self._candidates("stars", star=True), "joined")
+        joined = self.scratch.write(connected_groups(near), "joined-groups").select(F.col("vertex").alias("class_id"), F.col("group_id").alias("g"))
+        leads = self.leads.select("class_id")
+        inside = leads.join(joined, "class_id", "left").select(F.col("class_id").alias("id"), F.coalesce("g", "class_id").alias("inside"))
+        rest = self._decided(self._candidates("apart", inside=inside), "rest")
+        named = connected_groups(near.unionByName(rest)).select(F.col("vertex").alias("class_id"), "group_id")
+        out = self.classes.join(named, "class_id", "left")
         if docs is not None:
             out = docs.select(F.col("id").cast("bigint").alias("id")).filter("id IS NOT NULL").join(out, "id", "left")
-        return out.select("id", F.coalesce("group_id", "class_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        return out.select("id", F.coalesce("group_id", "class_id", "id").alias("group_id"))
 
 
 def page_docs(raw_pages: DataFrame, redirects: bool = False) -> DataFrame:

@@ -134,6 +134,17 @@ c AS (SELECT a.raw_id AS x, b.raw_id AS y, count(*) AS c FROM s a JOIN s b ON a.
 SELECT x AS raw_id_a, y AS raw_id_b FROM c JOIN n p ON p.raw_id = x JOIN n q ON q.raw_id = y WHERE c >= 0.5 * (p.n + q.n - c)"""
 
 
+_P1_GROUPS = rf"""
+WITH RECURSIVE w AS (SELECT raw_id, regexp_extract_all(lower({_TEXT}), '[\p{{L}}\p{{N}}_]+') AS ws FROM raw_pages),
+s AS (SELECT DISTINCT raw_id, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT raw_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT raw_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.raw_id AS x, b.raw_id AS y, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.raw_id <> b.raw_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n p ON p.raw_id = x JOIN n q ON q.raw_id = y WHERE c >= 0.8 * (p.n + q.n - c)),
+walk AS (SELECT x AS v, y AS w FROM e UNION SELECT walk.v, e.y FROM walk JOIN e ON e.x = walk.w),
+g AS (SELECT v AS raw_id, least(v, min(w)) AS group_id FROM walk GROUP BY v)
+SELECT r.raw_id, coalesce(g.group_id, r.raw_id) AS group_id FROM raw_pages r LEFT JOIN g USING (raw_id)"""
+
+
 def _same_look(text: str) -> str:
     """Width, spaces, unseen characters, equal shapes and accents by tables alone."""
     shapes = lookalikes.SHAPE | {"ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï"}
@@ -147,6 +158,7 @@ def _same_look(text: str) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_groups": _P1_GROUPS,
         "p6_found": f"""WITH l AS (SELECT link_id, target, {_same_look("target")} AS form FROM parsed_links WHERE target <> ''),
           p AS (SELECT page_id, title, {_same_look("title")} AS form FROM pages WHERE title <> '')
           SELECT link_id, page_id FROM l JOIN p USING (form) WHERE target <> title""",

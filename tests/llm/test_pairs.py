@@ -53,10 +53,55 @@ def test_near_duplicates_of_nothing(spark):
         assert found.groups().count() == sum(1 for i, t in rows if i and t)
 
 
+def test_a_large_cluster_is_grouped_without_all_its_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        words[rng.randrange(120)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(5000 + i, " ".join(f"x{i}_{j}" for j in range(50))) for i in range(20)]
+    found = N.NearDuplicates(spark.createDataFrame(rows, "id bigint, text string"), 3, 0.8)
+    sizes = []
+    monkeypatch.setattr(found.scratch, "write", lambda df, name, write=found.scratch.write: sizes.append((name, (out := write(df, name)).count())) or out)
+    groups = {r.id: r.group_id for r in found.groups().collect()}
+    assert all(groups[i] == 0 for i in range(1000)) and all(groups[5000 + i] == 5000 + i for i in range(20))
+    assert max(n for _, n in sizes) < 150_000, sizes  # all pairs would be 499,500
+
+
+@pytest.mark.parametrize("split", [20_000, 5])
+def test_split_tiles_lose_nothing(spark, monkeypatch, split):
+    monkeypatch.setattr(N, "SPLIT", split)
+    monkeypatch.setattr(N, "BUCKET", 300)
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(common + rng.choices(WORDS, k=rng.choice([1, 2, 3, 8])))) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    runs = {i: set(zip(w := text.split(), w[1:], w[2:])) for i, text in rows}
+    want = {(a, b) for a, b in combinations(sorted(runs), 2) if len(runs[a] & runs[b]) >= 0.5 * len(runs[a] | runs[b])}
+    got = [tuple(r) for r in N.NearDuplicates(docs, 3, 0.5).record_pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_words_as_the_pattern_finds_them():
+    texts = ["", None, "Σ ΑΣ ΑΣ. İx", "ß é_1 \u0301x", "x" * (N.CHUNK * 2 + 5) + " y", " ".join(f"w{i}" for i in range(80_000)), "a\nb\x00c d", "\ud800 a"]
+    seen = {}
+    for first, words, lengths in N._words(texts):
+        for k, end in enumerate(np.cumsum(lengths).tolist()):
+            own = N.words_of(texts[first + k])
+            assert len(own) == lengths[k]
+            for word, h in zip(own, words[end - lengths[k] : end].tolist()):
+                assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_bitmap_bound_holds():
     rng = random.Random(2)
     texts = [" ".join(rng.choices(WORDS, k=n)) for n in (5, 90, 120, 150, 300, 500, 900)]
-    runs = N.Runs(texts, 3, 1, {})
+    runs = N.Runs(texts, 3, 1)
     maps = N.Bitmaps(runs.n, N.signatures(runs))
     sets = [set(runs.hashes[runs.owner == i].tolist()) for i in range(len(texts))]
     a, b = (np.array(x) for x in zip(*combinations(range(len(texts)), 2)))
