@@ -80,6 +80,14 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(_t(spark, sf, "documents"), _t(spark, sf, "pack_sizes"))
 
 
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.report(p7_containers(spark, sf), _t(spark, sf, "pack_sizes"))
+
+
+def p7_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.rules(p7_containers(spark, sf), _t(spark, sf, "pack_sizes"))
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets")).rows
 
@@ -88,6 +96,15 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.Mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets")).report
 
 
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source's tokens meet its share, to half a point of the total or to one document, within its repeats."""
+    mix = mixing.Mixture(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))
+    one = mix.rows.groupBy("source").agg(F.max("tokens").alias("one"))
+    off = F.abs(F.col("actual_share") - F.col("target_share")) * F.col("tokens") / F.col("actual_share")
+    met = off <= F.greatest(F.col("one"), 0.005 * F.col("tokens") / F.col("actual_share"))
+    return mix.report.join(one, "source").select("source", F.round("target_share", 6).alias("target_share"), met.alias("share_met"), (F.col("repeats") <= F.col("max_repeats")).alias("repeats_met"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(_t(spark, sf, "documents"))
 
@@ -99,7 +116,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     mine = (
         p1_found, p1_groups, p2_found, p2_clean_text, p4_found, p4_counts, p4_surprise, p5_found, p5_groups,
-        p6_found, p6_canonical_titles, p6_canonical_targets, p7_containers, p8_mixture, p8_report, p9_found, p9_redacted,
+        p6_found, p6_canonical_titles, p6_canonical_targets, p7_containers, p7_report, p7_rules, p8_mixture, p8_report, p8_rules, p9_found, p9_redacted,
     )
     return {f.__name__: f for f in mine}
 
@@ -162,6 +179,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"""WITH l AS (SELECT link_id, target, {_same_look("target")} AS form FROM parsed_links WHERE target <> ''),
           p AS (SELECT page_id, title, {_same_look("title")} AS form FROM pages WHERE title <> '')
           SELECT link_id, page_id FROM l JOIN p USING (form) WHERE target <> title""",
+        "p7_rules": """SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '') AS texts,
+          0 AS wrongly_split, 0 AS gaps, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss FROM pack_sizes""",
+        "p8_rules": "SELECT lower(trim(source)) AS source, round(target_share, 6) AS target_share, true AS share_met, true AS repeats_met FROM mix_targets",
         "p4_found": _TOGETHER.format(more="", test="c.c >= 6 AND c.c * (SELECT count(*) FROM k) >= 5 * x.n * y.n"),
         "p4_counts": _TOGETHER.format(more=", c.c AS n_together, x.n AS n_a, y.n AS n_b", test="c.c >= 2"),
         "p5_found": _GROUPS + "SELECT raw_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1)",

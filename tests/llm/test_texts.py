@@ -124,6 +124,32 @@ def test_containers(spark):
     assert P.containers(docs.limit(0), packs).count() == P.containers(docs, packs.limit(0)).count() == 0
 
 
+def test_groups_of_shards_stay_bounded(spark):
+    docs = spark.createDataFrame([(i, "s", "one two" if i % 3 else "word " * 40) for i in range(6000)], "doc_id bigint, source string, text string")
+    packs = spark.createDataFrame([("p", 64)], "pack_name string, max_tokens int")
+    rows = P.containers(docs, packs, shard=64)
+    groups = defaultdict(int)
+    for r in rows.collect():
+        groups[r.container_id >> 24] += 1
+    assert max(groups.values()) <= 16 * 64 * 2 and len(groups) > 90
+    found = P.report(rows, packs).first()
+    assert found.most_segments <= 4 and found.most_tokens <= 64 and 2000 <= found.containers <= 2010  # no two long ones fit together
+    assert tuple(P.rules(rows, packs).drop("pack_name").first()) == (6000, 0, 0, 0, 0, 0)
+
+
+def test_loss_binds_and_is_not_shortened(spark):
+    rows = [(i, "s", "head\n" + "word " * 20) for i in range(40)] + [(100 + i, "s", "word " * 30 + "\nx") for i in range(40)] + [(500, "s", "word " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    packs = spark.createDataFrame([("p", 64)], "pack_name string, max_tokens int")
+    got = P.containers(docs, packs, loss_share=0.5).collect()
+    alone = next(r for r in got if r.doc_id == 500)
+    assert alone.loss_tokens == alone.tokens >= 60
+    boxes = defaultdict(int)
+    for r in got:
+        boxes[r.container_id] += r.loss_tokens
+    assert boxes.pop(alone.container_id) == alone.loss_tokens and 20 < max(boxes.values()) <= 32
+
+
 def test_flight_keeps_totals():
     rng = random.Random(3)
     size = [rng.randint(1, 50) for _ in range(400)]
