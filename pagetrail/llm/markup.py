@@ -31,29 +31,27 @@ from pagetrail.llm.trees import DecisionTree
 OPEN, CLOSE = "\ue000", "\ue001"
 KINDS = ("heading", "list_item", "code", "formula")
 
-_PROTECT = re.compile(
-    r"""(?=[<`~\\$])(?:(?P<comment><!--.*?-->)
-    |(?P<nowiki><nowiki>(?P<plain>.*?)</nowiki>)
-    |(?P<tag><(?P<tagname>pre|syntaxhighlight|source)\b[^<>]*(?<!/)>(?P<tagbody>.*?)</(?P=tagname)\s*>)
-    |(?P<math><math\b[^<>]*(?<!/)>(?P<mathbody>.*?)</math\s*>)
-    |(?P<fence>(?:(?<=\n)|(?<=\n[ ])|(?<=\n[ ]{2})|(?<=\n[ ]{3})|\A)(?P<fencemark>`{3,}|~{3,})[^\n`]*\n(?P<fencebody>(?:.*?\n)??)[ ]{0,3}(?P=fencemark)[`~]*[ \t]*(?=\n|\Z))
-    |(?P<listing>\\begin\{(?P<listname>verbatim\*?|lstlisting|minted|Verbatim)\}(?P<listbody>.*?)\\end\{(?P=listname)\})
-    |(?P<env>\\begin\{(?P<envname>equation\*?|align\*?|displaymath|math|gather\*?|multline\*?|eqnarray\*?)\}(?P<envbody>.*?)\\end\{(?P=envname)\})
-    |(?<!\\)(?P<dd>\$\$(?P<ddbody>[^$]+?)\$\$)
-    |(?<!\\)(?P<bracket>\\\[(?P<bracketbody>.+?)\\\]|\\\((?P<parenbody>.+?)\\\))
-    |(?<![\\$\w])(?P<dollar>\$(?P<dollarbody>[^\s$](?:[^$\n]*[^\s$\\])?)\$)(?![\d$])
-    |(?P<inline>(?<!`)(?P<ticks>`{1,2})(?!`)(?P<inlinebody>[^`\n]+)(?P=ticks)(?!`)))""",
-    re.X | re.S | re.I,
+_TEXT_ENVS = r"verbatim\*?|lstlisting|minted|Verbatim"
+_MATH_ENVS = r"equation\*?|align\*?|displaymath|math|gather\*?|multline\*?|eqnarray\*?"
+#: Where a span that holds no markup of its own may begin.
+_OPENER = re.compile(
+    rf"""(?=[<`~\\$])(?:(?P<comment><!--)|(?P<nowiki><nowiki>)|<(?P<tag>pre|syntaxhighlight|source|math)\b[^<>]*(?<!/)>
+    |(?:\A|(?<=\n)|(?<=\n[ ])|(?<=\n[ ]{{2}})|(?<=\n[ ]{{3}}))(?P<fence>`{{3,}}|~{{3,}})[^\n`]*\n
+    |\\begin\{{(?P<env>{_TEXT_ENVS}|{_MATH_ENVS})\}}
+    |(?<!\\)(?:(?P<dd>\$\$)|\\(?P<bracket>[\[(]))
+    |(?<![\\$\w])\$(?P<dollar>[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\d$])
+    |(?<!`)(?P<ticks>`{{1,2}})(?!`)(?P<inline>[^`\n]+)(?P=ticks)(?!`))""",
+    re.X | re.I,
 )
 _HINT = re.compile(r"<!--|<nowiki>|<pre|<syntaxhighlight|<source|<math|```|~~~|\\begin|\\\[|\\\(|\$|`", re.I)
 _NEST = re.compile(r"\{\{|\}\}|\{\||\|\}(?!\})|<table\b[^<>]*>|</table\s*>", re.I)
 _BREAK = re.compile(r"(?i)(?=<(?:h[1-6]|li|ul|ol|dl|p|div|table)\b)|(?<=</h[1-6]>)|(?<=</li>)|(?<=</p>)|(?<=</ul>)|(?<=</ol>)")
+_CODE_IN_PRE = re.compile(r"\s*<code\b[^<>]*>(.*)</code>\s*", re.S | re.I)
 _SPAN = re.compile(f"{OPEN}(\\d+){CLOSE}")
-_LINK = re.compile(r"\[\[([^\[\]]*)\]\]|\[([^\[\]]*)\]\([^()\s]*\)|<a\b[^<>]*>(.*?)</a>", re.I | re.S)
+_LINK = re.compile(r"\[\[([^\[\]]*)\]\]|\[([^\[\]]*)\]\([^()\s]*\)|<a\b[^<>]*>((?:[^<]|<(?!/?a\b))*)</a>", re.I)
 _FURNITURE = re.compile(
     r"\[\[(?:Category|File|Image)\s*:[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]\s*$|__[A-Z]+__|\\(?:label|begin|end|maketitle|tableofcontents|usepackage|documentclass)\b|\||!|</?(?:ul|ol|dl|table|div)\b[^<>]*>\s*$|#redirect\b", re.I
 )
-_EQ = re.compile(r"(={1,6})(.*[^=\s].*?|[^=\s])(={1,6})\s*$")
 _HTML_H = re.compile(r"<h([1-6])\b[^<>]*>", re.I)
 _SECTION = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\s*\{")
 _NUMBER = re.compile(r"\d{1,9}[.)]\s+\S")
@@ -61,7 +59,7 @@ _NUMBER = re.compile(r"\d{1,9}[.)]\s+\S")
 _SIGNS: tuple[tuple[tuple[str, re.Pattern | None], ...], ...] = (
     (
         *((t, None) for t in ("[[", "{{", "{|", "<ref", "<nowiki>", "<syntaxhighlight", "<source ", "<math")),
-        ("''", re.compile(r"(?<!\w)''+(?=\w)")),
+        ("''", re.compile(r"(?<![\w'])''++(?=\w)")),
         ("=", re.compile(r"^=+[^=\n]+=+[ \t]*$", re.M)),
         ("__", re.compile(r"__[A-Z]+__")),
     ),
@@ -86,16 +84,20 @@ _SIGNS: tuple[tuple[tuple[str, re.Pattern | None], ...], ...] = (
 )
 MARKERS = (
     "none", "equals", "hash", "hash_tight", "star", "star_tight", "dash", "number", "html_h", "html_li", "section", "item",
-    "underlined", "code", "formula", "dollar", "furniture", "rule",
+    "underlined", "code", "formula", "dollar", "furniture", "rule", "colon_list", "indented",
 )
 _M = {name: i for i, name in enumerate(MARKERS)}
 
 
+_LISTS = frozenset(("dash", "number", "star", "star_tight", "html_li", "item", "colon_list"))
+
+
 class Block:
-    __slots__ = ("marker", "depth", "body", "words", "density", "span_of")
+    __slots__ = ("marker", "depth", "body", "words", "density", "span_of", "gap")
 
     def __init__(self, marker: str, body: str, depth: int = 0, words: int = 0, density: float = 0.0, span_of: int = -1):
         self.marker, self.depth, self.body, self.words, self.density, self.span_of = marker, depth, body, words, density, span_of
+        self.gap = False  # an empty line before it
 
 
 def _without_nested(text: str) -> str:
@@ -122,36 +124,63 @@ def _without_nested(text: str) -> str:
     return "".join(out)
 
 
+@cache
+def _closer(key: str) -> re.Pattern:
+    """What ends a span of this kind."""
+    if key in ("pre", "syntaxhighlight", "source", "math"):
+        return re.compile(rf"</{key}\s*>", re.I)
+    if key[0] in "`~":
+        return re.compile(rf"^[ ]{{0,3}}{key}[`~]*[ \t]*$", re.M)
+    return re.compile(re.escape(key), re.I)
+
+
+def _protected(text: str, spans: list[tuple[str, str]]) -> str:
+    """The text with every span whose inside is no markup replaced by its number in ``spans``; comments are dropped.
+
+    One scan: where the end of a span was looked for in vain, no later span of that kind ends either.
+    """
+    out: list[str] = []
+    never: set[str] = set()
+    done = at = 0
+    while (m := _OPENER.search(text, at)) is not None:
+        g = m.lastgroup
+        at = m.start() + 1
+        if g == "inline" or g == "dollar":
+            found, body, end = "plain" if g == "inline" else "dollar", m[g], m.end()
+        else:
+            key = {"comment": "-->", "nowiki": "</nowiki>", "dd": "$$"}.get(g) or (m[g].lower() if g in ("tag", "env") else m[g])
+            key = {"[": r"\]", "(": r"\)"}.get(key, key) if g == "bracket" else rf"\end{{{key}}}" if g == "env" else key
+            if key in never:
+                continue
+            close = _closer(key).search(text, m.end())
+            if close is None:
+                never.add(key)
+                continue
+            body, end = text[m.end() : close.start()], close.end()
+            if g == "dd" and ("$" in body or not body):  # the next sign is a single one
+                continue
+            if g == "bracket" and not body:
+                continue
+            code = g == "fence" or (g == "tag" and key != "math") or (g == "env" and re.fullmatch(_TEXT_ENVS, m[g], re.I))
+            found = "comment" if g == "comment" else "plain" if g == "nowiki" else "code" if code else "formula"
+            if g == "tag" and (inner := _CODE_IN_PRE.fullmatch(body)):
+                body = html.unescape(inner[1])
+        out.append(text[done : m.start()])
+        if found != "comment":
+            out.append(f"{OPEN}{len(spans)}{CLOSE}")
+            spans.append((found, body))
+        done = at = end
+    out.append(text[done:])
+    return "".join(out)
+
+
 def blocks_of(text: str) -> tuple[list[Block], list[int]]:
     """The flat blocks of a text in order, and how strongly its signs speak for wiki, HTML, Markdown and TeX."""
     spans: list[tuple[str, str]] = []
 
-    def protect(m: re.Match) -> str:
-        g = m.group
-        if g("comment") is not None:
-            return ""
-        if g("nowiki") is not None:
-            spans.append(("plain", g("plain")))
-        elif g("tag") is not None:
-            body = g("tagbody")
-            inner = re.fullmatch(r"\s*<code\b[^<>]*>(.*)</code>\s*", body, re.S | re.I)
-            spans.append(("code", html.unescape(inner[1]) if inner else body))
-        elif g("fence") is not None:
-            spans.append(("code", g("fencebody")))
-        elif g("listing") is not None:
-            spans.append(("code", g("listbody")))
-        elif g("inline") is not None:
-            spans.append(("plain", g("inlinebody")))
-        elif g("dollar") is not None:
-            spans.append(("dollar", g("dollarbody")))
-        else:
-            body = next(b for b in (g("mathbody"), g("envbody"), g("ddbody"), g("bracketbody"), g("parenbody")) if b is not None)
-            spans.append(("formula", body))
-        return f"{OPEN}{len(spans) - 1}{CLOSE}"
-
     if OPEN in text or CLOSE in text:
         text = text.replace(OPEN, "\ufffd").replace(CLOSE, "\ufffd")
-    plain = _PROTECT.sub(protect, text) if _HINT.search(text) else text
+    plain = _protected(text, spans) if _HINT.search(text) else text
     signs = [0, 0, 0, 0]
     for k, language in enumerate(_SIGNS):
         for gate, pattern in language:
@@ -165,33 +194,59 @@ def blocks_of(text: str) -> tuple[list[Block], list[int]]:
     plain = _without_nested(plain)
     if "<" in plain:
         plain = "\n".join(p for p in _BREAK.split(plain) if p)
-    lines = [line.strip() for line in plain.split("\n")]
+    raw = plain.split("\n")
+    lines = [line.strip() for line in raw]
+    may_indent = signs[2] >= max(signs)
+    code: list[str] = []
     out: list[Block] = []
+    gap = True
     for i, bare in enumerate(lines):
+        if bare[:1] == ">":
+            bare = bare.lstrip("> \t")
         if not bare or bare in ("<p>", "</p>", "</li>", "<br>", "<br />"):
+            gap = gap or not bare
             continue
+        if may_indent and raw[i].startswith(("    ", "\t")) and bare[0] not in "<\\" and OPEN not in bare:
+            if code or (gap and (not out or out[-1].marker not in _LISTS)):
+                code += [""] * (gap and bool(code)) + [raw[i].removeprefix("\t").removeprefix("    ")]
+                gap = False
+                continue
+        if code:
+            out.append(_indented(code))
+            code = []
         line_no = len(out)
         found = _line(bare, lines[i + 1] if i + 1 < len(lines) else "", spans)
         if found is not None:
+            found.gap = gap
             out.append(found)
+        gap = False
         if OPEN in bare:
             for m in _SPAN.finditer(bare):
                 kind, body = spans[int(m[1])]
                 if kind != "plain":
                     out.append(Block(kind, body, words=body.count(" ") + 1, span_of=line_no if found is not None else -1))
+    if code:
+        out.append(_indented(code))
     for block in out:
         if OPEN in block.body:
             block.body = _SPAN.sub(lambda m: spans[int(m[1])][1] if spans[int(m[1])][0] == "plain" else f"{OPEN}{m[1]}{CLOSE}", block.body)
     return out, signs
 
 
+def _indented(lines: list[str]) -> Block:
+    block = Block("indented", "\n".join(lines), words=sum(line.count(" ") + 1 for line in lines))
+    block.gap = True
+    return block
+
+
 def _line(bare: str, following: str, spans: list) -> Block | None:
     """The block of one line; None for a line that is only code or a formula."""
     if bare[0] == OPEN and _SPAN.sub("", bare).strip(" .,;") == "" and all(spans[int(m[1])][0] != "plain" for m in _SPAN.finditer(bare)):
         return None
     marker, depth, body, first = "none", 0, bare, bare[0]
-    if first == "=" and (m := _EQ.match(bare)):
-        marker, depth, body = "equals", min(len(m[1]), len(m[3])), m[2].strip()
+    if first == "=" == bare[-1] and bare.strip("= \t"):
+        before, after = (min(6, len(bare) - len(bare.lstrip("="))), min(6, len(bare) - len(bare.rstrip("="))))
+        marker, depth, body = "equals", min(before, after), bare[before : len(bare) - after].strip()
     elif first in "=-" and len(bare) > 2 and bare.strip(first) == "":
         return Block("rule", "", words=0)
     elif _FURNITURE.match(bare):
@@ -201,6 +256,9 @@ def _line(bare: str, following: str, spans: list) -> Block | None:
         depth = len(bare) - len(rest)
         marker, body = ("hash" if rest[:1].isspace() else "hash_tight"), rest.strip().rstrip("#").rstrip()
         body = body.lstrip("*#:").strip()
+    elif first == ":" and bare.lstrip(":")[:1] in ("*", "#"):
+        rest = bare.lstrip("*#:")
+        depth, marker, body = len(bare) - len(rest), "colon_list", rest.strip()
     elif first == "*":
         rest = bare.lstrip("*#:")
         depth = len(bare) - len(rest)
@@ -243,7 +301,7 @@ def features(blocks: list[Block], signs: list[int]) -> list[tuple]:
         rows.append((
             _M[b.marker], b.depth, b.words, b.density, p.words if p else 0, p.density if p else 0.0, q.words if q else 0, q.density if q else 0.0,
             p is not None and p.marker == b.marker, q is not None and q.marker == b.marker, q is not None and q.marker == "rule",
-            b.marker == "hash" and b.body[:1].isupper(), b.body[:1].isdigit(), b.span_of >= 0, *tongue, *main,
+            b.marker == "hash" and b.body[:1].isupper(), b.body[:1].isdigit(), b.span_of >= 0, b.gap, q is None or q.gap, i == 0, *tongue, *main,
         ))
     return rows
 
@@ -319,12 +377,12 @@ def classify(texts: list[str | None], tree: DecisionTree) -> list[list[tuple[str
 
 
 _STRIP = (
-    (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.I | re.S), ""),
+    (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>(?:[^<]|<(?!/?ref\b))*</ref>", re.I), ""),
     (re.compile(r"\[\[(?:File|Image|Category)\s*:[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", re.I), ""),
     (re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]+)\]\]"), r"\1"),
     (re.compile(r"\[\[:?([^\[\]|#]*)(?:#[^\[\]|]*)?\|?\]\]"), r"\1"),
     (re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)"), r"\1"),
-    (re.compile(r"\[https?://\S+ ([^\[\]]*)\]"), r"\1"),
+    (re.compile(r"\[https?://[^\s\[\]]+ ([^\[\]]*)\]"), r"\1"),
     (re.compile(r"'{2,5}|~~(?=\S)|(?<=\S)~~|\*\*"), ""),
     (re.compile(r"(?<![\w_])_([^\s_][^_\n]*)_(?![\w_])"), r"\1"),
     (re.compile(r"~?\\(?:cite|footnote|label|ref)\s*\{[^{}]*\}"), ""),

@@ -169,6 +169,175 @@ LABELLED: list[list[tuple[str, str]]] = [
         ("", ""),
         ("More plain text.", T),
     ],
+    [
+        ("# Field notes", H),
+        ("", ""),
+        ("A short note about the mills of the valley.", T),
+        ("", ""),
+        ("## Install", H),
+        ("", ""),
+        ("Run this once.", T),
+        ("", ""),
+        ("    mill --help\n    mill run", C),
+        ("", ""),
+        ("- one of the plain", L),
+        ("- two of the plain", L),
+    ],
+    [
+        ("# Mills", H),
+        ("- one of them", L),
+        ("- two of them", L),
+        ("", ""),
+        ("#Rivers", H),
+        ("", ""),
+        ("Nothing is known about **rivers** here.", T),
+        ("", ""),
+        ("> A quoted line of text.", T),
+        ("> - quoted item", L),
+    ],
+    [
+        ("# Notes on the weir", H),
+        ("", ""),
+        ("The weir was built by hand.", T),
+    ],
+    [
+        ("# Change log", H),
+        ("## Version two", H),
+        ("* more wheels", L),
+        ("* fewer stones", L),
+        ("### Older ones", H),
+        ("1. first of all", L),
+        ("2. second of all", L),
+        ("", ""),
+        ("Call `mill` to start.", T),
+        ("", ""),
+        ("\tmill start", C),
+    ],
+    [
+        ("Weir of the north", H),
+        ("=================", N),
+        ("", ""),
+        ("Some words stand under the title.", T),
+        ("", ""),
+        ("Early days", H),
+        ("----------", N),
+        ("", ""),
+        ("* grain of the north", L),
+        ("* rye of the hills", L),
+        ("", ""),
+        ("#Naming", H),
+        ("", ""),
+        ("See [the map](https://x.example/m) of it.", T),
+    ],
+    [
+        ("# Introduction", H),
+        ("Words follow right below.", T),
+        ("", ""),
+        ("Done.", T),
+        ("", ""),
+        ("# Tasks", H),
+        ("* [ ] one", L),
+        ("* [x] two", L),
+        ("", ""),
+        ("Use it.", T),
+        ("", ""),
+        ("    x = 1\n    y = 2", C),
+        ("", ""),
+        ("Yes.", T),
+    ],
+    [
+        ("# Reference", H),
+        ("", ""),
+        ("Gives `None`.", T),
+        ("", ""),
+        ("## `get`", H),
+        ("", ""),
+        ("Short words:", T),
+        ("", ""),
+        ("    get(x)", C),
+        ("", ""),
+        ("Short words.", T),
+        ("## B", H),
+        ("words", T),
+        ("### C", H),
+        ("- x", L),
+    ],
+    [
+        ("Head", H),
+        ("====", N),
+        ("", ""),
+        ("words here", T),
+        ("", ""),
+        ("Sub", H),
+        ("---", N),
+        ("", ""),
+        ("* a", L),
+        ("* b", L),
+        ("", ""),
+        ("end", T),
+    ],
+    [
+        ("# Head", H),
+        ("", ""),
+        ("Words.", T),
+        ("", ""),
+        ("# Other head", H),
+        ("", ""),
+        ("See:", T),
+        ("", ""),
+        ("    run\n    stop", C),
+        ("", ""),
+        ("> # Quoted head", H),
+        ("> quoted words", T),
+    ],
+    [
+        ("# Porridge", H),
+        ("", ""),
+        ("- oats", L),
+        ("- salt", L),
+        ("", ""),
+        ("1. stir", L),
+        ("2. boil", L),
+        ("10. eat", L),
+        ("", ""),
+        ("Enjoy.", T),
+    ],
+    [  # short wiki texts
+        ("'''Mill''' is a [[thing]].", T),
+        ("# One", L),
+        ("# Two", L),
+        ("== See also ==", H),
+        ("# Three of [[four]]", L),
+    ],
+    [
+        ("'''Weir''' is a [[thing]].", T),
+        (":* a", L),
+        (":* b", L),
+        ("::# c", L),
+        (": reply", T),
+        ("Yes, ''done''.", T),
+        ("* [[One]]", L),
+        ("# Two", L),
+    ],
+    [
+        ("'''Dam''' was a [[thing]].", T),
+        ("# One", L),
+        ("# Two", L),
+    ],
+    [  # wiki text with empty lines
+        ("The '''weir''' is described in [[Mill]].", T),
+        ("", ""),
+        ("# Item of a list with [[link]]", L),
+        ("# Second item of it", L),
+        ("", ""),
+        (":* item under an indent", L),
+        ("::# deeper item", L),
+        (": an indented reply of a talk page", T),
+        ("", ""),
+        ("#tight item", L),
+        ("", ""),
+        ("The ''end'' of it.", T),
+    ],
     [  # TeX
         ("The old \\textbf{mill} stands near the \\emph{river}.~\\cite{mill}", T),
         ("\\section{History}", H),

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -26,6 +27,18 @@ def kinds(text):
         ("<p>A <b>b</b>.</p>\n<H2 id=x>Head</H2>\n<ul>\n<li>a\n<li>b</li>\n</ul>\n<pre><code>&lt;h2>no</code></pre>\n\\[x\\]", "heading list_item list_item code formula"),
         ("\\section*{Head} \n\\begin{itemize}\n\\item a\n\\end{itemize}\nCosts \\$4, \\emph{or} $x$.\n\\begin{verbatim}\n\\item no\n\\end{verbatim}\n\\begin{equation}\nx\n\\end{equation}", "heading list_item formula code formula"),
         ("#REDIRECT [[A]]", ""),
+        ("# Title\n\nSome text.\n", "heading"),
+        ("# My Project\n\nThis project does **things**.\n\n## Usage\n\n```sh\nrun\n```\n", "heading heading code"),
+        ("# Recipe\n\n- eggs\n- milk\n\n1. mix\n2. bake\n", "heading list_item list_item list_item list_item"),
+        ("#Heading\n\nText with [link](http://a.b).\n", "heading"),
+        ("# A\n## B\ntext\n### C\n- x\n", "heading heading heading list_item"),
+        ("Title\n=====\n\ntext here\n\nSub\n---\n\n* a\n* b\n", "heading heading list_item list_item"),
+        ("# Notes\n\nSee code:\n\n    x = 1\n\n    y = 2\n\nDone.\n", "heading code"),
+        ("> # Quoted head\n>\n> - a\n> - b\n", "heading list_item list_item"),
+        ("# Guide to the City\n\nThe city has many *parks*.\n\n## Parks\n\n* Central\n* East\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "heading heading list_item list_item"),
+        ("# TODO\n* [ ] one\n* [x] two\n", "heading list_item list_item"),
+        ("'''X''' is a [[y]].\n:* a\n:* b\n::# c\n: reply", "list_item list_item list_item"),
+        ("'''X''' is a [[y]].\n# One\n# Two\n", "list_item list_item"),
         ("<pre> never closed\n== Head ==\n[[a]] ''b''", "heading"),
         ("", ""),
         ("0 odd", ""),
@@ -45,6 +58,14 @@ def test_markup_tables(spark):
     assert M.pieces(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("opener", ["\\begin{verbatim} ", "<!-- a ", "<pre> a ", "<math>", "```x\n", "$$ a ", "\\[ a ", "<nowiki>", "=a", "'", "<a>", "<ref>", "[http://", "`a", "{{", "[[File:", "<li>"])
+def test_unclosed_openers_take_linear_time(opener):
+    text = opener * (1_000_000 // len(opener))
+    begin = time.process_time()
+    M.render([("text", b) for b in M.blocks_of(text)[0]])
+    assert time.process_time() - begin < 4
+
+
 def test_very_nested_templates_take_linear_time():
     assert M._without_nested("{{" * 50_000 + "x" + "}}" * 50_000 + "y") == "y"
     assert M._without_nested("a {{ b }} }} c {| d") == "a  }} c {| d"
