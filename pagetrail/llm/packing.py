@@ -148,7 +148,9 @@ def containers(
     done = []
     for level, last in enumerate((False, True)):
         todo = todo.withColumn("container_id", F.lit(0).cast("bigint")).withColumn("packed", F.lit(False))
-        packed = todo.groupBy("pack_name", "shard").applyInArrow(_packer(refill, last), FIELDS + ", container_id bigint, packed boolean")
+        # a task for each group: packing takes long for its few bytes, so merging tasks by their bytes would be wrong
+        spread = todo.repartition(max(1, len(limits) * (-(-shards // TOGETHER) if last else shards)), "pack_name", "shard")
+        packed = spread.groupBy("pack_name", "shard").applyInArrow(_packer(refill, last), FIELDS + ", container_id bigint, packed boolean")
         packed = scratch.write(packed, f"level{level}")
         done.append(packed.filter("packed").withColumn("container_id", F.col("container_id") + (level << 56)))
         todo = packed.filter("not packed").drop("container_id", "packed").withColumn("shard", F.floor(F.col("shard") / TOGETHER))
