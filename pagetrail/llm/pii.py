@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -23,19 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.llm.batches import portions
-from pagetrail.llm.pii_labels import GIVEN, labelled
+from pagetrail.llm.pii_labels import FAMILY, GIVEN, labelled
 from pagetrail.llm.trees import BoostedTrees
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Labelled texts for fitting and for the thresholds.
-FIT, HELD_OUT = 4000, 1500
+FIT, HELD_OUT = 6000, 1500
 
-_UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in range(0x100, 0x250) if chr(c).isupper())
+#: Capitals of every script that has them.
+_UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in (*range(0x100, 0x590), *range(0x10A0, 0x1100), *range(0x1E00, 0x2000)) if chr(c).isupper() or chr(c).istitle())
 _MARK = "̀-ͯ"
 _L = rf"[\w{_MARK}]"
 _AT = r"(?:[ ]?[(\[{<][ ]?(?:at|AT|ät)[ ]?[)\]}>][ ]?|[ ](?:at|AT)[ ]|@)"
 _DOT = r"(?:[ ]?[(\[{][ ]?(?:dot|DOT|punkt|point|punto)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ]|\.)"
-_LOCAL = rf"(?<![\w.+\-@]){_L}[\w.+\-'{_MARK}]*"
+_LOCAL = rf"(?<![\w.+\-@]){_L}[\w.+\-'{_MARK}]*+"
+_LOCAL_START = re.compile(rf"(?<![\w.+\-@]){_L}")
 _TOP = r"[^\W\d_][\w\-]*"
 #: By the sign between name and host: plain, in brackets, in words.
 _EMAILS = {
@@ -68,14 +71,20 @@ _IDS = [
         r"(?<![\w.+/\-])\d{8}-?[A-Z](?!\w)",
         r"(?<![\w.+/\-])\d{3}-\d-\d{3}-\d{3}-\d(?!\w)",
         r"(?<![\w.+/\-])\d{4}-\d{4}(?![\w]|[-./]\d)",
+        r"(?<![\w.+/\-])\d{3}[ \-]\d{3}[ \-]\d{4}(?![\w]|[-./]\d)",
+        r"(?<![\w.+/\-])[12][ ]\d{2}[ ]\d{2}[ ]\d{2}[ ]\d{3}[ ]\d{3}(?:[ ]\d{2})?(?!\w)",
+        r"(?<![\w.+/\-])\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3}(?!\w)",
+        r"(?<![\w.+/\-])\d{2}[ ]\d{6}[ ][A-Z][ ]\d{3}(?!\w)",
         r"(?<![\w.+/\-])\d{9,11}(?!\w)",
     )
 ]
+#: Bank accounts and document numbers of letters and digits.
+_CODES = re.compile(r"(?<![\w.+/\-])(?:[A-Z]{2}\d{2}(?:[ ]?[A-Z\d]{4}){2,7}(?:[ ]?[A-Z\d]{1,3})?|[A-Z](?=[A-Z]{0,9}\d)[A-Z\d]{7,9})(?!\w)")
 _GAP = r"(?:,?[ ]|,?\n|,?[ ]\n)"
 _TOWN = rf"(?:(?:Bad|San|Santa|Saint|Sankt|St\.|New|Old|Upper|Lower|North|South|East|West|Le|La|Los|Las)[ ])?[{_UP}][\w'’\-{_MARK}]+"
-_ROAD = r"(?:Road|Rd\b\.?|Street|St\b\.?|Avenue|Ave\b\.?|Lane|Ln\b\.?|Close|Court|Ct\b\.?|Boulevard|Blvd\b\.?|Drive|Dr\b\.?|Way|Place|Pl\b\.?|Square|Terrace|Row|Crescent|Hill|Grove|Parade)"
-_CODE = r"(?:[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}|\d{5}(?:-\d{4})?|[A-Z]{2}[ ]\d{5})"
-_TAIL = rf"{_GAP}(?:(?:D-|F-|E-)?\d{{4,5}}[ ]{_TOWN}|{_TOWN}(?:,?[ ]{_CODE})?)"
+_ROAD = r"(?:Road|Highway|Hwy\b\.?|Rd\b\.?|Street|St\b\.?|Avenue|Ave\b\.?|Lane|Ln\b\.?|Close|Court|Ct\b\.?|Boulevard|Blvd\b\.?|Drive|Dr\b\.?|Way|Place|Pl\b\.?|Square|Terrace|Row|Crescent|Hill|Grove|Parade)"
+_CODE = r"(?:[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}|\d{5}(?:-\d{4})?|[A-Z]{2}[ ]\d{5}(?:-\d{4})?)"
+_TAIL = rf"(?:[ ](?:NW|NE|SW|SE|N|S|E|W)\b\.?)?{_GAP}(?:(?:D-|F-|E-)?\d{{4,5}}(?:[ ][A-Z]{{2}})?[ ]{_TOWN}|{_TOWN}(?:,?[ ]{_CODE})?)"
 _ADDRESSES = [
     re.compile(p)
     for p in (
@@ -83,20 +92,27 @@ _ADDRESSES = [
         rf"(?<![\w\-/.])(?:P\.[ ]?O\.|PO|P\.O)[ ]Box[ ]\d+(?:{_TAIL})?(?!\w)",
         rf"(?<![\w\-/.])[{_UP}][\w'’\-]*(?:straße|strasse|str\.|gasse|platz|allee|weg|ring|ufer|damm)[ ]\d{{1,4}}(?:[ ]?[a-z]\b)?(?:{_TAIL})?(?!\w)",
         rf"(?<![\w\-/.])\d{{1,4}}(?:[ ](?:bis|ter))?,?[ ](?:rue|avenue|boulevard|impasse|chemin|place|allée|quai|route|cours)[ ](?:(?:de|du|des|la|le|les|l['’])[ ]?){{0,2}}[{_UP}][\w'’\-]+(?:[ ][{_UP}][\w'’\-]+)?(?:{_TAIL})?(?!\w)",
+        rf"(?<![\w\-/.])(?:Via|Viale|Corso|Piazza|Largo)[ ](?:(?:di|del|della|dei|delle|degli|al|alla)[ ])?[{_UP}][\w'’\-]+(?:[ ][{_UP}][\w'’\-]+)?,?[ ]\d{{1,4}}(?:/?[a-z]\b)?(?:{_TAIL})?(?!\w)",
+        rf"(?<![\w\-/.])[{_UP}][\w'’\-]*(?:straat|laan|plein|gracht|kade|dijk|steeg|gatan|vägen|vej|gade)[ ]\d{{1,4}}(?:[ \-]?[a-zA-Z]\b)?(?:{_TAIL})?(?!\w)",
+        rf"(?<![\w\-/.])[{_UP}][\w'’\-]+[ ](?:Straße|Strasse|Str\.|Allee|Weg|Platz|Ring|Ufer|Damm|Markt)[ ]\d{{1,4}}(?:[ ]?[a-z]\b)?(?:{_TAIL})?(?!\w)",
         rf"(?<![\w\-/.])(?:Calle|C/|Plaza|Paseo|Avenida|Avda\.|Camino|Ronda)[ ](?:(?:de|del|la|las|los|el)[ ]){{0,2}}[{_UP}][\w'’\-]+(?:[ ][{_UP}][\w'’\-]+)?,?[ ]\d{{1,4}}(?:,[ ](?:bajo|\d{{1,2}}\.[ºª°](?:[ ][A-Z]\b)?))?(?:{_TAIL})?(?!\w)",
     )
 ]
-_W, _I = rf"[{_UP}][\w'’{_MARK}]+(?:-[{_UP}][\w'’{_MARK}]+)*", rf"[{_UP}]\."
-_S = r"(?:[ ]|\n(?!\n))"
-_NAMES = [
-    re.compile(p)
-    for p in (
-        rf"(?<![\w'’@./\-])(?=({_W}(?:{_S}{_I}){{0,2}}{_S}{_W})(?![\w@]))",
-        rf"(?<![\w'’@./\-])(?=({_I}(?:{_S}?{_I})?{_S}{_W})(?![\w@]))",
-        rf"(?<![\w'’@./\-])(?=({_W},{_S}{_W}(?:{_S}{_I})?)(?![\w@]))",
-        rf"(?<![\w'’@./\-])(?=({_W},{_S}{_I}(?:{_S}?{_I})?)(?!\w))",
-    )
-]
+_W = rf"[{_UP}][\w'’{_MARK}]+(?:-[{_UP}][\w'’{_MARK}]+)*"
+_PARTICLE = r"(?:van(?:[ ](?:der|den|de))?|von(?:[ ](?:der|dem))?|zu|de(?:[ ](?:la|los|las))?|del|della|di|da|dos|du|bin|ibn|al|el|ten|ter|af|y)"
+#: A compass letter behind a decimal number is no initial.
+_DEGREES = re.compile(r"\d\.\d+°?[ ]?[NESW]$")
+_PARTICLE_BEFORE = re.compile(rf"(?<!\w){_PARTICLE}[ ]$")
+_PARTICLE_STARTS = frozenset("vzdbaety")
+#: A unit of a name with what stands before it: a capitalised word, or an initial.
+_UNIT_OF_NAME = re.compile(rf"(?P<gap>,?(?:[ ]|\n(?!\n))|(?<=\.))?(?P<of>{_PARTICLE}[ ])?(?P<word>(?P<initial>[{_UP}]\.)|{_W})")
+#: Words that are capitalised at the start of a sentence and begin no name.
+_STARTERS = frozenset(
+    """the this that these those then there they we he she it its i in on at of to for from with and but or if as by after before when where while who how what why not no yes
+    all some many most each every one two three our my your his her their is are was were be see der die das ein eine einer im am an auf aus bei mit nach von vor zu und oder aber wenn wie
+    was wo wer sie er es ich wir ihr sein seine ihre nicht kein le la les un une des du de et ou mais dans sur sous avec pour par sans ce cette ces il elle on nous vous ils elles je que qui el los las una uno unos
+    del en con por para sin y o pero como cuando donde su sus este esta estos mein meine meinem meiner dein deine unser unsere ihre mon ma mes notre votre leur mi mis tu tus nuestro nuestra""".split()
+)
 _THINGS = frozenset(
     """river island canal quarry bridge road street mount lake valley tower museum park school hall church hospital station university library
     house court castle port harbour market square field forest hill bay coast peak avenue lane close garden gate mill company award prize law effect method
@@ -119,31 +135,48 @@ _BAD = frozenset(
 _AFTER = frozenset("wrote asked before and for holds last et und y near or avant antes fragen schrieb a".split())
 _UNIT = frozenset("bytes links pages revisions clicks edges users mb kb words is was were has have".split())
 _WORD = re.compile(r"[\w'’@&/\-]+")
-_SURNAME = re.compile(r"(?:wicz|vic|vich|ski|sky|enko|etti|ini|elli|son|sen|ssen|mann|berg|ström|strom|strup|gaard|marsk|mund|vane|agan|inen|osh|ou|ez|es|ardo|eney|olay|kor|élis|elis|öde|ode|is|ova|ov|eva|ev|ian|yan|ides|akis|lund|quist|kvist|er|y|ey|ley|ton)$", re.I)
+_PERSON_VERBS = frozenset(
+    """said says wrote writes lives lived works worked was is has had moved came told explained called asked reported died drew joined sagte sagt schrieb schreibt wohnt wohnte arbeitet arbeitete
+    kam erklärte war ist hat dit écrit habite travaille est a vient expliqué dijo dice escribió escribe vive trabaja vino es explicó""".split()
+)
+_BEFORE_NAME = frozenset("by with met and told und mit von laut wie sprach et avec par selon y con por según de e dear hi hello lieber liebe estimado estimada cher chère patient name yesterday gestern hier ayer according then hat".split())
+_TITLES = frozenset("mr mrs ms miss dr prof dame sir herr herrn frau m mme mlle monsieur madame sr sra señor señora don doña signed signé firmado gruß dear regards architect architekt architecte arquitecta teacher doctor ärztin nurse neighbour author editor".split())
+_CYRILLIC = dict(zip("абвгдезийклмнопрстуфхыэ", "abvgdeziyklmnoprstufhye")) | {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ь": "", "ъ": "", "ё": "e"}
 #: What must occur in a text for the address pattern of the same place to be tried.
 _GATES = (
     ("Road", "Rd", "Street", "St", "Ave", "Lane", "Ln", "Close", "Court", "Ct", "Boulevard", "Blvd", "Drive", "Dr", "Way", "Place", "Pl", "Square", "Terrace", "Row", "Crescent", "Hill", "Grove", "Parade"),
     (" Box ",),
     ("straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "weg ", "ring ", "ufer ", "damm "),
     ("rue ", "avenue ", "boulevard ", "impasse ", "chemin ", "place ", "allée ", "quai ", "route ", "cours "),
+    ("Via ", "Viale ", "Corso ", "Piazza ", "Largo "),
+    ("straat ", "laan ", "plein ", "gracht ", "kade ", "dijk ", "steeg ", "gatan ", "vägen ", "vej ", "gade "),
+    (" Straße ", " Strasse ", " Str. ", " Allee ", " Weg ", " Platz ", " Ring ", " Ufer ", " Damm ", " Markt "),
     ("Calle ", "C/ ", "Plaza ", "Paseo ", "Avenida ", "Avda. ", "Camino ", "Ronda "),
 )
 _NUMERIC = re.compile(r"\d(?:[\d.\-/()]|[ ]/[ ]|[ ](?=[\d(+]))+")
 _NUMBERED = re.compile(r"\d{1,5}[a-z]?,?[ ](?:bis,?[ ]|ter,?[ ])?[^\W\d_]")
 _CAPITAL = re.compile(rf"[{_UP}][\w'’{_MARK}]*(?:-[{_UP}][\w'’{_MARK}]+)*")
+#: What a text with an at sign of any kind holds.
+_AT_SIGNS = ("@", " dot ", " DOT ", *(b + g + w for b in "([{<" for g in ("", " ") for w in ("at", "AT", "ät")))
 _AT_SIGN = re.compile(r"[(\[{<][ ]?(?:at|AT|ät)[ ]?[)\]}>]|[ ](?:at|AT)[ ]|@")
 
 
 @lru_cache(200_000)
 def _plain(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+    low = word.lower()
+    if not low.isascii():
+        low = "".join(c for c in unicodedata.normalize("NFD", "".join(_CYRILLIC.get(c, c) for c in low)) if not unicodedata.combining(c))
+    return low
 
 
-_GIVEN_PLAIN = frozenset(_plain(g) for g in GIVEN)
+_GIVEN_PLAIN = frozenset(_plain(g) for g in GIVEN) | {"mariya", "olga", "sergey", "dmitriy", "aleksey", "elena"}
+_FAMILY_PLAIN = frozenset(_plain(g) for g in FAMILY)
 
 
+@lru_cache(200_000)
 def is_given(word: str) -> bool:
-    return _plain(word) in _GIVEN_PLAIN
+    plain = _plain(word)
+    return plain in _GIVEN_PLAIN or plain.split("-")[0] in _GIVEN_PLAIN
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -152,22 +185,35 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     Each generator starts at places a single scan of the text finds: at signs, runs of digits, capitals.
     """
     out: set[tuple[str, int, int]] = set()
-    if "@" in text or "(at" in text or "[at" in text or "{at" in text or " AT " in text or " dot " in text or "( at" in text:
+    if any(map(text.__contains__, _AT_SIGNS)):
+        done = 0
+        spelt = " dot " in text or " DOT " in text
         for at in _AT_SIGN.finditer(text):
+            if at[0][0] == " " and not spelt:
+                continue
             pattern = _EMAILS[at[0][0] if at[0][0] in "@ " else "("]
-            for m in pattern.finditer(text, _word_start(text, at.start()), min(len(text), at.end() + 120)):
-                if m.start() <= at.start() < m.end():
+            for word in _LOCAL_START.finditer(text, _word_start(text, at.start(), done), at.start()):
+                m = pattern.match(text, word.start())
+                if m is not None and m.end() > at.start():
                     out.add(("email", m.start(), m.end()))
+                    break
+            done = at.end()
     for run in _NUMERIC.finditer(text):
         a, b = run.start(), run.end()
+        if a and text[a - 1].isupper():  # a number that begins with letters
+            first = a - 1
+            while first and a - first < 3 and text[first - 1].isupper():
+                first -= 1
+            if m := _CODES.match(text, first):
+                out.add(("id_number", m.start(), m.end()))
         if b - a < 6 or sum(map(str.isdigit, run[0])) < 6:
             continue
         for kind, patterns in (("phone", _PHONES), ("id_number", _IDS)):
             for pattern in patterns:
-                for m in pattern.finditer(text, max(0, a - 3), min(len(text), b + 4)):
+                for m in pattern.finditer(text, max(0, a - 5), min(len(text), b + 6)):
                     out.add((kind, m.start(), m.end()))
     for gate, pattern in zip(_GATES, _ADDRESSES):
-        if any(word in text for word in gate):
+        if any(map(text.__contains__, gate)):
             if gate is _GATES[0] or gate is _GATES[3]:
                 for n in _NUMBERED.finditer(text):
                     if m := pattern.match(text, n.start()):
@@ -178,33 +224,54 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             else:
                 for m in pattern.finditer(text):
                     out.add(("address", m.start(), m.end()))
-    before = -1
-    for word in _CAPITAL.finditer(text):
-        start, end = word.span()
-        near = 0 <= before >= start - 3 and text[start - 1] in " \n" and "," not in text[before:start]
-        before = end
-        follow = text[end : end + 3]
-        single = end - start == 1 and follow[:1] == "."
-        comma = follow[:1] == ","
-        if not single and not (follow[:1] in (" ", "\n", ",") and follow[1 + comma : 2 + comma].isupper()):
+    out.update(_names(text))
+    return sorted(out, key=lambda c: (c[1], c[2], c[0]))
+
+
+def _names(text: str) -> Iterator[tuple[str, int, int]]:
+    """Two to four units of every run of capitalised words and initials; 'Family, Given' too."""
+    at = 0
+    while (word := _CAPITAL.search(text, at)) is not None:
+        start, at = word.span()
+        more = text[at : at + 3]
+        if more[:1] in " \n" and not (more[1:2].isupper() or more[1:2] in _PARTICLE_STARTS) or more[:1] == "," and not more[2:3].isupper() and not more[1:2].isupper() or more[:1] not in " \n,.":
+            continue  # no second unit follows
+        if start and (text[start - 1].isalnum() or text[start - 1] in "'’@./_-") and not text[start - 2 : start] == "--":
             continue
-        for k in (1,) if single else (2, 3) if comma else (0,):
-            m = _NAMES[k].match(text, start)
-            if m is None:
+        run: list[tuple[int, int, str, bool]] = []  # start without particle, end, what stands before, initial
+        end, again = start, 0
+        while (m := _UNIT_OF_NAME.match(text, end)) is not None and (m.end() > end) and (not run or m["gap"] is not None):
+            if run and "," in (m["gap"] or "") and "," in "".join(u[2] for u in run[-2:]):
+                again = run[-1][0]  # the word between two commas begins a run of its own
+                break
+            run.append((m.start("word"), m.end(), m["gap"] or "", m["initial"] is not None))
+            end = m.end()
+        at = again if again > start else max(at, end)
+        for i, (begin, _, _, first_initial) in enumerate(run[:-1]):
+            if text[begin : run[i][1]].lower() in _STARTERS or (first_initial and _DEGREES.search(text, max(0, begin - 12), begin + 1)):
                 continue
-            words = m[1].replace(",", " ").split()
-            if k in (1, 3) or is_given(words[0] if k == 0 else words[1]) or (not near and _cue(text, start, "name")):
-                out.add(("name", start, m.end(1)))
-    return sorted(out, key=lambda c: (c[1], c[2], c[0]))
+            commas = 0
+            for j in range(i + 1, min(len(run), i + 4)):
+                commas += "," in run[j][2]
+                last = run[j]
+                if text[last[1] : last[1] + 1].isalnum() or text[last[1] : last[1] + 1] == "@":
+                    continue
+                if commas == 0 and last[3]:
+                    continue  # 'Given I.' goes on, or is no name
+                if commas and ("," not in run[i + 1][2] or j > i + 2 or (first_initial and not last[3])):
+                    break  # 'Family, Given' or 'Family, G. I.'
+                yield "name", begin, last[1]
+                if commas and i == 0 and (m := _PARTICLE_BEFORE.search(text, max(0, begin - 9), begin)):
+                    yield "name", m.start(), last[1]
 
 
 _FLAT = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)[ ]\d+[a-z]?,[ ]$")
 
 
-def _word_start(text: str, at: int) -> int:
-    """Where the run of address characters before ``at`` begins."""
+def _word_start(text: str, at: int, least: int) -> int:
+    """Where the run of address characters before ``at`` begins, at ``least`` or later."""
     start = at
-    while start and at - start < 120 and text[start - 1] not in "\n<>;:,":
+    while start > least and text[start - 1] not in "\n<>;:,":
         start -= 1
     return start
 
@@ -213,9 +280,15 @@ def _before(text: str, start: int) -> list[str]:
     return [w.lower() for w in _WORD.findall(text[max(0, start - 48) : start])][-5:]
 
 
-def _cue(text: str, start: int, kind: str) -> bool:
-    words = _before(text, start)
-    return bool(words) and words[-1] in _CUES[kind] or text[max(0, start - 1) : start] in ("", "\n") or text[max(0, start - 3) : start] == "-- "
+_NONE = (0,) * 24
+
+
+def _capital_before(text: str, start: int) -> bool:
+    """Whether the word right before is capitalised."""
+    at = start - 1
+    while at and (text[at - 1].isalnum() or text[at - 1] in "'’-"):
+        at -= 1
+    return text[at].isupper()
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -234,7 +307,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     row = [float(kind == k) for k in KINDS]
     row += [
         len(span), digits, letters, len(words), span.count(" "), span.count("-"), span.count("."), span.count("/"), span.count("\n"),
-        "(" in span, span[0] in "+(", span[:2] == "00", span[0] == "0", span[:3] == "666", span[0].isalpha(), span[-1].isalpha(), span.isupper(),
+        "(" in span, span[0] in "+(", span[:2] == "00", span[0] == "0", span[:2].isupper() and span[2:4].isdigit(), span[0].isalpha(), span[-1].isalpha(), span.isupper(),
         last in cue, sum(w in cue for w in before), any(w in _BAD for w in before[-2:]), last in _BAD, following in _AFTER, following in _UNIT,
         left in ("", "\n"), left == "(", left == "<", left == "#", right in ("", "\n"), right in ",.;", right == ")", right == "<" or after[:2] == " <", after[:2] == " (", after[:1] == "," and after[2:3].isdigit(),
         text[max(0, start - 3) : start] == "-- ",
@@ -249,22 +322,25 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         family = core[0] if comma else core[-1]
         parts = re.split(r"[-]", family)
         row += [
-            comma, is_given(given), is_given(family), len(initial), given.endswith("."), any(_plain(w) in _THINGS for w in core), following in _THINGS, bool(_SURNAME.search(parts[-1])),
+            comma, is_given(given), is_given(family), len(initial), given.endswith("."), any(_plain(w) in _THINGS for w in core), following in _THINGS, _plain(family) in _FAMILY_PLAIN or _plain(parts[-1]) in _FAMILY_PLAIN,
             bool(before) and last in ("the", "mount", "der", "die", "das", "lake", "la", "le", "el"), len(family), core[0].lower() in cue or core[0].lower() in _BAD, len(parts) > 1, "'" in family or "’" in family,
+            following in _PERSON_VERBS, last in _BEFORE_NAME, last in _TITLES or (len(before) > 1 and before[-2] in _TITLES), nxt is not None and nxt.start() == 1 and nxt[0][:1].isupper(), bool(last) and text[start - 1 : start] == " " and text[start - 2 : start - 1].isalnum() and _capital_before(text, start),
+            any(w.lower() in _STARTERS for w in core), last[-1:].isdigit(), sum(w[:1].isupper() for w in core), core[0].lower() in _TITLES, min(len(w) for w in core), span.isascii(),
         ]
     elif kind == "address":
         tail = re.search(r"\d{4,5}|[A-Z]{1,2}\d", span[-12:]) is not None
         head = span[:1].isdigit() or span[:2] in ("Fl", "Ap", "Un", "PO", "P.")
-        row += [tail, head, "Box" in span, span.count(","), any(c.isdigit() for c in span), text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit(), text[end : end + 2] in (", ", ",\n") and text[end + 2 : end + 3].isupper(), text[end : end + 1] == "\n" and text[end + 1 : end + 2].isupper(), 0, 0, 0, 0, 0]
+        row += [tail, head, "Box" in span, span.count(","), any(c.isdigit() for c in span), text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit(), text[end : end + 2] in (", ", ",\n") and text[end + 2 : end + 3].isupper(), text[end : end + 1] == "\n" and text[end + 1 : end + 2].isupper(), _FLAT.search(text, max(0, start - 16), start) is not None, *_NONE[:15]]
     elif kind == "email":
         domain = re.split(_AT, span)[-1]
-        row += ["." in domain, "@" in span, "dot" in span.lower(), domain.count("."), any(c in span for c in "([{"), " AT " in span or " at " in span, 0, 0, 0, 0, 0, 0, 0]
+        row += ["." in domain, "@" in span, "dot" in span.lower(), domain.count("."), any(c in span for c in "([{"), " AT " in span or " at " in span, *_NONE[:18]]
     else:
         shape = re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", span))
         groups = [len(g) for g in re.findall(r"9+", shape)]
         row += [
             shape in ("999-99-9999", "999 99 9999"), shape == "999999-9999", shape.count("/") == 2, shape[:2] == "aa", shape[:1] == "a", shape[-2:] == "-a",
             groups[0] if groups else 0, groups[-1] if groups else 0, len(groups), max(groups, default=0), shape == "9999-99-99", shape == "9999-9999", len(groups) == 1,
+            shape.startswith("aa99"), "iban" in before, "nhs" in before, any(w in ("dni", "nie", "steuer-id", "passport", "sécurité", "personalausweis") for w in before), *_NONE[:7],
         ]
     return [float(v) for v in row]
 
@@ -297,9 +373,10 @@ class Model:
         for i, spans in by_text.items():
             taken: list[tuple[int, int, str]] = []
             for _, _, start, end, kind in sorted(spans):
-                if all(end <= a or start >= b for a, b, _ in taken):
-                    taken.append((start, end, kind))
-            out[i] = sorted(taken)
+                at = bisect(taken, (start, end, kind))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end, kind))
+            out[i] = taken
         return out
 
 
@@ -314,7 +391,7 @@ def trained(seed: int = 0) -> Model:
         return found, rows, np.array([(kind, start, end) in truth[i] for i, kind, start, end in found])
 
     _, x, y = table(sample[:FIT])
-    trees = BoostedTrees(rounds=50, depth=5).fit(x, y)
+    trees = BoostedTrees(rounds=60, depth=5, rate=0.25, ridge=3.0).fit(x, y)
     found, x, y = table(sample[FIT:])
     score = trees.score(x)
     thresholds = {}

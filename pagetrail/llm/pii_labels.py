@@ -10,7 +10,21 @@ GIVEN = """Anna Maria Helena Julia Clara Nora Lena Vera Sonia Ingrid Greta Irene
 Anne-Marie Emma Sofia Laura Eva Marta Elena Lucia Carmen Ines Karin Katja Heike Sabine Claire Camille Chloe Louise Alice Grace Ruth Ellen Susan Mary Jane Linda
 Stefan Lucas Otto Samuel Martin Karl Jürgen Milan Ivan Rafael Felix Ravi Yusuf Jonas Victor Oskar Pavel Hugo Tomas Kofi Søren Jean-Luc José Jose Daniel Walter Lukasz
 Łukasz Peter Paul Hans Erik Anders Lars Nils Jan Piotr Marek Andrej Boris Omar Ali Hassan Ahmed David John James Robert Michael William Thomas Henry George Pierre Michel
-Antoine Luis Carlos Miguel Juan Pedro Diego Marco Luca Giulia Paolo Wei Jin Kenji Yuki Arjun Priya Kwame Chidi""".split()
+Antoine Luis Carlos Miguel Juan Pedro Diego Marco Luca Giulia Paolo Wei Jin Kenji Yuki Arjun Priya Kwame Chidi
+Sarah Olivia Jessica Emily Charlotte Elizabeth Jennifer Karen Barbara Margaret Patricia Christine Frank Richard Charles Joseph Christopher Matthew Mark Andrew Kevin Brian
+Wolfgang Klaus Jörg Uwe Dieter Ursula Monika Petr Sergei Dmitri Olga Tatiana Natalia Isabel Pilar Javier Fernando Alejandro Manuel Ana Nicolas Philippe Jacques François Sophie
+Hélène Giovanni Francesca Matteo Fatima Aisha Mohammed Ibrahim Ngozi Hiroshi""".split()
+
+#: Family names of several languages; the model sees invented ones too, so it doesn't depend on these.
+FAMILY = """Smith Johnson Brown Taylor Wilson Evans Thomas Roberts Walker Wright Thompson White Hughes Green Hall Wood Clarke Jackson Harris Cooper Ward Turner Miller Baker King Parker
+Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Krüger Hartmann Lange
+Martin Bernard Dubois Durand Moreau Laurent Lefebvre Leroy Roux Girard Bonnet Dupont Lambert Fontaine Rousseau Blanc Garnier Faure Mercier
+García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Ruiz Hernández Díaz Moreno Álvarez Romero Navarro Torres Domínguez Vázquez Ramos
+Rossi Bianchi Esposito Ricci Conti Jansen Bakker Visser Hansen Nielsen Larsen Lindqvist Virtanen Kowalski Novák Horváth Popescu Ivanov Petrov Sokolov
+Nguyen Tanaka Suzuki Kim Park Chen Wang Singh Patel Khan Okafor Mensah Adeyemi Haddad Cohen""".split()
+_CYRILLIC = "Иван Мария Сергей Ольга Дмитрий Анна Алексей Елена".split(), "Петров Иванова Смирнов Кузнецова Попов Волков Соколова Морозов".split()
+_PARTICLES = "van|van der|von|de|de la|del|di|da|bin|el".split("|")
+_SOUNDS = "b br ch d dr f g gr h j k kl l m n p pr r s sh st t tr v w z".split(), "a e i o u ai ou ie".split(), ["", "", "n", "r", "s", "l", "k", "m"]
 
 _ROOTS = "Hal Kest Dorv Oskar Vel Brin Torv Lind Mor Rav Sten Zell Parn Quil Tav Fenn Grod Jarn Ulm Wesk Hask Lund Sand Holm Berg Nov Petr Kow Mar Ols".split()
 _ENDS = "wicz ovic marsk strup mund etti enko inen eney olay ardo kor vane osh agan idou élis nöde sen son ski ez mann berg ova".split()
@@ -28,16 +42,33 @@ class _Maker:
     def pick(self, *options):
         return self.r.choice(options)
 
+    def sounds(self, least: int = 2) -> str:
+        return "".join(self.r.choice(part) for _ in range(self.r.randint(least, 3)) for part in _SOUNDS).capitalize()
+
     def family(self) -> str:
+        x = self.r.random()
+        if x < 0.45:
+            return self.r.choice(FAMILY)
+        if x < 0.6:
+            return self.sounds()
         f = self.r.choice(_ROOTS) + self.r.choice(_ENDS)
         x = self.r.random()
         return f"O'{f}" if x < 0.06 else f"{f}-{self.r.choice(_ROOTS)}{self.r.choice(_ENDS)}" if x < 0.14 else f
 
     def given(self) -> str:
+        return self.r.choice(GIVEN) if self.r.random() < 0.95 else self.sounds(1)
+
+    def known(self) -> str:
         return self.r.choice(GIVEN)
 
     def name(self) -> str:
+        if self.r.random() < 0.03:
+            return f"{self.r.choice(_CYRILLIC[0])} {self.r.choice(_CYRILLIC[1])}"
         g, f = self.given(), self.family()
+        if self.r.random() < 0.05:
+            f = f"{self.r.choice(_PARTICLES)} {f}"
+        if self.r.random() < 0.05:
+            g = f"{g}{self.pick('-', ' ', ' del ')}{self.given()}"
         i = self.r.choice("ABCDEHJKLMNPRST") + "."
         out = self.r.choices([f"{g} {f}", f"{g} {i} {f}", f"{g[0]}. {f}", f"{f}, {g}", f"{f}, {g[0]}.", f"{g[0]}. {i} {f}"], [48, 12, 14, 16, 4, 6])[0]
         return out.upper() if self.r.random() < 0.07 else out
@@ -61,12 +92,18 @@ class _Maker:
             f"+1 {us}-555-{n(4)}", f"({us}) 555-{n(4)}", f"{us}{sep}555{sep}{n(4)}", f"+1{us}555{n(4)}", f"1 {us} 555 {n(4)}",
             f"+44 1632 {n(6)}", f"(01632) {n(6)}", f"01632 {n(3)} {n(3)}", f"0044 20 7946 {n(4)}", f"+61 491 570 {n(3)}", f"0491 570 {n(3)}",
             f"+49 30 {n(5)} {n(3)}", f"(030) {n(5)} {n(3)}", f"030 / {n(8)}", f"0049-30-{n(5)}-{n(3)}", f"+34 {n(3)} {n(2)} {n(2)} {n(2)}", f"0034-{n(3)}-{n(2)}-{n(4)}",
-            f"{p('455', '612', '911')} {n(2)} {n(2)} {n(2)}", f"+33 1 {n(2)} {n(2)} {n(2)} {n(2)}", f"01 {n(2)} {n(2)} {n(2)} {n(2)}", f"01.{n(2)}.{n(2)}.{n(2)}.{n(2)}", f"0033 1{n(2)} {n(2)} {n(2)} {n(2)}",
+            f"{p('455', '612', '911')} {n(2)} {n(2)} {n(2)}", f"{p('7', '6', '9')}{n(2)} {n(3)} {n(3)}", f"020 7946 {n(4)}", f"9{n(1)} {n(3)} {n(2)} {n(2)}", f"+39 06 {n(4)} {n(4)}", f"+31 20 {n(3)} {n(4)}", f"07700 900{n(3)}", f"+7 495 {n(3)}-{n(2)}-{n(2)}", f"06 {n(2)} {n(2)} {n(2)} {n(2)}", f"0151 {n(8)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+33 1 {n(2)} {n(2)} {n(2)} {n(2)}", f"01 {n(2)} {n(2)} {n(2)} {n(2)}", f"01.{n(2)}.{n(2)}.{n(2)}.{n(2)}", f"0033 1{n(2)} {n(2)} {n(2)} {n(2)}",
         )
 
+    def iban(self) -> str:
+        gap = self.pick("", " ")
+        return self.pick("DE", "FR", "ES", "NL", "IT", "GB") + self.n(2) + gap + gap.join([self.pick(self.n(4), "BKXY"), *(self.n(4) for _ in range(3)), self.n(2)])
+
     def id(self) -> str:
         n, p, c = self.n, self.pick, self.r.choice("ABCDPTX")
         sep = p("-", " ")
+        if self.r.random() < 0.4:  # bank accounts, social insurance and tax numbers of several countries
+            return p(self.iban(), f"{n(8)}{c}", f"{n(3)} {n(3)} {n(4)}", f"1 {n(2)} {n(2)} {n(2)} {n(3)} {n(3)} {n(2)}", f"{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(2)} {n(6)} {c} {n(3)}", f"{p('C', 'L', 'T')}{n(2)}{c}{n(5)}", f"{c}{n(2)}{c}{n(2)}{c}{n(2)}")
         return p(f"{p('666', n(3))}{sep}{n(2)}{sep}{n(4)}", f"666{sep}{n(2)}{sep}{n(4)}", f"99{n(4)}-{n(4)}", f"{n(3)}/{n(3)}/{n(5)}", f"QQ{n(6)}{c}", f"QQ {n(2)} {n(2)} {n(2)} {c}", f"{n(2)}-{n(3)}-{n(3)}-{c}", f"{p('X', 'Z', 'C')}{n(8)}")
 
     def email(self) -> str:
@@ -90,6 +127,14 @@ class _Maker:
         road = f"{no} {p(*_STREETS, 'Old Orchard')} {p('Road', 'Rd', 'Street', 'St.', 'Avenue', 'Ave', 'Lane', 'Close', 'Court', 'Boulevard')}"
         flat = f"{p('Flat', 'Apt', 'Unit')} {self.num(40)}, {road}"
         five = self.n(5)
+        if self.r.random() < 0.3:
+            town, fam = p(t, t, "Berlin", "Paris", "Madrid", "Leeds", "Springfield", "Lyon", "Köln", "Bad " + t, "New " + t), self.r.choice([f for f in FAMILY if f.isascii()])
+            return p(
+                f"{no} {fam} {p('Street', 'Road', 'Avenue', 'Lane', 'Drive', 'Way')} {p('NW', 'SE', 'N')}{gap}{town}, {p('KL', 'CA', 'NY', 'TX')} {five}", f"{no} {p('High', 'Church', 'Main', 'Station', 'Park')} Street{gap}{town} {p('SW', 'LS', 'M')}{self.num(20)} {self.num(9)}{p('AB', 'QT', 'XY')}",
+                f"Via {p('Roma', 'Garibaldi', 'Dante', 'della Pace')} {self.num(200)}{gap}{five} {p(town, 'Milano', 'Torino')}", f"{p('Kerk', 'Dorps', 'School', 'Molen')}{p('straat', 'laan', 'weg')} {self.num(200)}{gap}{self.n(4)} {p('AB', 'KL')} {p(town, 'Utrecht')}",
+                f"{no} {p('Elm', 'Oak', 'Cedar', fam)} {p('Street', 'Avenue', 'Drive')}{gap}{town}, {p('CA', 'NY', 'TX', 'OH')} {five}", f"{p('Alter', 'Neuer')} {p('Markt', 'Weg', 'Platz')} {self.num(90)}{gap}{five} {town}", f"{p('Haupt', 'Berliner ', 'Garten', 'Schul')}{p('straße', 'strasse', 'str.')} {self.num(200)}{gap}{five} {town}".replace("er s", "er S"),
+                f"{self.num(200)} rue {p('Victor Hugo', 'de la Paix', 'du Bac', 'Saint-Jacques')}{gap}{five} {town}", f"Calle {p('de Alcalá', 'Mayor', 'Gran Vía')}{p(',', '')} {self.num(200)}{gap}{five} {town}",
+            )
         return p(
             f"{road}{gap}{t} {five}", f"{road}{gap}{t} {five}", f"{road}{gap}{t}", f"{flat}{gap}{t}, {p('KL', 'QW', 'DV')} {five}", f"{p('P.O.', 'PO')} Box {self.num(9999)}{gap}{t} {five}",
             f"{road}{gap}{t} {p('ZV', 'QX')}{self.num(9)} {self.num(9)}{p('QZ', 'VX', 'AB')}",
@@ -120,15 +165,37 @@ In 1{n3} the council of {place} closed a wide {noun} and {n3} plots.|Visitors re
 {place} feeds {place} to the south and the plain {noun} to the west.|Winter storms of 1{n3} drained the blue {place} {noun} twice.|The {given} Prize went to the {noun}.|Lake {given} and {given} Street are old.|A {given} Tower stands in {place}."""
 
 
+_POSITIVE += """
+Yesterday {name} came to the library with a map.|The report was written by {name} in March.|We met {name} and {name} at the station.|{name} said the road was closed.|{name} lives in the old town.|As {name} explained, the dam is safe.
+In 2012 {name} moved to the coast.|Then {name} told {name} about it.|{name} was born in 1961.|{name} works for the city.|According to {name}, nothing changed.|The architect {name} drew the plans.|Our neighbour {name} called the police.|Speak with {name} first.
+Gestern sprach {name} mit der Verwaltung.|Der Bericht stammt von {name} und {name}.|{name} wohnt seit Jahren in der Altstadt.|Laut {name} ist der Damm sicher.|Die Ärztin {name} kam später.|{name} sagte, die Brücke sei gesperrt.|Wie {name} erklärte, bleibt alles gleich.
+Hier, {name} est venu avec une carte.|Le rapport est de {name} et {name}.|{name} habite la vieille ville.|Selon {name}, rien ne change.|L’architecte {name} a dessiné les plans.|{name} travaille pour la mairie.
+Ayer {name} vino con un mapa.|El informe es de {name} y {name}.|{name} vive en el casco antiguo.|Según {name}, nada cambia.|La arquitecta {name} hizo los planos.|{name} trabaja para el ayuntamiento.
+Dear {name},\n|Dear Mr {name},\n|Best regards,¶{name}\n|Sincerely,¶{name}\n|From: {name} <{email}>\n|To: {name}\n|Name: {name}\n|Patient: {name}, ID {id}\n|Patient {name} was seen on Monday.|Hi {name}, thanks for the call.
+Please transfer it to {iban} by Friday.|IBAN: {iban}\n|My IBAN is {iban}.|Das Konto ist {iban}.|NHS number: {id}\n|Her NHS number is {id}.|Steuer-ID: {id}\n|DNI: {id}\n|Mi DNI es {id}.|numéro de sécurité sociale : {id}\n|Personalausweis {id} ist abgelaufen.|Passport number {id} expires soon.
+She moved to {address} last year.|Our office is at {address}.|Send the parcel to {address}.|Wir wohnen in der {address}.|Das Büro ist in {address}.|Elle habite {address}.|Vive en {address} desde mayo.|Abita in {address}.|Lieferung an {address}.
+You can call me on {phone} or write to {email}.|Mobile: {phone}\n|Fax {phone}\n|Reach us at {phone}.|Text me at {phone}.|Rufen Sie {phone} an.|Mon numéro est le {phone}.|Mi teléfono es {phone}.|Handy: {phone}\n"""
+_POSITIVE += "|" + "|".join(["{w} {w} {name} {w} {w} {w}.", "{C} {w} {name}, {w} {w}.", "{w} {C} {name} {w} {w}.", "{C} {name} {w} {C}.", "{w} {w}, {name}, {w} {C}.", "{name} {w} {w} {C} {w}.", "{w} {w} {w} {name}.", "{name}, {C}, {w} {w}.", "{w} {C} {w} {name} {w} {phone} {w}.", "{C} {C} {w} {name} {w}."] * 2)
+_NEGATIVE += "\n" + "|".join(["{w} {C} {C} {w} {w}.", "{C} {w} {place} {C} {w}.", "{C} {C} {w} {C}.", "{w} {w} {place} {place} {w}.", "{w} {known} {C} {noun} {w}.", "{known} {w} {w} {C}.", "{C} {w} {w} {n3} {C} {w} {n4}."])
+_NEGATIVE += """
+The {known} {family} Bridge crosses the {noun}.|The {known} {family} Library opened in 1{n3}.|{family} Street and {family} Road meet there.|The {known} {family} Prize was given twice.|Hotel {known} is closed.|Saint {known} Church stands on {known} Square.
+The Town Hall and the Art Museum are near.|He lives in New York and works for the Red Cross.|On Monday Morning the Main Page was edited.|The Prime Minister opened the North Sea port.|Open Source Software runs the Help Desk.|See Also External Links and Further Reading.
+Die Deutsche Bahn baut am Alten Markt.|Am Montag Abend spielte der Erste Chor.|Das Rote Kreuz hilft in Sankt {place}.|Guten Morgen Berlin heißt die Sendung.|La Tour Eiffel et le Moyen Âge.|Le Grand Palais reste ouvert.|La Semana Santa y el Banco Central.|Meine Adresse ist {place}.|Unsere Nummer steht im Buch.|Ihre Antwort fehlt noch.|El Museo Nacional abre hoy.
+However {place} was never found.|Later {place} joined {place}.|Yesterday London won.|In March {place} and {place} signed the Peace Treaty.|World War Two ended.|The University of {place} and {place} College.|{place} City Council met.|Great {place} Road.|{place} {place} is a river.
+The {family} family sold the {noun}.|{family} and Sons built it.|Windows Server and Visual Studio.|Figure {n1} and Table {n1}.|Chapter One begins.|Der Neue Weg und die Alte Straße.|Le Petit Journal.|Los Angeles Times.|Order No. {n3}-{n3}-{n4} was shipped.|Invoice {n3} {n3} {n4} is paid.
+Part number {n3}-{n2}-{n4} is out.|Case {n2}/{n3}.|The server 192.168.{n2}.{n1} is down.|Address 10.{n1}.{n2}.{n2} answered.|Host {n2}.{n3}.{n2}.{n2} said {n5}.|Von {n3}.{n2}.{n1}.{n2} kam nichts.|Version {n2}.{n2}.{n2}.{n2} at {n2}:{n2}.|On 0{n1}.0{n1}.19{n2} it rained.|The code {n4}-{n4} opens nothing.|It cost 1.{n3}.{n3} in all.|ISBN {n1}-{n3}-{n5}-{n1}.|{n3} {n3} {n3} people voted.|The Road 12 Avenue plan failed.|In {n4} 12 people left."""
+
+
 def labelled(count: int, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """``count`` texts of a few sentences, each with the (kind, start, end) of its personal information."""
     rng = random.Random(seed)
     make = _Maker(rng)
     positive = [t for t in re.split(r"\||(?<!\|)\n(?=\S)", _POSITIVE) if t.strip()]
+    positive = [t.replace("¶", "\n") for t in positive]
     positive = [t + "\n" if re.search(r"\}$", t) else t for t in positive]
     negative = [t for t in re.split(r"[|\n]", _NEGATIVE) if t.strip()]
-    values = {"name": make.name, "email": make.email, "phone": make.phone, "id": make.id, "address": make.address}
-    kinds = {"id": "id_number"}
+    values = {"name": make.name, "email": make.email, "phone": make.phone, "id": make.id, "iban": make.iban, "address": make.address}
+    kinds = {"id": "id_number", "iban": "id_number"}
     out = []
     for _ in range(count):
         text, spans = "", []
@@ -143,7 +210,7 @@ def labelled(count: int, seed: int = 0) -> list[tuple[str, list[tuple[str, int,
                     spans.append((kinds.get(key, key), len(text), len(text) + len(value)))
                     text += value
                 elif key:
-                    text += {"given": make.given, "place": make.place, "noun": lambda: rng.choice(_NOUNS)}.get(key, lambda key=key: make.n(int(key[1:])))()
+                    text += {"given": make.known, "known": make.known, "family": lambda: rng.choice(FAMILY), "w": lambda: make.sounds(1).lower(), "C": make.sounds, "place": make.place, "noun": lambda: rng.choice(_NOUNS)}.get(key, lambda key=key: make.n(int(key[1:])))()
                 else:
                     text += part
         out.append((text, spans))

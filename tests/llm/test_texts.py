@@ -11,6 +11,7 @@ from pagetrail.llm import mixing as X
 from pagetrail.llm import packing as P
 from pagetrail.llm import pii
 from pagetrail.llm.pii_labels import labelled
+from tests.llm.pii_texts import parsed
 from pagetrail.llm.tokens import encoder, token_sizes, VOCABULARY
 
 
@@ -215,6 +216,34 @@ def test_personal_data_on_held_out_texts():
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.96
 
 
+def test_personal_data_in_texts_written_by_hand():
+    rows = parsed()
+    hit, missed, wrong = (defaultdict(int) for _ in range(3))
+    for (text, items), spans in zip(rows, pii.trained().find([t for t, _ in rows])):
+        got, want = {(k, text[a:b]) for a, b, k in spans}, set(items)
+        for total, some in ((hit, got & want), (missed, want - got), (wrong, got - want)):
+            for kind, _ in some:
+                total[kind] += 1
+    for kind in pii.KINDS:
+        assert hit[kind] >= 0.85 * (hit[kind] + missed[kind]) and hit[kind] >= 0.85 * (hit[kind] + wrong[kind]), (kind, hit, missed, wrong)
+    assert sum(hit.values()) >= 0.9 * (sum(hit.values()) + sum(missed.values())) and sum(hit.values()) >= 0.95 * (sum(hit.values()) + sum(wrong.values()))
+
+
+def test_every_capitalised_run_is_a_candidate():
+    for name in ("John Smith", "Ngozi Okafor", "J. R. Smith", "Smith, Mary", "Иван Петров", "Ludwig van Beethoven", "Ἑλένη Παπά"):
+        text = f"then {name} left"
+        assert ("name", 5, 5 + len(name)) in pii.candidates(text), name
+
+
+def test_long_emails_are_whole():
+    for email in ("bob@" + "x" * 130 + ".com", "a" * 140 + "@mail.example", "a." * 200 + "b@" + "c." * 200 + "example", "jane [AT] mail [DOT] example", "jane <at> mail.example"):
+        text = f"Write to {email}, please."
+        assert ("email", 9, 9 + len(email)) in pii.candidates(text), email
+    begin = time.process_time()
+    pii.candidates("a@" * 100_000 + "x at " * 50_000 + " dot " + "A. B " * 50_000 + "1 2 3 4 5 6 " * 20_000)
+    assert time.process_time() - begin < 20
+
+
 def test_personal_data(spark):
     text = "My teacher, Mrs Rosa O'Kestovic, wrote from rosa.kest@mail.example and\nlives at 12 Tanner Road,\nHulmford 20111. Call +44 1632 960001 after six. My SSN: 666-12-3456\n"
     rows = [(1, text), (2, None), (3, ""), (4, "The Rosa Canal and the Milan Quarry were merged. ISSN 1234-5678. See ISBN 978-0-123-456-7, page 3."), (5, "SSN: 666-12-3456 " + "x" * 300_000), (6, "SSN: 666-12-3456\nSSN: 666-12-3456")]
