@@ -2,33 +2,148 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from pagetrail.operators.dag import AnnotatedDag, LinkOrder, PathEnumerator
+from pagetrail.operators import dag as dag_frames
+from pagetrail.operators.dag import LinkOrder
 from pagetrail.operators.graph import Link, LinkGraph, Page
 from pagetrail.operators.search import SearchStats, shortest_path, shortest_path_dag
 
-__all__ = ["AnnotatedDag", "GraphReader", "Link", "LinkOrder", "MetadataReader", "Page", "PathEnumerator", "Reader", "SearchStats", "Step"]
+__all__ = ["AnnotatedDag", "AnnotatedLink", "AnnotatedPage", "GraphReader", "Link", "LinkOrder", "MetadataReader", "Page", "PathEnumerator", "Reader", "SearchStats"]
+
+
+def quoted(text: str | None) -> str:
+    """A string as it is written in a representation: backslash, double quote and control characters escaped."""
+    if text is None:
+        return "None"
+    return '"' + "".join("\\" + c if c in '\\"' else f"\\x{ord(c):02x}" if ord(c) < 32 else c for c in text) + '"'
 
 
 @dataclass(frozen=True)
-class Step:
-    """A link of an annotated path."""
+class AnnotatedPage:
+    """A page of an annotated path DAG."""
 
-    src: int
-    dst: int
-    text: str
-    ref: str
+    dag: AnnotatedDag = field(compare=False, repr=False)
+    id: int = 0
+    title: str = ""
+
+    @property
+    def ref(self) -> str:
+        return f"#{self.id} ({self.title})"
+
+    def links(self, order: LinkOrder = LinkOrder.ID) -> list[AnnotatedLink]:
+        """The links of this page that lie on shortest paths, in order."""
+        rows = self.dag.frame.page_links(self.id, order).orderBy("place").collect()  # one row a link of this page
+        return [AnnotatedLink(self, AnnotatedPage(self.dag, r.dst, r.dst_title), r.text) for r in rows]
 
     def __str__(self) -> str:
         return self.ref
 
     def __repr__(self) -> str:
-        return f"Step(src={self.src}, dst={self.dst}, text={json.dumps(self.text, ensure_ascii=False)})"
+        return f"pagetrail.AnnotatedPage(id={self.id}, title={quoted(self.title)})"
+
+
+@dataclass(frozen=True)
+class AnnotatedLink:
+    """A link of an annotated path DAG."""
+
+    src: AnnotatedPage
+    dst: AnnotatedPage
+    text: str
+
+    def _ref(self, page: AnnotatedPage) -> str:
+        return f"#{page.id} ({page.title}" + (f"; displayed as: {self.text})" if self.text != self.dst.title else ")")
+
+    @property
+    def forward_ref(self) -> str:
+        return self._ref(self.dst)
+
+    @property
+    def backward_ref(self) -> str:
+        return self._ref(self.src)
+
+    def __str__(self) -> str:
+        return self.forward_ref
+
+    def __repr__(self) -> str:
+        return f"pagetrail.AnnotatedLink(src={self.src!r}, dst={self.dst!r}, text={quoted(self.text)})"
+
+
+class AnnotatedDag:
+    """All shortest paths between two pages as plain values; ``frame`` has them as DataFrames."""
+
+    def __init__(self, frame: dag_frames.AnnotatedDag):
+        self.frame = frame
+        ids = {frame.dag.start, frame.dag.finish}
+        titles = {r.page_id: r.title for r in frame.graph.pages.filter(F.col("page_id").isin(list(ids))).collect()}
+        self.start, self.finish = (AnnotatedPage(self, i, titles.get(i, "untitled")) for i in (frame.dag.start, frame.dag.finish))
+        self._count: int | None = None
+
+    def count_paths(self) -> int:
+        if self._count is None:
+            self._count = self.frame.count_paths()
+        return self._count
+
+    __len__ = count_paths
+
+    def iterate(self, maxlen: int | None = None, skip: int = 0, order: LinkOrder = LinkOrder.ID) -> Iterator[list[AnnotatedLink]]:
+        """Paths one after the other; only one is held here."""
+        if self.frame.dag.length == 0:
+            if (maxlen is None or maxlen > 0) and skip <= 0:
+                yield []
+            return
+        path, rank = [], None
+        for r in self.frame.path_steps(skip, maxlen, order).orderBy("rank", "step").toLocalIterator():
+            if rank is not None and r["rank"] != rank:
+                yield path
+                path = []
+            rank = r["rank"]
+            path.append(AnnotatedLink(AnnotatedPage(self, r.src, r.src_title), AnnotatedPage(self, r.dst, r.dst_title), r.text))
+        if path:
+            yield path
+
+    def paths(self, maxlen: int | None = None, skip: int = 0, order: LinkOrder = LinkOrder.ID) -> list[list[AnnotatedLink]]:
+        """Paths as lists of links, all of them unless ``maxlen`` is given."""
+        return list(self.iterate(maxlen, skip, order))
+
+    def path_enumerator(self, skip: int = 0, order: LinkOrder = LinkOrder.ID) -> PathEnumerator:
+        return PathEnumerator(self, skip, order)
+
+
+class PathEnumerator(Iterator[list[AnnotatedLink]]):
+    """A cursor over paths that fetches one page of ranks at a time."""
+
+    def __init__(self, of: AnnotatedDag | PathEnumerator, skip: int = 0, order: LinkOrder = LinkOrder.ID, page: int = 256):
+        """``of`` another enumerator: a copy of it at its place."""
+        if isinstance(of, PathEnumerator):
+            self.dag, self.order, self.page, self.at, self._from, self._rows = of.dag, of.order, of.page, of.at, of._from, of._rows
+        else:
+            self.dag, self.order, self.page, self.at, self._from, self._rows = of, order, page, max(0, skip), 0, []
+
+    @property
+    def has_path(self) -> bool:
+        if not self._from <= self.at < self._from + len(self._rows):
+            self._from, self._rows = self.at, self.dag.paths(self.page, self.at, self.order)
+        return bool(self._rows)
+
+    __bool__ = has_path.fget
+
+    @property
+    def path(self) -> list[AnnotatedLink] | None:
+        return self._rows[self.at - self._from] if self.has_path else None
+
+    def advance(self, skip: int = 0) -> None:
+        self.at += 1 + max(0, skip)
+
+    def __next__(self) -> list[AnnotatedLink]:
+        path = self.path
+        if path is None:
+            raise StopIteration
+        self.advance()
+        return path
 
 
 class GraphReader:
@@ -38,7 +153,7 @@ class GraphReader:
 
     def _check(self, *ids: int) -> None:
         for page_id in ids:
-            if not 0 <= page_id < self.vertex_count:
+            if not 0 < page_id < self.vertex_count:
                 raise IndexError(f"page id {page_id} is out of range")
 
     def forward_edges(self, page_id: int) -> list[int]:
@@ -115,33 +230,16 @@ class Reader:
     def backward_link_ref(self, src: int, dst: int) -> str:
         return self._reference(src, dst).backward_ref
 
-    def shortest_path_annotated_dag_with_stats(self, start: int | str, finish: int | str) -> tuple[AnnotatedDag | None, SearchStats | None]:
+    def shortest_path_annotated_dag_with_stats(self, start: int | str, finish: int | str) -> tuple[AnnotatedDag | None, SearchStats]:
         a, b = (self.parse_page_argument(x) if isinstance(x, str) else x for x in (start, finish))
         if not (self.is_valid_page_id(a) and self.is_valid_page_id(b)):
-            return None, None
+            return None, SearchStats(0, 0, 0)
         dag, stats = shortest_path_dag(self._graph.adjacency(), a, b)
-        return (None if dag is None else AnnotatedDag(self._graph, dag, self.collation)), stats
+        return (None if dag is None else AnnotatedDag(dag_frames.AnnotatedDag(self._graph, dag, self.collation))), stats
 
     def shortest_path_annotated_dag(self, start: int | str, finish: int | str) -> AnnotatedDag | None:
         return self.shortest_path_annotated_dag_with_stats(start, finish)[0]
 
-    def paths(self, dag: AnnotatedDag, maxlen: int = 100, skip: int = 0, order: LinkOrder = LinkOrder.ID) -> Iterator[list[Step]]:
-        """Paths as lists of steps, ``maxlen`` at a time at most on the driver."""
-        if dag.dag.length == 0:
-            if maxlen > 0 and skip <= 0:
-                yield []
-            return
-        rows = dag.path_steps(skip, maxlen, order).orderBy("rank", "step").toLocalIterator()
-        path, rank = [], None
-        for r in rows:
-            if rank is not None and r["rank"] != rank:
-                yield path
-                path = []
-            rank = r["rank"]
-            path.append(Step(r.src, r.dst, r.text, r.ref))
-        if path:
-            yield path
-
 
 def displayed(graph: LinkGraph, path: list[int]) -> list[dict]:
     """The pages of a path, each with what the link before it shows where that differs from the title."""

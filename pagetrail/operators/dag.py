@@ -33,6 +33,7 @@ class AnnotatedDag:
         self.scratch = Scratch(graph.spark)
         self.links = self.scratch.write(graph.annotated(dag.edges), "links")
         self._counts: DataFrame | None = None
+        self._ranked: dict[LinkOrder, DataFrame] = {}
 
     def path_counts(self) -> DataFrame:
         """(page_id, n_paths): how many shortest paths lead from a page to the finish; null beyond 64 bits."""
@@ -73,7 +74,21 @@ class AnnotatedDag:
         mine = self.links.filter(F.col("src") == page_id)
         place = F.row_number().over(Window.partitionBy("src").orderBy(*self._key(order))) - 1
         ref = W.link_ref(F.col("dst"), F.col("dst_title"), F.col("text"), F.col("dst_title"))
-        return mine.select(place.alias("place"), "src", "dst", "text", ref.alias("ref"))
+        return mine.select(place.alias("place"), "src", "dst", "dst_title", "text", ref.alias("ref"))
+
+    def _ranks(self, order: LinkOrder) -> DataFrame:
+        """(src, dst, layer, n_paths, before), written once for each order, so that results already handed out stay readable."""
+        if order not in self._ranked:
+            counts = self.path_counts().withColumnRenamed("page_id", "dst")
+            before = F.coalesce(F.sum("n_paths").over(Window.partitionBy("src").orderBy(*self._key(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            ranked = self.links.join(counts, "dst").select("src", "dst", "layer", "n_paths", before.alias("before"))
+            self._ranked[order] = self.scratch.write(ranked, f"ranked-{order.value}")
+        return self._ranked[order]
+
+    def close(self) -> None:
+        """Drop the written tables; results not yet collected can't be read any more."""
+        self.scratch.drop(*list(self.scratch.paths))
+        self._ranked = {}
 
     def paths(self, skip: int = 0, maximum: int | None = None, order: LinkOrder = LinkOrder.ID) -> DataFrame:
         """(rank, path): paths in the order of their links, ranks from ``skip`` on, at most ``maximum``.
@@ -82,10 +97,7 @@ class AnnotatedDag:
         """
         skip = max(0, skip)
         spark = self.graph.spark
-        counts = self.path_counts().withColumnRenamed("page_id", "dst")
-        before = F.coalesce(F.sum("n_paths").over(Window.partitionBy("src").orderBy(*self._key(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = self.links.join(counts, "dst").select("src", "dst", "layer", "n_paths", before.alias("before"))
-        ranked = self.scratch.write(ranked, f"ranked-{order.value}")
+        ranked = self._ranks(order)
         end = None if maximum is None else skip + max(0, maximum)
         inside = lambda n: (F.col("rank") + n > skip) if end is None else (F.col("rank") < end) & (F.col("rank") + n > skip)
         now = spark.range(1).select(F.lit(0).cast("bigint").alias("rank"), F.array(F.lit(self.dag.start).cast("bigint")).alias("path"))
@@ -103,8 +115,8 @@ class AnnotatedDag:
         paths = self.paths(skip, maximum, order)
         pairs = F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("src"), F.expr("slice(path, 2, size(path) - 1)").alias("dst"))
         steps = paths.select("rank", F.posexplode(pairs).alias("step", "p")).select("rank", "step", "p.src", "p.dst")
-        named = steps.join(self.links.select("src", "dst", "dst_title", "text"), ["src", "dst"])
-        return named.select("rank", "step", "src", "dst", "text", W.link_ref(F.col("dst"), F.col("dst_title"), F.col("text"), F.col("dst_title")).alias("ref"))
+        named = steps.join(self.links.select("src", "src_title", "dst", "dst_title", "text"), ["src", "dst"])
+        return named.select("rank", "step", "src", "src_title", "dst", "dst_title", "text", W.link_ref(F.col("dst"), F.col("dst_title"), F.col("text"), F.col("dst_title")).alias("ref"))
 
     def random_path(self, seed: int | None = None, order: LinkOrder = LinkOrder.ID) -> DataFrame:
         """(rank, path) of one path, every path being equally likely."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import threading
 from dataclasses import dataclass
 from enum import Enum
@@ -11,11 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrail.functions import wikitext as W
-from pagetrail.operators.search import Adjacency
-from pagetrail.plans.scratch import Scratch
+from pagetrail.operators.search import Adjacency, ranged
 from pagetrail.sources.tables import distinct_links, edges_of
 
 
+#: Pages drawn at random before all degrees are counted.
+DRAWS = 20
+
+
+def metadata_beside(graph_file: str) -> str:
+    """The name of the metadata file that belongs to a graph file: its last extension is replaced."""
+    stem, dot, _ = graph_file.rpartition(".")
+    return (stem if dot and "/" not in graph_file[len(stem) :] else graph_file) + ".metadata"
+
+
 class Residency(Enum):
     """How much of the adjacency is brought into memory when a graph is opened."""
 
@@ -45,37 +55,51 @@ class LinkGraph:
     long as it is small.
     """
 
-    def __init__(self, pages: DataFrame, links: DataFrame, residency: Residency = Residency.NONE, clean: bool = False):
+    def __init__(self, pages: DataFrame, links: DataFrame, residency: Residency = Residency.NONE, clean: bool = False, adjacency: Adjacency | None = None):
         """``links`` are reduced to one row per pair unless they are known to be ``clean``."""
         self.spark = pages.sparkSession
         self.pages = pages.select("page_id", "title")
         self.links = links.select("from_page_id", "to_page_id", "title") if clean else distinct_links(links)
         self.edges = edges_of(self.links)
-        self._adjacency: Adjacency | None = None
+        self._adjacency = adjacency or Adjacency.of(self.edges)
         if residency is not Residency.NONE:
-            self.edges = self.edges.persist(StorageLevel.MEMORY_AND_DISK)
+            kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (self._adjacency.forward, self._adjacency.backward)]
+            load = lambda: [df.count() for df in kept]
             if residency is Residency.BACKGROUND:
-                threading.Thread(target=self.edges.count, daemon=True).start()
+                threading.Thread(target=load, daemon=True).start()
             else:
                 try:
-                    self.edges.count()
+                    load()
                 except Exception:
                     if residency is Residency.FOREGROUND:
                         raise
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, residency: Residency = Residency.NONE) -> LinkGraph:
-        return cls(spark.read.parquet(f"{path}/pages"), spark.read.parquet(f"{path}/links"), residency, clean=True)
+        """A saved graph; opening writes nothing."""
+        pages, links, forward, backward = (spark.read.parquet(f"{path}/{part}") for part in ("pages", "links", "forward", "backward"))
+        return cls(pages, links, residency, clean=True, adjacency=Adjacency(forward, backward, True))
+
+    @classmethod
+    def open_files(cls, spark: SparkSession, graph_file: str, partitions: int = 8, residency: Residency = Residency.NONE) -> LinkGraph:
+        """A graph from a binary adjacency file and the metadata file of the same name beside it."""
+        from pagetrail.sources.graph_file import read_graph
+        from pagetrail.sources.metadata_db import read_metadata
+
+        edges = read_graph(spark, graph_file, partitions)
+        metadata = metadata_beside(graph_file)
+        return cls(read_metadata(spark, metadata, "pages"), read_metadata(spark, metadata, "links"), residency, clean=True, adjacency=Adjacency.of(edges))
 
     def save(self, path: str) -> None:
-        """Write ``pages`` and ``links`` below ``path``; nothing existing is overwritten."""
+        """Write ``pages``, ``links`` and the edges in both sort orders below ``path``; nothing existing is overwritten."""
         self.pages.write.mode("errorifexists").parquet(f"{path}/pages")
-        self.links.repartition("from_page_id").sortWithinPartitions("from_page_id", "to_page_id").write.mode("errorifexists").parquet(f"{path}/links")
+        self.links.repartitionByRange("from_page_id").sortWithinPartitions("from_page_id", "to_page_id").write.mode("errorifexists").parquet(f"{path}/links")
+        near = Adjacency.of(edges_of(self.spark.read.parquet(f"{path}/links")))
+        ranged(near.forward).write.mode("errorifexists").parquet(f"{path}/forward")
+        ranged(near.backward).write.mode("errorifexists").parquet(f"{path}/backward")
 
     def adjacency(self) -> Adjacency:
-        """Both directions of the edges, written once in their sort orders."""
-        if self._adjacency is None:
-            self._adjacency = Adjacency.stored(self.edges, Scratch(self.spark))
+        """Both directions of the edges: the sorted tables of a saved graph, else the edges as they are."""
         return self._adjacency
 
     # -- counts ----------------------------------------------------------------------------------
@@ -122,10 +146,10 @@ class LinkGraph:
         return Link(row.from_page_id, row.to_page_id, row.title) if row else None
 
     def forward(self, page_id: int) -> DataFrame:
-        return self.edges.filter(F.col("src") == page_id).select("dst").orderBy("dst")
+        return self._adjacency.forward.filter(F.col("v") == page_id).select(F.col("w").alias("dst")).orderBy("dst")
 
     def backward(self, page_id: int) -> DataFrame:
-        return self.edges.filter(F.col("dst") == page_id).select("src").orderBy("src")
+        return self._adjacency.backward.filter(F.col("v") == page_id).select(F.col("w").alias("src")).orderBy("src")
 
     def reversed_edges(self) -> DataFrame:
         return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -147,6 +171,12 @@ class LinkGraph:
 
     def random_page_id(self, seed: int | None = None) -> int:
         """A page with links in both directions if there is one, else any page; 0 in an empty graph."""
+        top = self.vertex_count()
+        rng = random.Random(seed)
+        for _ in range(DRAWS if top > 1 else 0):  # two lookups a draw; most pages have both
+            drawn = rng.randrange(1, top)
+            if not self.forward(drawn).isEmpty() and not self.backward(drawn).isEmpty():
+                return drawn
         both = self.degrees().withColumn("r", F.rand(seed) if seed is not None else F.rand())
         row = both.orderBy(~((F.col("out_degree") > 0) & (F.col("in_degree") > 0)), "r").select("page_id").first()
         return row.page_id if row else 0

@@ -5,7 +5,7 @@ so a vertex carries its smallest path instead of a place in a queue, and one min
 expansions says where a sequential search would have stopped. The smaller fringe is expanded, forward on ties.
 
 A search begins on the driver: as long as all neighbours it has fetched are at most ``local_rows``, a layer is one
-lookup of the fringe in the adjacency, which is sorted so that most row groups are skipped. A search that
+lookup of the fringe in the adjacency: in a saved graph a table sorted for it, so that most row groups are skipped, else a filter on the edges. A search that
 needs more starts over as joins, with the same result. There a layer is one join of the fringe with the edges. The fringe's size is known from the step before; below
 ``BROADCAST_ROWS`` it is broadcast, so the edges are read once and not moved. Every layer is a written table.
 """
@@ -28,10 +28,14 @@ GATHER = 16
 
 @dataclass(frozen=True)
 class Adjacency:
-    """Both directions of the edges as (v, w), v being where a step starts."""
+    """Both directions of the edges as (v, w), v being where a step starts.
+
+    ``sorted``: each is a table sorted by v, so a lookup skips most row groups; else lookups filter the edges as they are.
+    """
 
     forward: DataFrame
     backward: DataFrame
+    sorted: bool = False
 
     @classmethod
     def of(cls, edges: DataFrame) -> Adjacency:
@@ -41,12 +45,21 @@ class Adjacency:
     def stored(cls, edges: DataFrame, scratch: Scratch) -> Adjacency:
         """Written in both sort orders, for lookups that skip most of the data."""
         plain = cls.of(edges)
-        ranged = lambda df: df.repartitionByRange("v").sortWithinPartitions("v", "w")
-        return cls(scratch.write(ranged(plain.forward), "forward"), scratch.write(ranged(plain.backward), "backward"))
+        return cls(scratch.write(ranged(plain.forward), "forward"), scratch.write(ranged(plain.backward), "backward"), True)
+
+    def settled(self, scratch: Scratch) -> Adjacency:
+        """This adjacency in written tables, for a search that joins it layer by layer."""
+        if self.sorted:
+            return self
+        return Adjacency(scratch.write(ranged(self.forward), "forward"), scratch.write(ranged(self.backward), "backward"), True)
+
+
+def ranged(df: DataFrame) -> DataFrame:
+    return df.repartitionByRange("v").sortWithinPartitions("v", "w")
 
 
 def adjacency(edges: DataFrame | Adjacency) -> Adjacency:
-    return edges if isinstance(edges, Adjacency) else Adjacency.stored(edges, Scratch(edges.sparkSession))
+    return edges if isinstance(edges, Adjacency) else Adjacency.of(edges)
 
 
 class _TooLarge(Exception):
@@ -213,7 +226,7 @@ def shortest_path(edges: DataFrame | Adjacency, start: int, finish: int, local_r
         except _TooLarge:
             pass
     scratch = Scratch(near.forward.sparkSession)
-    ahead, behind = _sides(near, scratch, start, finish, True)
+    ahead, behind = _sides(near.settled(scratch), scratch, start, finish, True)
     reached, expanded, crossed = 2, 0, 0
     while ahead.size and behind.size:
         side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
@@ -276,7 +289,7 @@ def shortest_path_dag(
         except _TooLarge:
             pass
     scratch = Scratch(spark)
-    ahead, behind = _sides(near, scratch, start, finish, False)
+    ahead, behind = _sides(near.settled(scratch), scratch, start, finish, False)
     reached, expanded, crossed = 2, 0, 0
     while ahead.size and behind.size:
         if len(ahead.layers) + len(behind.layers) - 2 >= max_depth:

@@ -2,12 +2,13 @@
 
 A cut is a Parquet table below the folder that ``spark.checkpoint.dir`` names. Every executor shares
 that folder, so a later stage can read the table whichever executors are alive. Where the setting is
-missing (tests, a laptop) a temporary folder takes its place.
+missing (tests, a laptop) and all runs in one process, a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", master):  # executors of their own may not share a local folder
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="pagetrail-"))

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", scratch: str | None = None) -> SparkSession:
+    """``scratch``: the folder for intermediate tables, else a temporary one."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagetrail")
@@ -20,4 +21,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if scratch:
+        spark.conf.set("spark.checkpoint.dir", scratch)
     return spark

@@ -264,7 +264,7 @@ def random_page(spark, sf):
 
 
 def dag_page_links(spark, sf):
-    return _dag(spark, sf).page_links(START, LinkOrder.TITLE)
+    return _dag(spark, sf).page_links(START, LinkOrder.TITLE).drop("dst_title")
 
 
 def dag_edge_lines(spark, sf):

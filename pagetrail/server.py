@@ -22,7 +22,7 @@ class Service:
     def __init__(self, graph: LinkGraph, name: str, base_url: str, static: str | None = None):
         self.graph, self.static = graph, Path(static).resolve() if static else None
         self.reader = GraphReader(graph)
-        self.corpus = {"base_url": base_url, "graph_filename": name, "vertex_count": self.reader.vertex_count, "edge_count": self.reader.edge_count}
+        self.corpus = {"corpus": {"base_url": base_url, "graph_filename": name, "vertex_count": self.reader.vertex_count, "edge_count": self.reader.edge_count}}
 
     def _argument(self, query: dict[str, list[str]], key: str) -> str:
         values = query.get(key, [])

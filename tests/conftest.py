@@ -13,7 +13,5 @@ def spark():
     from pagetrail.plans.session import local_session
 
     session = local_session(4, partitions=2)
-    session.conf.set("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than these tables do
-    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()

@@ -72,6 +72,14 @@ def test_tag_statistics(spark, dump):
     assert counts["/mediawiki/page"] == 14 and counts["/mediawiki/page/revision/text"] == 16 and counts["/mediawiki/siteinfo/a"] == 2
 
 
+def no_path(spark, folder):
+    path = folder / "apart"
+    if not path.exists():
+        pages = spark.createDataFrame([(1, "a"), (2, "b")], "page_id bigint, title string")
+        LinkGraph(pages, spark.createDataFrame([(2, 1, None)], "from_page_id bigint, to_page_id bigint, title string")).save(str(path))
+    return str(path)
+
+
 def run(spark, capsys, *argv):
     code = cli.main(list(argv), spark)
     out = capsys.readouterr()
@@ -91,6 +99,16 @@ def test_commands(spark, dump, tmp_path, capsys):
     assert run(spark, capsys, "search", graph, "Oak", "#3", "dot")[1][0] == "digraph dag {"
     assert run(spark, capsys, "search", graph, "Oak", "Nobody", "count")[0] == 1
     assert run(spark, capsys, "search", graph, "Oak", "#3", "count", "--skip=1")[0] == 2
+    assert run(spark, capsys, "search", graph, "Oak", "#3", "paths", "--enumerate=iterative")[1] == ["#1 (Oak) -> #2 (Pine) -> #3 (Elm (tree); displayed as: Elm)"]
+    assert run(spark, capsys, "search", graph, "Oak", "#3", "count", "--enumerate=iterative")[0] == 2
+    pair = str(tmp_path / "trees.graph")
+    assert run(spark, capsys, "index", dump, pair)[0] == 0 and run(spark, capsys, "index", dump, pair)[0] == 1
+    assert run(spark, capsys, "search", pair, "Elm (tree)", "Pine")[1] == ["#3 (Elm (tree))", "#1 (Oak)", "#2 (Pine)"]
+    for output, shown in (("count", ["0"]), ("paths", []), ("edges", [])):
+        assert run(spark, capsys, "search", no_path(spark, tmp_path), "#1", "#2", output)[:2] == (0, shown)
+    for output in ("path", "dot"):
+        code, out, err = run(spark, capsys, "search", no_path(spark, tmp_path), "#1", "#2", output)
+        assert (code, out) == (0, []) and "No path found!" in err
     assert "Outgoing links:" in run(spark, capsys, "inspect", graph, "Oak")[1]
     assert run(spark, capsys, "xml-stats", dump)[1][0] == "/mediawiki: 1"
 
@@ -108,7 +126,7 @@ def test_service(ingest, tmp_path):
     server = serve(Service(LinkGraph(ingest.pages, ingest.links, clean=True), "trees", "https://w/", str(tmp_path)), port=0, background=True)
     port = server.server_address[1]
     try:
-        assert json.loads(get(port, "/api/corpus")[1]) == {"base_url": "https://w/", "graph_filename": "trees", "vertex_count": 4, "edge_count": 4}
+        assert json.loads(get(port, "/api/corpus")[1]) == {"corpus": {"base_url": "https://w/", "graph_filename": "trees", "vertex_count": 4, "edge_count": 4}}
         assert json.loads(get(port, "/api/page?page=Oak")[1]) == {"page": {"id": 1, "title": "Oak"}}
         assert get(port, "/api/page?page=Nobody") == (404, b'{"error": {"message": "Page not found."}}')
         status, body = get(port, "/api/shortest-path?start=Pine&finish=%231")

@@ -106,6 +106,9 @@ def test_saving(spark, ex1, tmp_path):
     ex1.save(str(tmp_path / "g"))
     again = LinkGraph.open(spark, str(tmp_path / "g"))
     assert sorted(again.edges.collect()) == sorted(ex1.edges.collect())
+    near = again.adjacency()
+    assert near.sorted and sorted(near.backward.collect()) == sorted((r.dst, r.src) for r in ex1.edges.collect())
+    assert shortest_path(near, 5, 2)[0] == shortest_path(near, 5, 2, 0)[0] == [5, 6, 3, 2]
     with pytest.raises(Exception, match="(?i)exists"):
         ex1.save(str(tmp_path / "g"))
 
@@ -128,7 +131,7 @@ def test_pages_of_paths(ex2):
     dag = AnnotatedDag(ex2, shortest_path_dag(ex2.adjacency(), 2, 15)[0])
     every = [r.path for r in dag.paths().orderBy("rank").collect()]
     assert every == all_paths(EX2, 2, 15) and len(every) == dag.count_paths() == 7
-    for skip, most in ((2, 2), (5, 9), (7, 1), (-1, 1), (0, 0)):
+    for skip, most in ((2, 2), (5, 9), (7, 1), (-1, 1), (0, 0), (0, -1), (3, 1), (6, 5)):
         got = dag.paths(skip, most).orderBy("rank").collect()
         assert [r.path for r in got] == every[max(0, skip) : max(0, skip) + max(0, most)]
         assert [r["rank"] for r in got] == list(range(max(0, skip), max(0, skip) + len(got)))
@@ -161,7 +164,7 @@ def test_dot_and_lines(ex3):
 
 def test_random_graphs(spark):
     rng = random.Random(5)
-    for _ in range(1):
+    for _ in range(2):
         n = 12
         edges = {(rng.randint(1, n), rng.randint(1, n)) for _ in range(26)}
         out: dict = {}
