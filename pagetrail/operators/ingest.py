@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -51,10 +53,23 @@ def extract_links(text: str | None) -> list[tuple[int, str, str | None, str | No
 _LINK = pa.struct([("place", pa.int32()), ("target", pa.string()), ("anchor", pa.string()), ("title", pa.string())])
 
 
+#: Bytes of text that are taken out of a batch at once; a longer text is taken alone.
+PORTION = 1 << 24
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [[dict(zip(("place", "target", "anchor", "title"), link)) for link in extract_links(t)] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_LINK))], names=[*batch.schema.names, "links"])
+    for whole in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < whole.num_rows or not whole.num_rows:
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + PORTION, "right")))
+            batch = whole.slice(start, end - start)
+            found = [[dict(zip(("place", "target", "anchor", "title"), link)) for link in extract_links(t)] for t in batch.column("text").to_pylist()]
+            batch = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_LINK))], names=[*batch.schema.names, "links"])
+            start = end
+            if not whole.num_rows:
+                break
 
 
 def with_links(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -62,7 +77,7 @@ def with_links(pages: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in pages.columns if c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*others).schema.fields)
     shape = "links array<struct<place: int, target: string, anchor: string, title: string>>"
-    return pages.select(*others, F.col(text).alias("text")).mapInArrow(_links, f"{fields}, text string, {shape}").drop("text")
+    return pages.select(*others, F.col(text).alias("text")).mapInArrow(_links, f"{fields}, {shape}")
 
 
 def inclusion(title: Column, ns: Column, redirect: Column) -> Column:
@@ -92,8 +107,8 @@ class Ingest:
         flat = records.select(*order, *([page_id] if page_id else []), "title", left_out.alias("left_out"), W.page_text(F.col("revision")).alias("text"))
         self.flat = flat
         included = flat.filter("left_out IS NULL")
-        lead = Window.partitionBy("title").orderBy(*order)
-        first = included.select(*order, *([page_id] if page_id else []), "title").withColumn("n", F.row_number().over(lead)).filter("n = 1").drop("n")
+        lead = F.min(F.struct(*order, *([page_id] if page_id and page_id not in order else []))).alias("lead")
+        first = included.groupBy("title").agg(lead).select("lead.*", "title")
         numbered = first.withColumn("page_id", F.col(page_id)) if page_id else self._number(first, order)
         self.numbered = self.scratch.write(numbered.select(*order, "page_id", "title"), "pages")
         self.pages = self.numbered.select("page_id", "title")
@@ -102,8 +117,9 @@ class Ingest:
     @cached_property
     def raw_links(self) -> DataFrame:
         """(page_id, title, links) of every indexed page, all closed links in order."""
-        keyed = self._included.join(self.numbered.select(*self._order, "page_id"), self._order).select("page_id", "title", "text")
-        return self.scratch.write(with_links(keyed), "raw")
+        found = with_links(self._included.select(*self._order, "text"))  # texts stay where they are; their links move
+        keyed = found.join(self.numbered, self._order).select("page_id", "title", "links")
+        return self.scratch.write(keyed, "raw")
 
     @cached_property
     def links(self) -> DataFrame:

@@ -334,14 +334,46 @@ def shortest_path_dag(
     return PathDag(dag, start, finish, length), SearchStats(reached, expanded, crossed, ms())
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+def _local_distances(look: _Lookup, starts: list[int], max_depth: int | None) -> list[tuple[int, int, int]]:
+    near: dict[int, list[int]] = {}
+    rows = [(s, s, 0) for s in starts]
+    seen = {(s, s) for s in starts}
+    fringe, depth = sorted(seen), 0
+    while fringe and (max_depth is None or depth < max_depth):
+        depth += 1
+        asked = sorted({v for _, v in fringe} - near.keys())
+        if asked:
+            near |= look(True, asked)
+        new = sorted({(s, w) for s, v in fringe for w in near[v]} - seen)
+        look.left -= len(new)
+        if look.left < 0:
+            raise _TooLarge
+        seen.update(new)
+        rows += [(s, w, depth) for s, w in new]
+        fringe = new
+    return rows
+
+
+def distances(edges: DataFrame | Adjacency, starts: DataFrame, max_depth: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(start, page_id, distance) of everything that each start reaches, or within ``max_depth`` edges of it.
 
     ``starts``: a column ``start``. All searches advance together, one join a layer, until no search finds a new page. Layers are
-    gathered into one table every ``GATHER`` layers, so a deep search doesn't read ever more tables.
+    gathered into one table every ``GATHER`` layers, so a deep search doesn't read ever more tables. As with a path, the
+    driver keeps the search as long as it fetches and finds at most ``local_rows`` rows.
     """
-    scratch = Scratch(edges.sparkSession)
-    near = scratch.write(edges.select("src", "dst").repartitionByRange("src").sortWithinPartitions("src"), "edges")
+    sides = adjacency(edges)
+    spark = starts.sparkSession
+    if local_rows:
+        first = starts.select(F.col("start").cast("bigint").alias("start")).dropna().distinct().limit(local_rows + 1).collect()
+        try:
+            rows = _local_distances(_Lookup(sides, local_rows - len(first)), sorted(r.start for r in first), max_depth)
+            return spark.createDataFrame(rows, "start bigint, page_id bigint, distance int")
+        except _TooLarge:
+            pass
+    scratch = Scratch(spark)
+    near = sides.forward if sides.sorted else scratch.write(ranged(sides.forward), "edges")
+    near = near.select(F.col("v").alias("src"), F.col("w").alias("dst"))
+    starts = starts.dropna(subset=["start"])
     fringe = starts.select(F.col("start").cast("bigint").alias("start"), F.col("start").cast("bigint").alias("page_id")).distinct()
     fringe, rows = scratch.write_counted(fringe.withColumn("distance", F.lit(0)), "d0")
     seen, depth = fringe, 0

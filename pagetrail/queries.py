@@ -12,9 +12,9 @@ from pagetrail.operators import heavy_keys
 from pagetrail.operators.dag import AnnotatedDag, LinkOrder
 from pagetrail.operators.graph import LinkGraph
 from pagetrail.operators.ingest import Ingest, inclusion, with_links
-from pagetrail.operators.search import distances, shortest_path, shortest_path_dag
+from pagetrail.operators.search import LOCAL_ROWS, distances, shortest_path, shortest_path_dag
 
-#: The pair of pages that the search queries join, and the steps that the SQL takes; distances have no bound outside of SQL.
+#: The pair of pages that the search queries join, and the steps that the SQL of their path DAG takes.
 START, FINISH, STEPS = 88, 21, 12
 
 
@@ -26,9 +26,9 @@ def graph(spark: SparkSession, sf: str) -> LinkGraph:
     return LinkGraph(_t(spark, sf, "pages"), _t(spark, sf, "links"))
 
 
-def _dag(spark: SparkSession, sf: str) -> AnnotatedDag:
+def _dag(spark: SparkSession, sf: str, local_rows: int = LOCAL_ROWS) -> AnnotatedDag:
     g = graph(spark, sf)
-    dag, _ = shortest_path_dag(g.adjacency(), START, FINISH)
+    dag, _ = shortest_path_dag(g.adjacency(), START, FINISH, local_rows=local_rows)
     if dag is None:
         raise ValueError(f"no path from {START} to {FINISH}")
     return AnnotatedDag(g, dag)
@@ -188,6 +188,11 @@ def distance_from_page(spark, sf):
     return distances(graph(spark, sf).edges, start).select("page_id", "distance")
 
 
+def distance_from_page_joined(spark, sf):
+    start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
+    return distances(graph(spark, sf).edges, start, local_rows=0).select("page_id", "distance")
+
+
 def distance_pairs(spark, sf):
     """Distances from the index pages to the hub pages, all searches in one loop."""
     core = _t(spark, sf, "core_pages")
@@ -207,9 +212,13 @@ def classic_distance(spark, sf):
 
 
 def search_stats(spark, sf):
+    return _stats(spark, sf, LOCAL_ROWS)
+
+
+def _stats(spark, sf, local_rows):
     edges = graph(spark, sf).adjacency()
-    _, one = shortest_path(edges, START, FINISH)
-    _, all_ = shortest_path_dag(edges, START, FINISH)
+    _, one = shortest_path(edges, START, FINISH, local_rows)
+    _, all_ = shortest_path_dag(edges, START, FINISH, local_rows=local_rows)
     rows = [(n, s.vertices_reached, s.vertices_expanded, s.edges_expanded) for n, s in (("path", one), ("dag", all_))]
     return spark.createDataFrame(rows, "search string, vertices_reached bigint, vertices_expanded bigint, edges_expanded bigint")
 
@@ -227,6 +236,33 @@ def path_counts(spark, sf):
     return _dag(spark, sf).path_counts()
 
 
+def search_stats_joined(spark, sf):
+    """The counters of both searches as joins."""
+    return _stats(spark, sf, 0)
+
+
+def classic_distance_joined(spark, sf):
+    path, _ = shortest_path(graph(spark, sf).adjacency(), START, FINISH, 0)
+    return spark.createDataFrame([(len(path) - 1,)], "distance int")
+
+
+def dag_edges_joined(spark, sf):
+    """The path DAG by joins alone, as for a search that outgrows the driver."""
+    return _dag(spark, sf, 0).dag.edges.select("src", "dst", "layer")
+
+
+def count_paths_joined(spark, sf):
+    return spark.createDataFrame([(_dag(spark, sf, 0).count_paths(),)], "n_paths bigint")
+
+
+def path_counts_joined(spark, sf):
+    return _dag(spark, sf, 0).path_counts()
+
+
+def paths_by_id_joined(spark, sf):
+    return _dag(spark, sf, 0).paths(0, None, LinkOrder.ID).select("rank", F.array_join("path", ">").alias("path"))
+
+
 def paths_by_id(spark, sf):
     return _paths(spark, sf, LinkOrder.ID)
 
@@ -302,7 +338,7 @@ _QUERIES = (
     format_count, resolve_targets, dangling_targets, include_filter_counts, ingest_pages, ingest_links, ingest_counts, extract_links,
     duplicate_titles, bfs_layers, distance_from_page, distance_pairs, classic_path, classic_distance, search_stats, dag_edges, count_paths,
     path_counts, paths_by_id, paths_by_title, paths_by_text, paths_page, first_path, path_steps, random_path, random_page, dag_page_links,
-    dag_edge_lines, dag_dot, p3_found, p3_degrees, p3_neighbours,
+    dag_edge_lines, dag_dot, distance_from_page_joined, search_stats_joined, classic_distance_joined, dag_edges_joined, count_paths_joined, path_counts_joined, paths_by_id_joined, p3_found, p3_degrees, p3_neighbours,
 )
 
 
@@ -329,6 +365,9 @@ _SHOWN = "CASE WHEN text <> dst_title THEN '; displayed as: ' || text ELSE '' EN
 _FORWARD, _BACKWARD = f"'#' || dst || ' (' || dst_title || {_SHOWN}", f"'#' || src || ' (' || src_title || {_SHOWN}"
 _BFS = f"""d AS (SELECT {START}::BIGINT AS page_id, 0 AS distance UNION SELECT e.dst, d.distance + 1 FROM d JOIN e ON e.src = d.page_id WHERE d.distance < {{steps}}),
 m AS (SELECT page_id, min(distance) AS distance FROM d GROUP BY page_id)"""
+#: Without a bound on the steps: a page that has been reached stays as it is.
+_FAR = f"""d(page_id, distance) USING KEY (page_id) AS (SELECT {START}::BIGINT, 0
+  UNION SELECT DISTINCT e.dst, d.distance + 1 FROM d JOIN e ON e.src = d.page_id LEFT JOIN recurring.d AS r ON r.page_id = e.dst WHERE r.page_id IS NULL)"""
 _DAG = f"""{_BFS.format(steps=STEPS)},
 b AS (SELECT {FINISH}::BIGINT AS page_id, 0 AS distance UNION SELECT e.src, b.distance + 1 FROM b JOIN e ON e.dst = b.page_id WHERE b.distance < {STEPS}),
 f AS (SELECT page_id, min(distance) AS distance FROM b GROUP BY page_id),
@@ -336,6 +375,13 @@ g AS (SELECT e.src, e.dst, m.distance AS layer FROM e JOIN m ON m.page_id = e.sr
 _COUNT = f"""c AS (SELECT {FINISH}::BIGINT AS v, {FINISH}::BIGINT AS w UNION ALL SELECT g.src, c.w FROM c JOIN g ON g.dst = c.v)"""
 
 
+def _kept(encoded: str) -> str:
+    """Takes back the escapes of the characters that an address may hold as they are."""
+    for ch in ";,/?:@&=+$!*'()#":
+        encoded = f"replace({encoded}, '%{ord(ch):02X}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return encoded
+
+
 def _walk(key: str) -> str:
     return f"""o AS (SELECT g.src, g.dst, row_number() OVER (PARTITION BY g.src ORDER BY {key}) AS k FROM g JOIN a USING (src, dst)),
 w AS (SELECT {START}::BIGINT AS v, '{START}' AS path, CAST([] AS BIGINT[]) AS ks UNION ALL SELECT o.dst, w.path || '>' || o.dst, list_append(w.ks, o.k) FROM w JOIN o ON o.src = w.v),
@@ -351,6 +397,25 @@ _OUTCOME = """CASE WHEN coalesce(title, '') = '' THEN 'title' WHEN coalesce(redi
   WHEN coalesce(ns, '') <> '' AND CAST(trim(ns) AS BIGINT) <> 0 THEN 'namespace' ELSE 'included' END"""
 
 
+# The marks of a text one after the other, with a stack of the open ones; a link reaches from an open mark to the closing one.
+_EXTRACTED = r"""m AS (SELECT raw_id, string_split_regex(t, '\[\[|\]\]') AS p, regexp_extract_all(t, '\[\[|\]\]') AS k
+  FROM (SELECT raw_id, coalesce(array_to_string([y.text FOR y IN revision], ''), '') AS t FROM raw_pages) WHERE contains(t, '[[')),
+s AS (SELECT raw_id, 0 AS n, CAST([] AS BIGINT[]) AS opened, NULL::BIGINT AS a FROM m
+  UNION ALL SELECT s.raw_id, s.n + 1, CASE WHEN m.k[s.n + 1] = '[[' THEN list_append(s.opened, s.n + 1) ELSE s.opened[:-2] END,
+    CASE WHEN m.k[s.n + 1] = ']]' THEN s.opened[-1] END FROM s JOIN m USING (raw_id) WHERE s.n < len(m.k)),
+c AS (SELECT raw_id, row_number() OVER (PARTITION BY raw_id ORDER BY s.n) - 1 AS place,
+  regexp_replace(array_to_string([m.p[j] || CASE WHEN j < s.n THEN m.k[j] ELSE '' END FOR j IN range(s.a + 1, s.n + 1)], ''), '^:', '') AS body
+  FROM s JOIN m USING (raw_id) WHERE a IS NOT NULL),
+h AS (SELECT raw_id, place, CASE WHEN strpos(body, '|') > 0 THEN substr(body, 1, strpos(body, '|') - 1) ELSE body END AS head,
+  CASE WHEN strpos(body, '|') > 0 THEN substr(body, strpos(body, '|') + 1) END AS title FROM c),
+g AS (SELECT raw_id, place, title, CASE WHEN strpos(head, '#') > 0 THEN substr(head, 1, strpos(head, '#') - 1) ELSE head END AS target,
+  CASE WHEN strpos(head, '#') > 0 THEN substr(head, strpos(head, '#') + 1) END AS anchor FROM h),
+x AS (SELECT raw_id, place, CASE WHEN regexp_matches(target, '^[a-z]') THEN upper(target[1]) || target[2:] ELSE target END AS target, anchor, title FROM g)"""
+_INDEXED = f"""i AS (SELECT row_number() OVER (ORDER BY raw_id) AS page_id, title, raw_id FROM (SELECT title, min(raw_id) AS raw_id FROM raw_pages WHERE {_OUTCOME} = 'included' GROUP BY title)),
+w AS (SELECT i.page_id, x.target, arg_min({{'t': x.title}}, x.place).t AS title FROM x JOIN i USING (raw_id) WHERE x.target <> '' AND x.target <> i.title GROUP BY ALL),
+v AS (SELECT w.page_id AS from_page_id, i.page_id AS to_page_id, w.title FROM w JOIN i ON i.title = w.target)"""
+
+
 def oracle_sql() -> dict[str, str]:
     both = "(SELECT 'from' AS side, from_page_id AS page_id, to_page_id AS n FROM links UNION ALL SELECT 'to', to_page_id, from_page_id FROM links)"
     sql = {
@@ -373,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "pipe_trick": f"SELECT page_id, {_pipe('title')} AS shown FROM pages",
         "first_upper": "SELECT page_id, CASE WHEN regexp_matches(t, '^[a-z]') THEN upper(t[1]) || t[2:] ELSE t END AS title FROM (SELECT page_id, lower(title[1]) || title[2:] AS t FROM pages)",
         "ns_parse": r"SELECT raw_id, CASE WHEN coalesce(ns, '') = '' THEN 0 WHEN regexp_full_match(ns, '[ \t\n\x0B\f\r]*[+-]?[0-9]+') THEN TRY_CAST(trim(ns) AS BIGINT) END AS ns_number FROM raw_pages",
-        "wiki_url": "SELECT page_id, 'https://wiki.example/' || replace(title, ' ', '%20') AS url FROM pages WHERE regexp_full_match(title, '[A-Za-z0-9 ()]*')",
+        "wiki_url": f"SELECT page_id, 'https://wiki.example/' || {_kept('url_encode(title)')} AS url FROM pages",
         "dot_quote": """SELECT page_id, '"' || replace('"' || title, '"', '\\"') || '"' AS quoted FROM pages""",
         "format_count": "SELECT page_id, format('{:,}', page_id * 1000) AS shown FROM pages",
         "resolve_targets": "SELECT link_id, page_id FROM parsed_links JOIN pages ON target = pages.title WHERE target <> ''",
@@ -381,11 +446,11 @@ def oracle_sql() -> dict[str, str]:
         "include_filter_counts": f"SELECT {_OUTCOME} AS outcome, count(*) AS n FROM raw_pages GROUP BY 1",
         "ingest_pages": f"SELECT row_number() OVER (ORDER BY raw_id) AS page_id, title FROM (SELECT title, min(raw_id) AS raw_id FROM raw_pages WHERE {_OUTCOME} = 'included' GROUP BY title)",
         "duplicate_titles": "SELECT title, count(*) AS n, min(raw_id) AS first_raw_id FROM raw_pages WHERE title <> '' GROUP BY title HAVING count(*) > 1",
-        "bfs_layers": f"WITH RECURSIVE {_LINKS}, {_BFS.format(steps=STEPS)} SELECT distance, count(*) AS n FROM m GROUP BY 1",
-        "distance_from_page": f"WITH RECURSIVE {_LINKS}, {_BFS.format(steps=STEPS)} SELECT page_id, distance FROM m",
-        "distance_pairs": f"""WITH RECURSIVE {_LINKS}, d AS (SELECT page_id AS start, page_id, 0 AS distance FROM core_pages WHERE role = 'index'
-          UNION SELECT d.start, e.dst, d.distance + 1 FROM d JOIN e ON e.src = d.page_id WHERE d.distance < {STEPS})
-          SELECT start, page_id, min(distance) AS distance FROM d WHERE page_id IN (SELECT page_id FROM core_pages WHERE role = 'hub') GROUP BY 1, 2""",
+        "bfs_layers": f"WITH RECURSIVE {_LINKS}, {_FAR} SELECT distance, count(*) AS n FROM d GROUP BY 1",
+        "distance_from_page": f"WITH RECURSIVE {_LINKS}, {_FAR} SELECT page_id, distance FROM d",
+        "distance_pairs": f"""WITH RECURSIVE {_LINKS}, d(start, page_id, distance) USING KEY (start, page_id) AS (SELECT page_id, page_id, 0 FROM core_pages WHERE role = 'index'
+          UNION SELECT DISTINCT d.start, e.dst, d.distance + 1 FROM d JOIN e ON e.src = d.page_id LEFT JOIN recurring.d AS r ON r.start = d.start AND r.page_id = e.dst WHERE r.page_id IS NULL)
+          SELECT start, page_id, distance FROM d WHERE page_id IN (SELECT page_id FROM core_pages WHERE role = 'hub')""",
         "classic_distance": f"WITH RECURSIVE {_LINKS}, {_BFS.format(steps=STEPS)} SELECT distance FROM m WHERE page_id = {FINISH}",
         "dag_edges": f"WITH RECURSIVE {_LINKS}, {_DAG} SELECT src, dst, layer FROM g",
         "count_paths": f"WITH RECURSIVE {_LINKS}, {_DAG}, {_COUNT} SELECT count(*) AS n_paths FROM c WHERE v = {START}",
@@ -401,6 +466,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_degrees": f"SELECT side, page_id, count(*) AS n_rows, count(DISTINCT n) AS n_neighbours FROM {both} WHERE page_id IS NOT NULL GROUP BY ALL",
         "p3_neighbours": f"SELECT side, page_id, row_number() OVER (PARTITION BY side, page_id ORDER BY n) - 1 AS place, n AS neighbour_id FROM (SELECT DISTINCT * FROM {both} WHERE page_id IS NOT NULL AND n IS NOT NULL)",
     }
+    sql |= {f"{name}_joined": sql[name] for name in ("distance_from_page", "classic_distance", "dag_edges", "count_paths", "path_counts", "paths_by_id")}
+    sql["extract_links"] = f"WITH RECURSIVE {_EXTRACTED} SELECT raw_id, place::INT AS place, target, anchor, title FROM x"
+    sql["ingest_links"] = f"WITH RECURSIVE {_EXTRACTED}, {_INDEXED} SELECT from_page_id, to_page_id, title FROM v"
+    sql["ingest_counts"] = f"""WITH RECURSIVE {_EXTRACTED}, {_INDEXED} SELECT (SELECT count(*) FROM i) AS included_pages,
+      (SELECT count(*) FROM raw_pages WHERE {_OUTCOME} IN ('title', 'redirect', 'namespace')) AS excluded_pages,
+      (SELECT count(*) FROM i JOIN x USING (raw_id)) AS total_links, (SELECT count(*) FROM v) AS unique_valid_links"""
     quoted = """'"' || replace({}, '"', '\\"') || '"'"""
     sql["dag_dot"] = f"""WITH RECURSIVE {_LINKS}, {_NAMED}, {_DAG}, x AS (SELECT a.* FROM g JOIN a USING (src, dst))
       SELECT DISTINCT v || ' [label=' || {quoted.format('t')} || '];' AS line FROM (SELECT src AS v, src_title AS t FROM x UNION SELECT dst, dst_title FROM x)

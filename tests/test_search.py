@@ -174,7 +174,10 @@ def test_random_graphs(spark):
         g = make(spark, [(v, w, None) for v, w in edges], [f"p{i}" for i in range(1, n + 1)])
         near = g.adjacency()
         got = distances(g.edges, spark.createDataFrame([(1,), (2,)], "start bigint")).collect()
-        assert {(r.start, r.page_id): r.distance for r in got} == {(s, v): d for s in (1, 2) for v, d in model_distances(out, s).items()}
+        want = {(s, v): d for s in (1, 2) for v, d in model_distances(out, s).items()}
+        assert {(r.start, r.page_id): r.distance for r in got} == want
+        got = distances(g.edges, spark.createDataFrame([(1,), (2,), (None,)], "start bigint"), local_rows=0).collect()
+        assert {(r.start, r.page_id): r.distance for r in got} == want
         for s, f in ((1, 5), (2, 9)):
             paths = all_paths(out, s, f)
             a, b = shortest_path(near, s, f, 0), shortest_path(near, s, f)
