@@ -2,14 +2,14 @@
 
 Tokens (what stands between spaces of any kind) are looked up in a trie of the vocabulary, the tokens of a
 reference column. The walk is a weighted edit automaton: replacing a letter by one of equal shape, and
-inserting or deleting a character nobody sees, cost nothing; every other edit costs more than the budget, which
-is nothing. All vocabulary tokens reached at no cost look like the token; the plainest of them, then the most
+inserting or deleting a character nobody sees, cost nothing; a nearly equal letter (dotless i, a curly apostrophe) costs ``NEAR_COST``, any
+other edit 1. The budget is 0 unless given. All vocabulary tokens reached within it look like the token; the plainest of them, then the most
 frequent, then the first by code point, is the canonical spelling of all. A token that reaches none is
 normalized by the same table. Both tries and tokens are taken after compatibility decomposition of
 width forms and ligatures and canonical decomposition of accents, so how an accent is encoded makes no difference.
 
-Only distinct tokens travel. They meet the vocabulary by the first shapes of their spelling: look-alikes
-always have them in common, so every trie is small, lives for one group of rows, and grows with no key.
+Only distinct tokens travel. They meet the vocabulary by the first shapes of their spelling, the last one and their number: look-alikes
+always have them in common, so every trie is small and lives for one group of rows, and many tokens with one beginning are spread.
 
 Nulls stay null and empty texts empty. A text's number of spaces is kept, their kind becomes U+0020.
 Case, accents, digits against letters, superscripts and underscores stay as they are.
@@ -25,17 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letter of equal shape.
-CYRILLIC = "АВЕІЈКМНОРЅСТУХаеіјорѕсухԁһԛԝ"
-CYRILLIC_AS = "ABEIJKMHOPSCTYXaeijopscyxdhqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
-GREEK_AS = "ABEZHIKMNOPTYXvo"
-ARMENIAN = "ՕՍՏօսցոհ"
-ARMENIAN_AS = "OUSouqnh"
-OTHER = "‐‑ϲϹϳ"
-OTHER_AS = "--cCj"
-SHAPE = dict(zip(CYRILLIC + GREEK + ARMENIAN + OTHER, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + OTHER_AS))
-
-#: So many leading shapes say which tokens can meet.
+CYRILLIC = "АВЕІЈКМНОРЅСТУХаеіјорѕсухԁһԛԝҮүѴѵԌԚԜӀӏӔӕӘәҪҫ"
+CYRILLIC_AS = "ABEIJKMHOPSCTYXaeijopscyxdhqwYyVvGQWIlÆæƏəÇç"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοαρυ"
+GREEK_AS = "ABEZHIKMNOPTYXvoapu"
+ARMENIAN = "ՕՍՏօսցոհզյ"
+ARMENIAN_AS = "OUSougnhqj"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ"
+CHEROKEE_AS = "ABCDEGHJKLMPRSTVWZ"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPDTGKJCZFMNLSRVHWXYAEIOU"
+OTHER = "‐‑ϲϹϳϺɡɑ"
+OTHER_AS = "--cCjMga"
+# What a reader can tell apart but may take for the other; a budget below 1 lets some of them pass.
+NEAR = "ιıκ’‘ʼ−–γϒ"
+NEAR_AS = "iik'''--yY"
+SHAPE = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + LISU + OTHER, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + LISU_AS + OTHER_AS))
+COARSE = dict(zip(NEAR, NEAR_AS))
+#: What replacing a letter by one that is nearly equal costs; any other edit that shows costs 1.
+NEAR_COST = 0.25
+
+#: So many leading shapes, the last one and their number say which tokens can meet.
 ROUTE = 6
 
 
@@ -52,10 +62,12 @@ def _unseen(ch: str) -> bool:
 
 
 def _spread(ch: str) -> str:
-    """Width forms and Latin ligatures to what they stand for; anything else stays."""
+    """Width forms, Latin ligatures, Roman numerals and other typefaces to what they stand for; anything else stays, superscripts too."""
     o = ord(ch)
-    if 0xFF01 <= o <= 0xFFEE or 0xFB00 <= o <= 0xFB06 or o == 0x3000:
+    if 0xFF01 <= o <= 0xFFEE or 0xFB00 <= o <= 0xFB06 or o == 0x3000 or 0x2160 <= o <= 0x217F or o in (0x132, 0x133):
         return unicodedata.normalize("NFKC", ch)
+    if 0x2100 <= o <= 0x214F or 0x1D400 <= o <= 0x1D7FF:  # letters and digits in another typeface
+        return unicodedata.normalize("NFKC", ch) if unicodedata.decomposition(ch).startswith("<font>") else ch
     return ch
 
 
@@ -107,33 +119,42 @@ class Trie:
             node = node.setdefault(ch, {})
         node.setdefault("", {})[token] = node.get("", {}).get(token, 0) + count
 
-    def look_alikes(self, token: str) -> dict[str, int]:
-        """Every vocabulary token at cost zero, with its count."""
-        states: list[dict] = self._closure([self.root])
+    def look_alikes(self, token: str, budget: float = 0.0) -> dict[str, int]:
+        """Every vocabulary token within the budget, with its count."""
+        states = self._closure({id(self.root): (0.0, self.root)})
         for ch in units(token):
             if unseen(ch):
                 continue  # deleting it costs nothing
             want = SHAPE.get(ch, ch)
-            step = [child for node in states for c, child in node.items() if c and SHAPE.get(c, c) == want and not unseen(c)]
+            rough = COARSE.get(want, want)
+            step: dict[int, tuple[float, dict]] = {}
+            for cost, node in states.values():
+                for c, child in node.items():
+                    if not c or unseen(c):
+                        continue
+                    shape = SHAPE.get(c, c)
+                    total = cost if shape == want else cost + NEAR_COST if budget and COARSE.get(shape, shape) == rough else 2 + budget
+                    if total <= budget and (id(child) not in step or total < step[id(child)][0]):
+                        step[id(child)] = total, child
             if not step:
                 return {}
             states = self._closure(step)
         found: dict[str, int] = {}
-        for node in states:
+        for _, node in states.values():
             found.update(node.get("", {}))
         return found
 
     @staticmethod
-    def _closure(states: list[dict]) -> list[dict]:
+    def _closure(states: dict[int, tuple[float, dict]]) -> dict[int, tuple[float, dict]]:
         """The states and those behind unseen characters, whose insertion costs nothing."""
-        out, todo = list(states), list(states)
+        todo = list(states.values())
         while todo:
-            node = todo.pop()
+            cost, node = todo.pop()
             for ch, child in node.items():
-                if ch and not ch.isascii() and unseen(ch):
-                    out.append(child)
-                    todo.append(child)
-        return out
+                if ch and not ch.isascii() and unseen(ch) and (id(child) not in states or cost < states[id(child)][0]):
+                    states[id(child)] = cost, child
+                    todo.append((cost, child))
+        return states
 
 
 def canonical(found: dict[str, int]) -> str:
@@ -147,13 +168,19 @@ def canonical(found: dict[str, int]) -> str:
     return min(found.items(), key=key)[0]
 
 
+def _route(token: str) -> str:
+    """Equal for tokens that can reach each other within any budget below 1."""
+    shape = "".join(COARSE.get(c, c) for c in shapes(token))
+    return f"{shape[:ROUTE]}{shape[-1:]}{len(shape)}"
+
+
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        route = pa.array([shapes(t)[:ROUTE] for t in batch.column("token").to_pylist()], pa.string())
+        route = pa.array([_route(t) for t in batch.column("token").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([route, *batch.columns], names=["route", *batch.schema.names])
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], budget: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (route, kind): a route's vocabulary (kind 0) comes before its tokens (kind 1)."""
     trie, at = Trie(), None
     for batch in batches:
@@ -164,7 +191,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 trie.add(token, n)
                 continue
-            found = trie.look_alikes(token)
+            found = trie.look_alikes(token, budget)
             tokens.append(token)
             forms.append(canonical(found) if found else by_table(token))
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(forms, pa.string())], names=["token", "form"])
@@ -174,10 +201,11 @@ def _tokens(text: Column) -> Column:
     return F.split(text, r"\p{Zs}", -1)
 
 
-def canonical_forms(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def canonical_forms(texts: DataFrame, vocabulary: DataFrame, budget: float = 0.0) -> DataFrame:
     """(text, form): every distinct non-null text of ``texts.text`` in its canonical form.
 
-    ``vocabulary.text`` gives the spellings to choose from. Other columns of both are ignored.
+    ``budget`` (below 1): how much a token may cost; 0 takes only what a reader can't tell apart, each ``NEAR_COST`` more lets one
+    nearly equal letter pass. ``vocabulary.text`` gives the spellings to choose from. Other columns of both are ignored.
     """
     distinct = texts.select("text").dropna().distinct()
     pieces = distinct.select("text", F.posexplode(_tokens(F.col("text"))).alias("at", "token"))
@@ -185,7 +213,7 @@ def canonical_forms(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     given = vocabulary.select(F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     both = asked.unionByName(given.select(F.lit(0).alias("kind"), "token", "n")).filter("token <> ''")
     routed = both.mapInArrow(_routes, "route string, kind int, token string, n bigint")
-    forms = routed.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(_walk, "token string, form string")
+    forms = routed.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(lambda it: _walk(it, budget), "token string, form string")
     spelt = pieces.join(forms, "token", "left").select("text", F.struct("at", F.coalesce("form", "token").alias("form")).alias("p"))
     whole = spelt.groupBy("text").agg(F.sort_array(F.collect_list("p")).alias("p"))  # as many pieces as the text has
     return whole.select("text", F.array_join(F.col("p.form"), " ").alias("form"))

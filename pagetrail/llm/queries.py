@@ -52,6 +52,11 @@ def p4_surprise(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(together.TogetherCounts(_t(spark, sf, "links"), max_basket=None).surprising(min_count=1), "lift", "expected", "log10_p", "q_value")
 
 
+def p4_significant(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of all baskets whose count is too high for chance at a false-discovery rate of 0.05."""
+    return p4_surprise(spark, sf).filter("q_value <= 0.05")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups.linked_groups(_t(spark, sf, "raw_pages"))
 
@@ -115,7 +120,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     mine = (
-        p1_found, p1_groups, p2_found, p2_clean_text, p4_found, p4_counts, p4_surprise, p5_found, p5_groups,
+        p1_found, p1_groups, p2_found, p2_clean_text, p4_found, p4_counts, p4_surprise, p4_significant, p5_found, p5_groups,
         p6_found, p6_canonical_titles, p6_canonical_targets, p7_containers, p7_report, p7_rules, p8_mixture, p8_report, p8_rules, p9_found, p9_redacted,
     )
     return {f.__name__: f for f in mine}
@@ -123,7 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TOGETHER = """
 WITH d AS (SELECT DISTINCT from_page_id f, to_page_id t FROM links WHERE from_page_id <> to_page_id),
-k AS (SELECT f FROM d GROUP BY f HAVING count(*) <= 200),
+k AS (SELECT f FROM d GROUP BY f HAVING count(*) <= {most}),
 e AS (SELECT d.f, d.t FROM d JOIN k USING (f)),
 n AS (SELECT t, count(*) n FROM e GROUP BY t),
 c AS (SELECT a.t a, b.t b, count(*) c FROM e a JOIN e b ON a.f = b.f AND a.t < b.t GROUP BY 1, 2)
@@ -182,8 +187,8 @@ def oracle_sql() -> dict[str, str]:
         "p7_rules": """SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '') AS texts,
           0 AS wrongly_split, 0 AS gaps, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss FROM pack_sizes""",
         "p8_rules": "SELECT lower(trim(source)) AS source, round(target_share, 6) AS target_share, true AS share_met, true AS repeats_met FROM mix_targets",
-        "p4_found": _TOGETHER.format(more="", test="c.c >= 6 AND c.c * (SELECT count(*) FROM k) >= 5 * x.n * y.n"),
-        "p4_counts": _TOGETHER.format(more=", c.c AS n_together, x.n AS n_a, y.n AS n_b", test="c.c >= 2"),
+        "p4_found": _TOGETHER.format(most=200, more="", test="c.c >= 6 AND c.c * (SELECT count(*) FROM k) >= 5 * x.n * y.n"),
+        "p4_counts": _TOGETHER.format(most="1e18", more=", c.c AS n_together, x.n AS n_a, y.n AS n_b", test="true"),
         "p5_found": _GROUPS + "SELECT raw_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) > 1)",
         "p5_groups": _GROUPS + "SELECT r.raw_id, coalesce(g.group_id, r.raw_id) AS group_id FROM raw_pages r LEFT JOIN g USING (raw_id)",
     }

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from pagetrail.plans.scratch import Scratch, partitions
 
-#: Item frequencies beyond so many different ones are fitted in geometric classes.
-CLASSES = 1 << 13
+#: Numbers of the probability table that are held at once.
+CELLS = 1 << 22
 BIN = 64
 #: Items of a block, in the mean. A tile's counts are an array of the square of it.
 BLOCK = 1024
@@ -185,29 +185,28 @@ class Null:
     def __init__(self, frequency: dict[int, int], size: dict[int, int]):
         d = np.array(sorted(frequency), float)
         m = np.array([frequency[int(k)] for k in d], float)
-        if len(d) > CLASSES:
-            group = np.floor(np.log(d / d[0]) / np.log(d[-1] / d[0] + 1e-9) * CLASSES).astype(int)
-            _, group = np.unique(group, return_inverse=True)
-            weight = np.bincount(group, m)
-            d, m = np.bincount(group, m * d) / weight, weight
         self.degree = d
         self.sizes = np.array(sorted(size), float)
         self.baskets = np.array([size[int(k)] for k in self.sizes], float)
         total = max((m * d).sum(), 1.0)
         x, y = d / math.sqrt(total), self.sizes / math.sqrt(total)
+        step = max(1, CELLS // max(1, len(y)))
         for _ in range(2000):
-            old = x
-            x = d / np.maximum((self.baskets * y / (1 + x[:, None] * y)).sum(axis=1), 1e-300)
-            y = self.sizes / np.maximum((m[:, None] * x[:, None] / (1 + x[:, None] * y)).sum(axis=0), 1e-300)
+            old, x = x, np.empty_like(x)
+            mass = np.zeros_like(y)
+            for at in range(0, len(x), step):  # rows of the table one portion after the other, never the whole
+                part = slice(at, at + step)
+                x[part] = d[part] / np.maximum((self.baskets * y / (1 + old[part, None] * y)).sum(axis=1), 1e-300)
+                mass += ((m[part] * x[part])[:, None] / (1 + x[part, None] * y)).sum(axis=0)
+            y = self.sizes / np.maximum(mass, 1e-300)
             if np.max(np.abs(x - old) / np.maximum(x, 1e-300), initial=0) < 1e-10:
                 break
-        self.p = x[:, None] * y / (1 + x[:, None] * y)
+        self.x, self.y = x, y
 
     def rows(self, n: np.ndarray) -> np.ndarray:
         """The probabilities of items with frequencies n, by basket class."""
-        at = np.clip(np.searchsorted(self.degree, n), 0, len(self.degree) - 1)
-        low = np.maximum(at - 1, 0)
-        return self.p[np.where(np.abs(self.degree[low] - n) < np.abs(self.degree[at] - n), low, at)]
+        xy = self.x[np.searchsorted(self.degree, n)][:, None] * self.y
+        return xy / (1 + xy)
 
     def surprise(self, na: np.ndarray, nb: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected count, log10 of the probability of c or more) for each pair."""
@@ -268,8 +267,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.R
         kinds, back = np.unique(np.stack([lo, hi, c], axis=1), axis=0, return_inverse=True)
         back = back.reshape(-1)
         expected, log = (np.empty(len(kinds)) for _ in range(2))
-        for at in range(0, len(kinds), 20_000):
-            expected[at : at + 20_000], log[at : at + 20_000] = model.value.surprise(*kinds[at : at + 20_000].T)
+        step = max(1, min(20_000, CELLS // max(1, len(model.value.y))))
+        for at in range(0, len(kinds), step):
+            expected[at : at + step], log[at : at + step] = model.value.surprise(*kinds[at : at + step].T)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected[back]), pa.array(log[back])], names=[*batch.schema.names, "expected", "log10_p"])
 
 
@@ -315,6 +315,7 @@ class TogetherCounts:
         Pairs that are not counted (fewer than ``min_count``, or less than ``min_lift``) take part in the number of
         tests and in no rank, so q values are never too small.
         """
+        # different frequencies: at most the root of twice the memberships
         frequency = {r.n: r.m for r in self.items.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
         model = self.spark.sparkContext.broadcast(Null(frequency, self.sizes)) if frequency else None
         fields = "a bigint, b bigint, na bigint, nb bigint, c bigint, expected double, log10_p double"

@@ -167,7 +167,7 @@ def test_together_counts(spark):
 
 def test_null_fit_and_tails():
     null = T.Null({2: 30, 5: 10, 20: 2}, {3: 20, 8: 10, 10: 1})
-    degree = (null.p * null.baskets).sum(axis=1)
+    degree = (null.rows(np.array([2, 5, 20])) * null.baskets).sum(axis=1)
     assert np.allclose(degree, [2, 5, 20], rtol=1e-6)
     rng = np.random.default_rng(1)
     q, times = rng.uniform(0.001, 0.3, (4, 5)), np.array([30, 10, 5, 20, 7.0])
@@ -180,6 +180,25 @@ def test_null_fit_and_tails():
             assert T.tail(row[None], times, np.array([float(c)]))[0] == pytest.approx(np.log10(pmf[c:].sum()), abs=0.02)
 
 
+def test_every_frequency_has_its_own_fit(monkeypatch):
+    monkeypatch.setattr(T, "CELLS", 1 << 14)
+    null = T.Null({n: 3 for n in range(1, 9000)}, {10: 4_000_000, 40: 1_000_000, 1000: 41_498})
+    assert len(null.x) == 8999
+    some = np.array([1, 17, 4500, 8999])
+    assert np.allclose((null.rows(some) * null.baskets).sum(axis=1), some, rtol=1e-4)
+
+
+def test_false_discoveries_stay_rare(spark):
+    """Of pairs called at q = 0.1 in baskets without structure, hardly any; the planted ones all."""
+    rng = random.Random(8)
+    rows = [(b, i) for b in range(600) for i in rng.sample(range(150), 6)]
+    rows += [(5000 + 40 * k + j, 1000 + 2 * k + side) for k in range(20) for j in range(8) for side in (0, 1)]
+    got = T.TogetherCounts(spark.createDataFrame(rows, "from_page_id bigint, to_page_id bigint")).surprising(min_count=1).filter("q_value <= 0.1").collect()
+    planted = {(1000 + 2 * k, 1001 + 2 * k) for k in range(20)}
+    called = {(r.a, r.b) for r in got}
+    assert planted <= called and len(called - planted) <= 4
+
+
 def test_planted_pair_is_surprising(spark):
     rng = random.Random(6)
     rows = [(b, i) for b in range(1000, 1400) for i in rng.sample(range(100), 5)] + [(b, i) for b in range(2000, 2015) for i in (500, 501, rng.randrange(100))]

@@ -81,6 +81,29 @@ def test_shapes():
     assert all(L.by_table(a) != L.by_table(b) for a, b in DIFFER)
 
 
+def test_letters_of_other_scripts():
+    same = ["ρp", "αa", "υu", "ҮY", "ӏl", "ѵv", "ԌG", "ցg", "ᎪA", "ᏚS", "𝐏P", "ⅤV", "ɡg", "ɑa", "ꓮA", "ⅣIV", "ĳij"]
+    assert all(L.by_table(x[0]) == L.by_table(x[1:]) for x in same), [x for x in same if L.by_table(x[0]) != L.by_table(x[1:])]
+    # a missing dot, a missing ascender, a curl and a raised place can be seen
+    assert all(L.by_table(x[0]) != x[1:] for x in ("ιi", "ıi", "κk", "’'", "²2", "ⁿn", "0O", "−-"))
+    for script in ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "OTHER", "NEAR"):
+        assert len(getattr(L, script)) == len(getattr(L, script + "_AS")), script
+
+
+def test_costs_and_budget(spark):
+    trie = L.Trie()
+    for w in ("it's", "it’s", "kilo", "κılo"):
+        trie.add(w, 1)
+    assert set(trie.look_alikes("it's")) == {"it's"} and set(trie.look_alikes("it‘s")) == set()
+    assert set(trie.look_alikes("it's", 0.25)) == {"it's", "it’s"}
+    assert set(trie.look_alikes("kilo", 0.25)) == {"kilo"} and set(trie.look_alikes("kilo", 0.5)) == {"kilo", "κılo"}
+    assert set(trie.look_alikes("kile", 0.9)) == set()
+    one = spark.createDataFrame([("it’s a kıIo",), ("ıt's",)], "text string")
+    given = spark.createDataFrame([("it's",), ("it's a kilo",)], "text string")
+    assert {r.text: r.form for r in L.canonical_forms(one, given, 0.5).collect()} == {"it’s a kıIo": "it's a kıIo", "ıt's": "it's"}
+    assert {r.text: r.form for r in L.canonical_forms(one, given).collect()} == {"it’s a kıIo": "it’s a kıIo", "ıt's": "ıt's"}
+
+
 def test_trie_agrees_with_the_table():
     rng = random.Random(1)
     alphabet = "aоoехеё́é​cсｃ­-‑fiﬁ1l"
