@@ -9,19 +9,12 @@ from pyspark.sql import functions as F
 
 from pagetrail.operators import dag as dag_frames
 from pagetrail.operators.dag import LinkOrder
-from pagetrail.operators.graph import Link, LinkGraph, Page
+from pagetrail.operators.graph import Link, LinkGraph, Page, quoted
 from pagetrail.operators.search import SearchStats, shortest_path, shortest_path_dag
 
 __all__ = ["AnnotatedDag", "AnnotatedLink", "AnnotatedPage", "GraphReader", "Link", "LinkOrder", "MetadataReader", "Page", "PathEnumerator", "Reader", "SearchStats"]
 
 
-def quoted(text: str | None) -> str:
-    """A string as it is written in a representation: backslash, double quote and control characters escaped."""
-    if text is None:
-        return "None"
-    return '"' + "".join("\\" + c if c in '\\"' else f"\\x{ord(c):02x}" if ord(c) < 32 else c for c in text) + '"'
-
-
 @dataclass(frozen=True)
 class AnnotatedPage:
     """A page of an annotated path DAG."""

@@ -35,11 +35,21 @@ class Residency(Enum):
     POPULATE = "populate"
 
 
+def quoted(text: str | None) -> str:
+    """A string as it is written in a representation: backslash, double quote and control characters escaped."""
+    if text is None:
+        return "None"
+    return '"' + "".join("\\" + c if c in '\\"' else f"\\x{ord(c):02x}" if ord(c) < 32 else c for c in text) + '"'
+
+
 @dataclass(frozen=True)
 class Page:
     id: int
     title: str
 
+    def __repr__(self) -> str:
+        return f"pagetrail.Page(id={self.id}, title={quoted(self.title)})"
+
 
 @dataclass(frozen=True)
 class Link:
@@ -47,6 +57,9 @@ class Link:
     to_page_id: int
     title: str | None
 
+    def __repr__(self) -> str:
+        return f"pagetrail.Link(from_page_id={self.from_page_id}, to_page_id={self.to_page_id}, title={quoted(self.title)})"
+
 
 class LinkGraph:
     """Pages and links, and the edges between them.

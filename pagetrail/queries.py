@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pagetrail.operators.dag import AnnotatedDag, LinkOrder
 from pagetrail.operators.graph import LinkGraph
 from pagetrail.operators.ingest import Ingest, inclusion, with_links
 from pagetrail.operators.search import LOCAL_ROWS, distances, shortest_path, shortest_path_dag
+from pagetrail.plans.scratch import Scratch
+from pagetrail.sources.graph_file import read_graph, write_graph
+from pagetrail.sources.metadata_db import read_metadata, write_metadata
+from pagetrail.sources.wiki_xml import read_dump, tag_statistics
 
 #: The pair of pages that the search queries join, and the steps that the SQL of their path DAG takes.
 START, FINISH, STEPS = 88, 21, 12
@@ -175,6 +181,57 @@ def duplicate_titles(spark, sf):
     return raw.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("raw_id").alias("first_raw_id")).filter("n > 1")
 
 
+# -- exchange ------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files that one process writes; it has to be mounted where it is read."""
+    path = Scratch(spark).base.removeprefix("file://")
+    os.makedirs(path)
+    return path
+
+
+def dump_records(spark, sf):
+    """The records of raw_pages, written as an XML dump and read again."""
+    path = f"{Scratch(spark).base}/dump"
+    raw = _t(spark, sf, "raw_pages").select("title", "ns", "redirect", "revision")
+    raw.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    read = read_dump(spark, path)
+    return read.select(
+        F.coalesce("title", F.lit("")).alias("title"), F.coalesce("ns", F.lit("")).alias("ns"), F.coalesce("redirect._title", F.lit("")).alias("redirect"),
+        F.coalesce(W.page_text(F.col("revision")), F.lit("")).alias("text"),
+    )
+
+
+def dump_tags(spark, sf):
+    """How often each element occurs in such a dump."""
+    path = f"{_folder(spark)}/dump"
+    raw = _t(spark, sf, "raw_pages").select("title", "ns", "redirect", "revision")
+    raw.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    return tag_statistics(spark, sorted(str(p) for p in Path(path).glob("part-*"))).filter("path IN ('/mediawiki/page', '/mediawiki/page/title')")
+
+
+def graph_file_edges(spark, sf):
+    g = graph(spark, sf)
+    path = f"{_folder(spark)}/links.graph"
+    write_graph(g.edges, g.vertex_count(), path)
+    return read_graph(spark, path)
+
+
+def metadata_file_links(spark, sf):
+    g = graph(spark, sf)
+    path = f"{_folder(spark)}/links.metadata"
+    write_metadata(g.pages, g.links, path)
+    return read_metadata(spark, path, "links")
+
+
+def saved_graph_edges(spark, sf):
+    """The backward order of a saved and opened graph, turned round."""
+    path = f"{Scratch(spark).base}/graph"
+    graph(spark, sf).save(path)
+    return LinkGraph.open(spark, path).adjacency().backward.select(F.col("w").alias("src"), F.col("v").alias("dst"))
+
+
 # -- search -----------------------------------------------------------------------------------------------
 
 
@@ -206,6 +263,14 @@ def classic_path(spark, sf):
     return spark.createDataFrame([(i, p) for i, p in enumerate(path)], "step int, page_id bigint")
 
 
+def classic_path_links(spark, sf):
+    """How many steps the path has, and how many of them are links."""
+    g = graph(spark, sf)
+    path, _ = shortest_path(g.adjacency(), START, FINISH)
+    steps = spark.createDataFrame(list(zip(path, path[1:])), "src bigint, dst bigint")
+    return steps.join(g.edges, ["src", "dst"]).agg(F.lit(len(path) - 1).cast("bigint").alias("steps"), F.count(F.lit(1)).alias("links"))
+
+
 def classic_distance(spark, sf):
     path, _ = shortest_path(graph(spark, sf).adjacency(), START, FINISH)
     return spark.createDataFrame([(len(path) - 1,)], "distance int")
@@ -336,7 +401,7 @@ _QUERIES = (
     vertex_edge_count, degree_in_out, dangling_pages, forward_edges, backward_edges, reversed_edges, inspect_page, page_by_id, page_by_title,
     valid_page_ids, link_lookup, first_occurrence_links, page_ref, link_text, link_refs, pipe_trick, first_upper, ns_parse, wiki_url, dot_quote,
     format_count, resolve_targets, dangling_targets, include_filter_counts, ingest_pages, ingest_links, ingest_counts, extract_links,
-    duplicate_titles, bfs_layers, distance_from_page, distance_pairs, classic_path, classic_distance, search_stats, dag_edges, count_paths,
+    duplicate_titles, dump_records, dump_tags, graph_file_edges, metadata_file_links, saved_graph_edges, bfs_layers, distance_from_page, distance_pairs, classic_path, classic_path_links, classic_distance, search_stats, dag_edges, count_paths,
     path_counts, paths_by_id, paths_by_title, paths_by_text, paths_page, first_path, path_steps, random_path, random_page, dag_page_links,
     dag_edge_lines, dag_dot, distance_from_page_joined, search_stats_joined, classic_distance_joined, dag_edges_joined, count_paths_joined, path_counts_joined, paths_by_id_joined, p3_found, p3_degrees, p3_neighbours,
 )
@@ -467,6 +532,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_neighbours": f"SELECT side, page_id, row_number() OVER (PARTITION BY side, page_id ORDER BY n) - 1 AS place, n AS neighbour_id FROM (SELECT DISTINCT * FROM {both} WHERE page_id IS NOT NULL AND n IS NOT NULL)",
     }
     sql |= {f"{name}_joined": sql[name] for name in ("distance_from_page", "classic_distance", "dag_edges", "count_paths", "path_counts", "paths_by_id")}
+    sql["dump_records"] = """SELECT coalesce(title, '') AS title, coalesce(ns, '') AS ns, coalesce(redirect._title, '') AS redirect,
+      coalesce(array_to_string([y.text FOR y IN revision], ''), '') AS text FROM raw_pages"""
+    sql["dump_tags"] = """SELECT '/mediawiki/page' AS path, count(*) AS "count" FROM raw_pages UNION ALL SELECT '/mediawiki/page/title', count(title) FROM raw_pages"""
+    sql |= {name: f"WITH {_LINKS} SELECT src, dst FROM e" for name in ("graph_file_edges", "saved_graph_edges")}
+    sql["metadata_file_links"] = f"WITH {_LINKS} SELECT * FROM l"
+    sql["classic_path_links"] = f"WITH RECURSIVE {_LINKS}, {_BFS.format(steps=STEPS)} SELECT distance::BIGINT AS steps, distance::BIGINT AS links FROM m WHERE page_id = {FINISH}"
     sql["extract_links"] = f"WITH RECURSIVE {_EXTRACTED} SELECT raw_id, place::INT AS place, target, anchor, title FROM x"
     sql["ingest_links"] = f"WITH RECURSIVE {_EXTRACTED}, {_INDEXED} SELECT from_page_id, to_page_id, title FROM v"
     sql["ingest_counts"] = f"""WITH RECURSIVE {_EXTRACTED}, {_INDEXED} SELECT (SELECT count(*) FROM i) AS included_pages,

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagetrail.api import AnnotatedPage, GraphReader, LinkOrder, PathEnumerator, Reader, SearchStats, quoted
+from pagetrail.api import AnnotatedPage, GraphReader, Link, LinkOrder, Page, PathEnumerator, Reader, SearchStats, quoted
 from pagetrail.operators.graph import metadata_beside
 from tests.test_search import EX2, EX2_TITLES, EX3, EX3_TITLES, make
 
@@ -113,5 +113,6 @@ def test_orders_of_paths(three):
 
 
 def test_written_forms():
+    assert repr(Page(4, 'R"se')) == 'pagetrail.Page(id=4, title="R\\"se")' and repr(Link(1, 2, None)) == "pagetrail.Link(from_page_id=1, to_page_id=2, title=None)"
     assert quoted(None) == "None" and quoted('a"b\\c\n\x1f é') == '"a\\"b\\\\c\\x0a\\x1f é"'
     assert [metadata_beside(p) for p in ("x.graph", "a/b.c.graph", "a.b/c")] == ["x.metadata", "a/b.c.metadata", "a.b/c.metadata"]

@@ -4,7 +4,7 @@ import pytest
 
 from pagetrail.operators.dag import AnnotatedDag, LinkOrder, PathEnumerator
 from pagetrail.operators.graph import LinkGraph, Residency
-from pagetrail.operators.search import SearchStats, distances, shortest_path, shortest_path_dag
+from pagetrail.operators.search import SearchStats, _local_dag, distances, shortest_path, shortest_path_dag
 from tests.model import all_paths
 from tests.model import distances as model_distances
 
@@ -72,6 +72,15 @@ def test_a_search_that_outgrows_the_driver_goes_on_as_joins(ex2):
     assert shortest_path(ex2.adjacency(), 2, 15, local_rows=3)[0] == shortest_path(ex2.adjacency(), 2, 15)[0]
 
 
+@pytest.mark.parametrize(("length", "found"), [(253, True), (254, False)])
+def test_depth_of_the_dag(length, found):
+    def look(ahead, fringe):
+        return {v: [w] if 0 <= (w := v + 1 if ahead else v - 1) <= length else [] for v in fringe}
+
+    edges, size, *_ = _local_dag(look, 0, length, 253)
+    assert (edges is not None) == found and (not found or (size == length and [e[:2] for e in edges] == [(i, i + 1) for i in range(length)]))
+
+
 def test_counts_lookups_and_references(ex1):
     assert (ex1.vertex_count(), ex1.edge_count()) == (7, 10)
     assert [r.dst for r in ex1.forward(1).collect()] == [2, 3]
