@@ -95,12 +95,23 @@ def units(token: str) -> str:
     return unicodedata.normalize("NFD", "".join(map(_UNITS.__getitem__, token)))
 
 
+class _Shapes(dict):
+    """What each character's place shows, filled as they come."""
+
+    def __missing__(self, o: int) -> str | None:
+        ch = chr(o)
+        out = self[o] = None if unseen(ch) else SHAPE.get(ch, ch)
+        return out
+
+
+_SHAPES, _ROUGH = _Shapes(), str.maketrans(NEAR, NEAR_AS)
+
+
 def shapes(token: str) -> str:
     """The token's visible shapes, decomposed."""
     if token.isascii():
         return token
-    seen = "".join(SHAPE.get(c, c) for c in units(token) if not unseen(c))
-    return unicodedata.normalize("NFD", seen)
+    return unicodedata.normalize("NFD", units(token).translate(_SHAPES))
 
 
 def by_table(token: str) -> str:
@@ -112,11 +123,13 @@ class Trie:
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.hidden = False  # whether any spelling holds an unseen character
 
     def add(self, token: str, count: int) -> None:
         node = self.root
         for ch in units(token):
             node = node.setdefault(ch, {})
+            self.hidden = self.hidden or unseen(ch)
         node.setdefault("", {})[token] = node.get("", {}).get(token, 0) + count
 
     def look_alikes(self, token: str, budget: float = 0.0) -> dict[str, int]:
@@ -130,9 +143,9 @@ class Trie:
             step: dict[int, tuple[float, dict]] = {}
             for cost, node in states.values():
                 for c, child in node.items():
-                    if not c or unseen(c):
-                        continue
                     shape = SHAPE.get(c, c)
+                    if not c or (shape != want and not budget) or unseen(c):
+                        continue
                     total = cost if shape == want else cost + NEAR_COST if budget and COARSE.get(shape, shape) == rough else 2 + budget
                     if total <= budget and (id(child) not in step or total < step[id(child)][0]):
                         step[id(child)] = total, child
@@ -144,9 +157,10 @@ class Trie:
             found.update(node.get("", {}))
         return found
 
-    @staticmethod
-    def _closure(states: dict[int, tuple[float, dict]]) -> dict[int, tuple[float, dict]]:
+    def _closure(self, states: dict[int, tuple[float, dict]]) -> dict[int, tuple[float, dict]]:
         """The states and those behind unseen characters, whose insertion costs nothing."""
+        if not self.hidden:
+            return states
         todo = list(states.values())
         while todo:
             cost, node = todo.pop()
@@ -170,7 +184,7 @@ def canonical(found: dict[str, int]) -> str:
 
 def _route(token: str) -> str:
     """Equal for tokens that can reach each other within any budget below 1."""
-    shape = "".join(COARSE.get(c, c) for c in shapes(token))
+    shape = token if token.isascii() else shapes(token).translate(_ROUGH)
     return f"{shape[:ROUTE]}{shape[-1:]}{len(shape)}"
 
 
@@ -182,18 +196,27 @@ def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _walk(batches: Iterator[pa.RecordBatch], budget: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (route, kind): a route's vocabulary (kind 0) comes before its tokens (kind 1)."""
-    trie, at = Trie(), None
+    words, trie, plain, at = {}, None, True, None
     for batch in batches:
         tokens, forms = [], []
         for route, kind, token, n in zip(*(batch.column(c).to_pylist() for c in ("route", "kind", "token", "n"))):
             if route != at:
-                trie, at = Trie(), route
+                words, trie, plain, at = {}, None, True, route
             if kind == 0:
-                trie.add(token, n)
+                words[token] = words.get(token, 0) + n
+                plain = plain and token.isascii()
+                trie = None
                 continue
-            found = trie.look_alikes(token, budget)
+            if plain and not budget and token.isascii():  # two spellings in ASCII never look the same
+                found = {token: words[token]} if token in words else {}
+            else:
+                if trie is None:
+                    trie = Trie()
+                    for word, count in words.items():
+                        trie.add(word, count)
+                found = trie.look_alikes(token, budget)
             tokens.append(token)
-            forms.append(canonical(found) if found else by_table(token))
+            forms.append(by_table(token) if not found else canonical(found) if len(found) > 1 else next(iter(found)))
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(forms, pa.string())], names=["token", "form"])
 
 
