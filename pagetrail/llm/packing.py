@@ -32,6 +32,8 @@ SHARD = 4096
 SEGMENT_TOKENS, LOSS_SHARE = 16, 0.9
 #: Shards whose badly filled containers are packed together.
 TOGETHER = 16
+#: Groups that one task packs one after the other, in the mean.
+A_TASK = 4
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -148,8 +150,9 @@ def containers(
     done = []
     for level, last in enumerate((False, True)):
         todo = todo.withColumn("container_id", F.lit(0).cast("bigint")).withColumn("packed", F.lit(False))
-        # a task for each group: packing takes long for its few bytes, so merging tasks by their bytes would be wrong
-        spread = todo.repartition(max(1, len(limits) * (-(-shards // TOGETHER) if last else shards)), "pack_name", "shard")
+        # a task for a few groups: packing takes long for its few bytes, so merging tasks by their bytes would be wrong
+        groups = len(limits) * (-(-shards // TOGETHER) if last else shards)
+        spread = todo.repartition(max(1, -(-groups // A_TASK)), "pack_name", "shard")
         packed = spread.groupBy("pack_name", "shard").applyInArrow(_packer(refill, last), FIELDS + ", container_id bigint, packed boolean")
         packed = scratch.write(packed, f"level{level}")
         done.append(packed.filter("packed").withColumn("container_id", F.col("container_id") + (level << 56)))
