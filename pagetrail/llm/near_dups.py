@@ -6,10 +6,11 @@ share such a hash, and only those, meet. The order puts frequent runs last, whic
 estimated over all records by one table of ``SLOTS`` counters, so it has a fixed size at every scale. The result doesn't
 depend on it.
 
-A tile holds the records of one size band (a factor 1/t wide) that share one such hash; only tiles of the same hash and of
-the same or the adjoining band are compared. Tiles are spread over buckets whose number follows the number of
-hashes, so a task's share doesn't grow with the input; a tile of a hash far above the usual frequency is split into blocks, and
-each pair of blocks is a tile of its own. The places of the first common hash of two records bound their overlap.
+The records that share such a hash lie sorted by size, so their size bands (a factor 1/t wide) follow each other as tiles; a record
+is compared with the rest of its own band and with the adjoining one, as far as t reaches. The hash alone decides the bucket: with
+the band in the routing key every hash would have to travel twice, to its own band and to the neighbour. The number of buckets follows the
+number of hashes, so a task's share doesn't grow with the input; a hash far above the usual frequency has its records split into blocks, and
+each pair of blocks has tiles of its own. The places of the first common hash of two records bound their overlap.
 
 Candidates are decided where each record comes once for many of its pairs: all candidates around the same smallest
 partner share a place, in blocks of ``BLOCK`` records. A pair is first bounded from its two bitmaps: every hash
