@@ -80,7 +80,7 @@ class BoostedTrees:
         score = np.full(len(x), self.base)
         self.trees: list[tuple[np.ndarray, ...]] = []
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1], method="lower")) for f in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+        binned = [np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)]
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             grad, hess = y - p, np.maximum(p * (1 - p), 1e-9)
@@ -93,7 +93,8 @@ class BoostedTrees:
 
     def _grow(self, binned, cuts, grad, hess, rows, depth, nodes) -> int:
         me = len(nodes)
-        g, h = grad[rows].sum(), hess[rows].sum()
+        own_grad, own_hess = grad[rows], hess[rows]
+        g, h = own_grad.sum(), own_hess.sum()
         nodes.append([-1, 0.0, me, me, self.rate * g / (h + self.ridge)])
         if depth == self.depth or len(rows) < 4:
             return me
@@ -101,8 +102,9 @@ class BoostedTrees:
         for f, c in enumerate(cuts):
             if not len(c):
                 continue
-            gs = np.bincount(binned[rows, f], grad[rows], len(c) + 1).cumsum()[:-1]
-            hs = np.bincount(binned[rows, f], hess[rows], len(c) + 1).cumsum()[:-1]
+            own = binned[f][rows]
+            gs = np.bincount(own, own_grad, len(c) + 1).cumsum()[:-1]
+            hs = np.bincount(own, own_hess, len(c) + 1).cumsum()[:-1]
             gain = gs**2 / (hs + self.ridge) + (g - gs) ** 2 / (h - hs + self.ridge) - g**2 / (h + self.ridge)
             k = int(gain.argmax())
             if gain[k] > best[0]:
@@ -110,7 +112,7 @@ class BoostedTrees:
         if best[1] < 0:
             return me
         _, f, k = best
-        low = binned[rows, f] <= k
+        low = binned[f][rows] <= k
         if low.all() or not low.any():
             return me
         nodes[me][0], nodes[me][1] = f, cuts[f][k]
