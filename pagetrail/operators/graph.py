@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import threading
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from pyspark import StorageLevel
@@ -74,7 +74,7 @@ class LinkGraph:
         self.pages = pages.select("page_id", "title")
         self.links = links.select("from_page_id", "to_page_id", "title") if clean else distinct_links(links)
         self.edges = edges_of(self.links)
-        self._adjacency = adjacency or Adjacency.of(self.edges)
+        self._adjacency = adjacency or self._as_they_are(links, clean)
         if residency is not Residency.NONE:
             kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (self._adjacency.forward, self._adjacency.backward)]
             load = lambda: [df.count() for df in kept]
@@ -87,6 +87,11 @@ class LinkGraph:
                     if residency is Residency.FOREGROUND:
                         raise
 
+    @staticmethod
+    def _as_they_are(links: DataFrame, clean: bool) -> Adjacency:
+        near = Adjacency.of(edges_of(links.filter("from_page_id IS NOT NULL AND to_page_id IS NOT NULL AND from_page_id <> to_page_id")))
+        return replace(near, repeats=not clean)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, residency: Residency = Residency.NONE) -> LinkGraph:
         """A saved graph; opening writes nothing."""
@@ -159,10 +164,10 @@ class LinkGraph:
         return Link(row.from_page_id, row.to_page_id, row.title) if row else None
 
     def forward(self, page_id: int) -> DataFrame:
-        return self._adjacency.forward.filter(F.col("v") == page_id).select(F.col("w").alias("dst")).orderBy("dst")
+        return self._adjacency.forward.filter(F.col("v") == page_id).select(F.col("w").alias("dst")).distinct().orderBy("dst")
 
     def backward(self, page_id: int) -> DataFrame:
-        return self._adjacency.backward.filter(F.col("v") == page_id).select(F.col("w").alias("src")).orderBy("src")
+        return self._adjacency.backward.filter(F.col("v") == page_id).select(F.col("w").alias("src")).distinct().orderBy("src")
 
     def reversed_edges(self) -> DataFrame:
         return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

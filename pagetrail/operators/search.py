@@ -31,11 +31,13 @@ class Adjacency:
     """Both directions of the edges as (v, w), v being where a step starts.
 
     ``sorted``: each is a table sorted by v, so a lookup skips most row groups; else lookups filter the edges as they are.
+    ``repeats``: an edge may come several times; a lookup, a single scan, then drops repeats where it has fetched them.
     """
 
     forward: DataFrame
     backward: DataFrame
     sorted: bool = False
+    repeats: bool = False
 
     @classmethod
     def of(cls, edges: DataFrame) -> Adjacency:
@@ -51,7 +53,8 @@ class Adjacency:
         """This adjacency in written tables, for a search that joins it layer by layer."""
         if self.sorted:
             return self
-        return Adjacency(scratch.write(ranged(self.forward), "forward"), scratch.write(ranged(self.backward), "backward"), True)
+        once = lambda df: df.distinct() if self.repeats else df
+        return Adjacency(scratch.write(ranged(once(self.forward)), "forward"), scratch.write(ranged(once(self.backward)), "backward"), True)
 
 
 def ranged(df: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ class _Lookup:
         if self.left < 0:
             raise _TooLarge
         out: dict[int, list[int]] = {v: [] for v in fringe}
-        for v, w in sorted(map(tuple, rows)):
+        for v, w in sorted(set(map(tuple, rows))):
             out[v].append(w)
         return out
 
@@ -371,7 +374,7 @@ def distances(edges: DataFrame | Adjacency, starts: DataFrame, max_depth: int |
         except _TooLarge:
             pass
     scratch = Scratch(spark)
-    near = sides.forward if sides.sorted else scratch.write(ranged(sides.forward), "edges")
+    near = sides.forward if sides.sorted else scratch.write(ranged(sides.forward.distinct() if sides.repeats else sides.forward), "edges")
     near = near.select(F.col("v").alias("src"), F.col("w").alias("dst"))
     starts = starts.dropna(subset=["start"])
     fringe = starts.select(F.col("start").cast("bigint").alias("start"), F.col("start").cast("bigint").alias("page_id")).distinct()

@@ -237,23 +237,23 @@ def saved_graph_edges(spark, sf):
 
 def bfs_layers(spark, sf):
     start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
-    return distances(graph(spark, sf).edges, start).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+    return distances(graph(spark, sf).adjacency(), start).groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distance_from_page(spark, sf):
     start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
-    return distances(graph(spark, sf).edges, start).select("page_id", "distance")
+    return distances(graph(spark, sf).adjacency(), start).select("page_id", "distance")
 
 
 def distance_from_page_joined(spark, sf):
     start = spark.range(1).select(F.lit(START).cast("bigint").alias("start"))
-    return distances(graph(spark, sf).edges, start, local_rows=0).select("page_id", "distance")
+    return distances(graph(spark, sf).adjacency(), start, local_rows=0).select("page_id", "distance")
 
 
 def distance_pairs(spark, sf):
     """Distances from the index pages to the hub pages, all searches in one loop."""
     core = _t(spark, sf, "core_pages")
-    found = distances(graph(spark, sf).edges, core.filter("role = 'index'").select(F.col("page_id").alias("start")))
+    found = distances(graph(spark, sf).adjacency(), core.filter("role = 'index'").select(F.col("page_id").alias("start")))
     hubs = core.filter("role = 'hub'").select("page_id")
     return found.join(hubs, "page_id", "left_semi").select("start", "page_id", "distance")
 

@@ -68,6 +68,18 @@ def test_dag(ex2, rows):
     assert shortest_path_dag(near, 2, 15, max_depth=5, local_rows=rows)[0] is not None
 
 
+def test_repeated_links_count_once(spark):
+    rows = [(1, 2, None), (1, 2, "x"), (2, 3, None), (2, 3, ""), (1, 1, None), (None, 2, None), (3, 4, "y"), (2, 4, None), (2, 4, None)]
+    g = make(spark, rows, list("abcd"))
+    near = g.adjacency()
+    assert near.repeats and [r.dst for r in g.forward(2).collect()] == [3, 4] and [r.src for r in g.backward(2).collect()] == [1]
+    for rows in (0, 1000):
+        path, stats = shortest_path(near, 1, 4, rows)
+        assert (path, counters(stats)) == ([1, 2, 4], (4, 2, 3)), (rows, path, stats)
+        got = distances(near, spark.createDataFrame([(1,)], "start bigint"), local_rows=rows).collect()
+        assert sorted((r.page_id, r.distance) for r in got) == [(1, 0), (2, 1), (3, 2), (4, 2)]
+
+
 def test_a_search_that_outgrows_the_driver_goes_on_as_joins(ex2):
     assert shortest_path(ex2.adjacency(), 2, 15, local_rows=3)[0] == shortest_path(ex2.adjacency(), 2, 15)[0]
 
