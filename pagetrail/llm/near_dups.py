@@ -9,14 +9,15 @@ depend on it.
 The records that share such a hash lie sorted by size, so their size bands (a factor 1/t wide) follow each other as tiles; a record
 is compared with the rest of its own band and with the adjoining one, as far as t reaches. The hash alone decides the bucket: with
 the band in the routing key every hash would have to travel twice, to its own band and to the neighbour. The number of buckets follows the
-number of hashes, so a task's share doesn't grow with the input; a hash far above the usual frequency has its records split into blocks, and
-each pair of blocks has tiles of its own. The places of the first common hash of two records bound their overlap.
+number of hashes, so a task's share doesn't grow with the input. Among many buckets a record has hardly two hashes in one, so a hash
+travels with little more than its place and the record's id and size. A hash far above the usual frequency has its records split into
+blocks, and each pair of blocks has tiles of its own. The places of the first common hash of two records bound their overlap.
 
 Candidates are decided where each record comes once for many of its pairs: all candidates around the same smallest
-partner share a place, in blocks of ``BLOCK`` records. A pair is first bounded from its two bitmaps: every hash
-toggles one bit, so the number of differing bits is at most the size of the symmetric difference, which bounds the
-overlap from above. A bitmap has two to four bits for every hash; the wider one of a pair is folded to the width of
-the other. What is left is decided by the exact intersection of the two sorted hash arrays (40 bits a hash).
+partner share a place, in blocks of ``BLOCK`` records. A pair is first bounded from its two bitmaps, which the first pass
+keeps: every hash toggles one bit, so the number of differing bits is at most the size of the symmetric difference, which
+bounds the overlap from above. A bitmap has two to four bits for every hash; the wider one of a pair is folded to the width of
+the other. Only what is left travels with its hash arrays and is decided by the exact intersection of the two (sorted, 40 bits a hash).
 
 Records whose words are the same in the same order are one class from the first pass on and meet once. ``groups`` doesn't
 compare all records of a group: a first round compares each record of a tile with the tile's smallest one only, a second
@@ -29,14 +30,14 @@ Ties in size or hash don't matter; repeated ids count as copies of one another a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagetrail.functions.wikitext import page_text
@@ -53,8 +54,10 @@ SLOTS, SLOT_BLOCK = 1 << 22, 1 << 16
 BUCKET, SPLIT = 200_000, 20_000
 #: Records of one kind that meet in one place when candidates are decided.
 BLOCK = 1024
-#: Bits of the filter that spares texts without a candidate the last reading; a full filter spares none.
+#: Bits of the filters that spare texts without a candidate the last reading, and records without a copy their copy hash; a full one spares none.
 FILTER_BITS = 1 << 23
+#: Parts of the buckets that can be worked on one after the other, and the number of buckets from which the first part shows how many follow at once.
+PARTS, MANY = 16, 256
 #: Characters that are cut into words at once.
 CHUNK = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -274,27 +277,27 @@ _DECODED = np.r_[0.0, 2.0 ** (np.arange(255) / 8)]
 
 def _counter_rows(count: np.ndarray) -> pa.RecordBatch:
     blocks = [(b, _coded(part).tobytes()) for b, part in enumerate(count.reshape(-1, SLOT_BLOCK)) if part.any()]
-    ids = np.array([b for b, _ in blocks], np.int64)
-    return _first_rows(1, ids, np.zeros(len(ids), np.int64), pa.array([blob for _, blob in blocks], pa.binary()))
+    ids, none = np.array([b for b, _ in blocks], np.int64), np.zeros(len(blocks), np.int64)
+    return _first_rows(1, ids, none, none, [blob for _, blob in blocks])
 
 
-def _first_rows(kind: int, a: np.ndarray, b: np.ndarray, blob: pa.Array | None = None) -> pa.RecordBatch:
-    blob = pa.nulls(len(a), pa.binary()) if blob is None else blob
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), blob], names=["kind", "a", "b", "blob"])
+def _first_rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, blob: list[bytes | None]) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(blob, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n", "blob"])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (id, copy hash); kind 1: (block of counters, -, counts); kind 2: (places of hashes that will travel, -)."""
+    """kind 0: (id, copy hash, n, bitmap); kind 1: (block of counters, -, -, counts); kind 2: (places of hashes that will travel, -, -, -)."""
     count = np.zeros(SLOTS, np.uint32)
     travel = 0
     for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
         runs = Runs(batch.column("text").to_pylist(), size, min_words)
-        yield _first_rows(0, batch.column("id").to_numpy()[runs.place], runs.copy)
+        yield _first_rows(0, batch.column("id").to_numpy()[runs.place], runs.copy, runs.n, signatures(runs))
         count += np.bincount(_slots(runs.hashes), minlength=SLOTS).astype(np.uint32)
         travel += int(prefix_length(runs.n, t).sum())
     yield _counter_rows(count)
-    yield _first_rows(2, np.array([travel]), np.zeros(1, np.int64))
+    yield _first_rows(2, np.array([travel]), np.zeros(1, np.int64), np.zeros(1, np.int64), [None])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,89 +310,126 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- tiles ---------------------------------------------------------------------------------------------------------
 
-#: One row a batch and bucket. The low 32 bits of a hash stand for it inside a bucket; a chance agreement costs one comparison.
-_BLOBS = ("bucket", "hashes", "owners", "spots", "classes", "sizes", "inside")
+#: One row a batch and bucket; entries of one record lie together. The low 32 bits of a hash stand for it inside a bucket; a chance
+#: agreement costs one comparison. Ids count from the smallest one. Copy hashes travel only for records that may have copies.
+_BLOBS = ("hashes", "spots", "counts", "ids", "sizes", "copied", "copies", "inside")
+_KEYS = f"bucket int, base bigint, {', '.join(f'{c} binary' for c in _BLOBS)}"
 _ROLE = np.uint32(1 << 31)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int, buckets: int, usual: float, counts: Broadcast) -> Iterator[pa.RecordBatch]:
-    """The hashes of every class that may be the first common ones, with their places, by bucket."""
-    codes = np.frombuffer(counts.value, np.uint8)
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers in the least of one, two, four or eight bytes each that holds them all."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)).tobytes()
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _keys(
+    batches: Iterator[pa.RecordBatch], size: int, t: float, min_words: int, buckets: int, usual: float, counts: Broadcast, copied: Broadcast, parts: range
+) -> Iterator[pa.RecordBatch]:
+    """The hashes of every class that may be the first common ones, with their places, by bucket; those of the buckets in ``parts`` of PARTS."""
+    codes, filled = np.frombuffer(counts.value, np.uint8), np.frombuffer(copied.value, np.uint8)
     for batch in portions(batches, "text"):
         batch = batch.filter(batch.column("id").is_valid())
         runs = Runs(batch.column("text").to_pylist(), size, min_words)
         if not len(runs.n):
             continue
-        _, first = np.unique(runs.copy, return_index=True)  # copies within a batch are one record from here on
+        ids = batch.column("id").to_numpy()[runs.place]
+        slot = (runs.copy.view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        again = ((filled[slot >> 3] >> (slot & 7)) & 1).astype(bool)
+        order = np.lexsort((ids, runs.copy))  # copies within a batch are one record from here on, the one with the smallest id
+        first = np.sort(order[np.r_[True, runs.copy[order][1:] != runs.copy[order][:-1]]])
         inside = batch.column("inside").to_numpy(zero_copy_only=False)[runs.place] if "inside" in batch.schema.names else None
         # ascending: rare runs first, hashes in order among equally rare ones
         ordered = (codes[_slots(runs.hashes)].astype(np.uint64) << np.uint64(56)) | (runs.hashes >> np.uint64(8))
         length = prefix_length(runs.n, t)
-        parts = []
+        lists = []
         for i in first.tolist():
             own = ordered[runs.ends[i] - runs.n[i] : runs.ends[i]]
             own.sort()
-            parts.append(own[: length[i]])
-        key = np.concatenate(parts)
+            lists.append(own[: length[i]])
+        key = np.concatenate(lists)
         own = np.repeat(first, length[first])
         spot = np.arange(len(key)) - np.repeat(np.cumsum(length[first]) - length[first], length[first])
         near = np.minimum(spot * 256 // runs.n[own], 255).astype(np.uint8)  # never beyond the true place
-        role = np.zeros(len(key), np.uint32)
+        role = np.zeros(len(key), np.int64)
         tile = key & np.uint64((1 << 56) - 1)
         often = np.ceil((_DECODED[(key >> np.uint64(56)).astype(np.int64)] - usual) / SPLIT)
         hot = np.flatnonzero(often > 1)
         if len(hot):
             many = often[hot].astype(np.int64)
-            again = np.repeat(hot, many)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
-            mine = (runs.copy[own[again]].view(np.uint64) % np.repeat(many, many).astype(np.uint64)).astype(np.int64)
+            copy = np.repeat(hot, many)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(many) - many, many)
+            mine = (runs.copy[own[copy]].view(np.uint64) % np.repeat(many, many).astype(np.uint64)).astype(np.int64)
             pair = np.minimum(mine, other) * (1 << 24) + np.maximum(mine, other)
-            split = _finish(tile[again] ^ _finish(pair.astype(np.uint64) * _MIX[1])) >> np.uint64(8)
+            split = _finish(tile[copy] ^ _finish(pair.astype(np.uint64) * _MIX[1])) >> np.uint64(8)
             rest = np.flatnonzero(often <= 1)
             tile = np.r_[tile[rest], split]
-            role = np.r_[role[rest], (mine > other).astype(np.uint32)]
-            own, near = np.r_[own[rest], own[again]], np.r_[near[rest], near[again]]
-        bucket = ((tile >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, tile, own, near, role = bucket[order], tile[order].astype(np.uint32), own[order], near[order], role[order]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        out: list[list] = [[] for _ in _BLOBS]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            # two records for one class where a split tile has it in either role
-            used, local = np.unique(own[a:b] * 2 + role[a:b], return_inverse=True)
-            sizes = runs.n[used // 2].astype(np.uint32) | np.where(used % 2 == 1, _ROLE, np.uint32(0))
-            small = sizes.max() < 1 << 16
+            role = np.r_[role[rest], mine > other]
+            own, near = np.r_[own[rest], own[copy]], np.r_[near[rest], near[copy]]
+        bucket = ((tile >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        if len(parts) < PARTS:
+            here = np.flatnonzero((bucket % PARTS >= parts.start) & (bucket % PARTS < parts.stop))
+            bucket, tile, own, near, role = bucket[here], tile[here], own[here], near[here], role[here]
+        used = own * 2 + role  # two records for one class where a split tile has it in either role
+        order = np.lexsort((used, bucket)) if len(hot) else np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket, tile, used, near = bucket[order], tile[order].astype(np.uint32), used[order], near[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+        lead = np.flatnonzero(np.r_[True, (used[1:] != used[:-1]) | (bucket[1:] != bucket[:-1])]) if len(bucket) else np.zeros(0, np.int64)
+        count, at = np.diff(np.r_[lead, len(used)]), np.searchsorted(lead, cuts)
+        who, role = used[lead] // 2, used[lead] % 2
+        sizes = runs.n[who] + role * int(_ROLE)
+        out: list[list] = [[] for _ in range(2 + len(_BLOBS))]
+        for a, b, i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()):
+            some, many = ids[who[i:j]], again[who[i:j]]
             out[0].append(int(bucket[a]))
-            out[1].append(tile[a:b].tobytes())
-            out[2].append(local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
+            out[1].append(base := int(some.min()))
+            out[2].append(tile[a:b].tobytes())
             out[3].append(near[a:b].tobytes())
-            out[4].append(runs.copy[used // 2].tobytes())
-            out[5].append((sizes.astype(np.uint16) if small else sizes).tobytes())
-            out[6].append(inside[used // 2].astype(np.int64).tobytes() if inside is not None else b"")
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=list(_BLOBS))
-
-
-def _gathered(parts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    keys, owners, spots, classes, sizes, insides, base = [], [], [], [], [], [], 0
-    for tile, own, spot, cls, size, inside in parts:
+            out[4].append(_narrow(count[i:j]))
+            out[5].append(_narrow((some - base).view(np.uint64)))
+            out[6].append(_narrow(sizes[i:j]))
+            out[7].append(_narrow(flagged := np.flatnonzero(many)))
+            out[8].append(runs.copy[who[i:j][flagged]].tobytes())
+            out[9].append(inside[who[i:j]].astype(np.int64).tobytes() if inside is not None else b"")
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["bucket", "base", *_BLOBS])
+
+
+def _gathered(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """(hash, owner, place) of every entry; (class, size, inside) of every owner. A class is known by the smallest id of its records."""
+    keys, owners, spots, classes, sizes, insides, at, copies, base = [], [], [], [], [], [], [], [], 0
+    for least, tile, spot, count, some, size, copied, copy, inside in parts:
         keys.append(np.frombuffer(tile, np.uint32))
-        owners.append(np.frombuffer(own, np.uint16 if 2 * len(keys[-1]) == len(own) else np.uint32).astype(np.int64) + base)
         spots.append(np.frombuffer(spot, np.uint8))
-        classes.append(np.frombuffer(cls, np.int64))
-        sizes.append(np.frombuffer(size, np.uint16 if 4 * len(size) == len(cls) else np.uint32).astype(np.uint32))
+        copies.append(np.frombuffer(copy, np.int64))
+        # the narrowest width that fits was taken, so the number of owners follows from the counts
+        count = next(c for k in ("u1", "u2", "u4", "u8") if len(count) % int(k[1]) == 0 and int((c := np.frombuffer(count, k).astype(np.int64)).sum()) == len(keys[-1]))
+        owners.append(np.repeat(np.arange(base, base + len(count)), count))
+        at.append(_wide(copied, len(copies[-1])) + base)
+        classes.append(_wide(some, len(count)) + least)
+        sizes.append(_wide(size, len(count)))
         insides.append(np.frombuffer(inside, np.int64) if inside else classes[-1])
-        base += len(classes[-1])
-    return tuple(np.concatenate(x) for x in (keys, owners, spots, classes, sizes, insides))
+        base += len(count)
+    keys, owners, spots, classes, sizes, insides, at, copies = (np.concatenate(x) for x in (keys, owners, spots, classes, sizes, insides, at, copies))
+    if len(at):
+        known, number = np.unique(copies, return_inverse=True)
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, classes[at])
+        classes[at] = least[number]
+    return keys, owners, spots, classes, sizes, insides
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], t: float, star: bool) -> Iterator[pa.RecordBatch]:
     parts: dict[int, list] = {}
     for batch in batches:
-        for b, *blobs in zip(*(batch.column(c).to_pylist() for c in _BLOBS)):
-            parts.setdefault(b, []).append(blobs)
+        for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", *_BLOBS))):
+            parts.setdefault(b, []).append(row)
     for b in list(parts):
         key, own, spot, cls, size, inside = _gathered(parts.pop(b))
-        role, n = (size >= _ROLE)[own], (size & ~_ROLE).astype(np.int64)[own]
+        role, n = (size >= int(_ROLE))[own], (size & int(~_ROLE))[own]
         order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64), kind="stable")
         shared = np.zeros(len(key), bool)
         same = key[order][1:] == key[order][:-1]
@@ -456,53 +496,54 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, min_words: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(id, n, bitmap, hashes) of the records that the filter lets through."""
+    """(id, n, hashes) of the records that the filter lets through."""
     bits = np.frombuffer(wanted.value, np.uint8)
     for batch in portions(batches, "text"):
         slot = batch.column("slot").to_numpy()
         batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
         runs = Runs(batch.column("text").to_pylist(), size, min_words)
         ids = batch.column("id").to_numpy()[runs.place]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs.n, pa.int64()), pa.array(signatures(runs), pa.binary()), pa.array(packed(runs), pa.binary())], names=["id", "n", "sign", "runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs.n, pa.int64()), pa.array(packed(runs), pa.binary())], names=["id", "n", "blob"])
 
 
-def _decide(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+def _decide(batches: Iterator[pa.RecordBatch], t: float, test: Callable) -> Iterator[pa.RecordBatch]:
     """Rows come by place: first its records (a: id), then its pairs. What has been read of a place stays until it ends."""
-    ids: list[int] = []
     sizes: list[int] = []
-    signs: list[bytes] = []
     blobs: list[bytes] = []
     at: dict[int, int] = {}
     now = None
     for batch in batches:
         place = batch.column("place").to_numpy()
         cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-        columns = [batch.column(c) for c in ("a", "b", "n", "sign", "runs")]
+        columns = [batch.column(c) for c in ("a", "b", "n", "blob")]
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if place[lo] != now:
                 now = place[lo]
-                at, ids, sizes, signs, blobs = {}, [], [], [], []
-            a, b, n, sign, runs = (c.slice(lo, hi - lo).to_pylist() for c in columns)
+                at, sizes, blobs = {}, [], []
+            a, b, n, blob = (c.slice(lo, hi - lo).to_pylist() for c in columns)
             split = next((i for i, x in enumerate(b) if x is not None), hi - lo)
             for i in range(split):
                 if a[i] not in at:
                     at[a[i]] = len(at)
                     sizes.append(n[i])
-                    signs.append(sign[i])
-                    blobs.append(runs[i])
+                    blobs.append(blob[i])
             if split == hi - lo:
                 continue
-            yield _kept(np.array(a[split:]), np.array(b[split:]), at, np.array(sizes), signs, blobs, t)
+            a, b = a[split:], b[split:]
+            keep = test(np.array([at[i] for i in a]), np.array([at[i] for i in b]), np.array(sizes), blobs, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a)[keep]), pa.array(np.array(b)[keep])], names=["a", "b"])
+
+
+def _possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, signs: list[bytes], t: float) -> np.ndarray:
+    """Pairs that their bitmaps don't exclude."""
+    return (n[x] + n[y] - Bitmaps(n, signs).apart(x, y)) // 2 * (1 + t) >= t * (n[x] + n[y]) - 1e-9
 
 
-def _kept(a: np.ndarray, b: np.ndarray, at: dict[int, int], n: np.ndarray, signs: list[bytes], blobs: list[bytes], t: float) -> pa.RecordBatch:
-    x = np.array([at[i] for i in a.tolist()])
-    y = np.array([at[i] for i in b.tolist()])
-    maps = Bitmaps(n, signs)
-    need = t * (n[x] + n[y]) - 1e-9
-    keep = (n[x] + n[y] - maps.apart(x, y)) // 2 * (1 + t) >= need
+def _reached(x: np.ndarray, y: np.ndarray, n: np.ndarray, blobs: list[bytes], t: float) -> np.ndarray:
+    """Pairs whose hash arrays reach the threshold."""
+    keep = np.zeros(len(x), bool)
     sets: dict[int, np.ndarray] = {}
-    for k in np.flatnonzero(keep).tolist():
+    for k in range(len(x)):
         i, j = (x[k], y[k]) if n[x[k]] <= n[y[k]] else (y[k], x[k])
         for v in (i, j):
             if v not in sets:
@@ -510,7 +551,7 @@ def _kept(a: np.ndarray, b: np.ndarray, at: dict[int, int], n: np.ndarray, signs
         small, large = sets[i], sets[j]
         both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
         keep[k] = both >= t * (len(small) + len(large) - both) - 1e-9
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+    return keep
 
 
 class NearDuplicates:
@@ -522,7 +563,8 @@ class NearDuplicates:
         self.size, self.threshold, self.min_words = size, threshold, min_words
         self.scratch = scratch = Scratch(spark)
         self.docs = docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL")
-        first = scratch.write(self.docs.mapInArrow(lambda it: _first_pass(it, size, threshold, min_words), "kind int, a bigint, b bigint, blob binary"), "first")
+        first = scratch.write(self.docs.mapInArrow(lambda it: _first_pass(it, size, threshold, min_words), "kind int, a bigint, b bigint, n bigint, blob binary"), "first")
+        self.signs = first.filter("kind = 0").select(F.col("a").alias("id"), "n", "blob")
         copies = first.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("copy"))
         self.leads = copies.groupBy("copy").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
         self.classes = copies.join(self.leads, "copy").select("id", "class_id", "n_copies")
@@ -532,30 +574,66 @@ class NearDuplicates:
             codes[row.a * SLOT_BLOCK : (row.a + 1) * SLOT_BLOCK] = np.frombuffer(row.blob, np.uint8)
         self.usual = float(_DECODED[int(np.median(codes))])
         self.counts = spark.sparkContext.broadcast(codes.tobytes())
-        travel = first.filter("kind = 2").agg(F.sum("a").alias("n")).first().n or 0
-        self.buckets = max(1, -(-travel // BUCKET))
+        self.copied = self._filter(self.leads.filter("n_copies > 1").select(F.pmod("copy", F.lit(FILTER_BITS)).alias("slot")))
+        self.travel = first.filter("kind = 2").agg(F.sum("a").alias("n")).first().n or 0
+        self.buckets = max(1, -(-self.travel // BUCKET))
+
+    def _filter(self, slots: DataFrame) -> Broadcast:
+        words = slots.groupBy((F.col("slot") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+        out = bytearray(FILTER_BITS // 8)
+        for row in words.collect():  # FILTER_BITS / 8 bytes in all
+            out[row.at * 4096 : row.at * 4096 + len(row.bits)] = row.bits
+        return self.spark.sparkContext.broadcast(bytes(out))
 
     def _candidates(self, name: str, star: bool = False, inside: DataFrame | None = None) -> DataFrame:
-        """(a, b) of class representatives that no bound of the tiles excludes; a < b.
+        """(a, b) of class representatives that neither the bounds of the tiles nor the bitmaps exclude; a < b.
 
         ``star``: only each record with the smallest of its tile. ``inside`` (id, inside): pairs with equal ``inside`` are left out.
+        A tile that shares many hashes of a pair finds it as often, so what the tiles of all buckets find can exceed the texts. Where
+        there are many buckets, a part of them shows how much that is, and the others follow in as many rounds as keep it below half the
+        number of hashes that travel, each round with a reading of the texts of its own.
         """
-        size, t, least, buckets, usual, counts = self.size, self.threshold, self.min_words, self.buckets, self.usual, self.counts
         docs = self.docs
         if inside is not None:
             docs = docs.join(inside, "id").select("id", "text", "inside")
-        keyed = docs.mapInArrow(
-            lambda it: _keys(it, size, t, least, buckets, usual, counts),
-            "bucket int, hashes binary, owners binary, spots binary, classes binary, sizes binary, inside binary",
-        )
-        met = keyed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _tiles(it, t, star), "a bigint, b bigint").distinct()
-        lead = self.leads.select("copy", "class_id")
-        ids = met.join(lead.select(F.col("copy").alias("a"), F.col("class_id").alias("x")), "a").join(lead.select(F.col("copy").alias("b"), F.col("class_id").alias("y")), "b")
-        return self.scratch.write(ids.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), name)
+        if self.buckets < MANY:
+            return self._round(docs, name, star, range(PARTS))[0]
+        first, found = self._round(docs, f"{name}-0", star, range(1))
+        done, step = [first], max(1, min(PARTS - 1, self.travel // max(2 * found, 1)))
+        for start in range(1, PARTS, step):
+            done.append(self._round(docs, f"{name}-{start}", star, range(start, min(PARTS, start + step)))[0])
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
+        out = self.scratch.write(out.distinct(), name)
+        self.scratch.drop(*(f"{name}-{start}" for start in (0, *range(1, PARTS, step))))
+        return out
+
+    def _round(self, docs: DataFrame, name: str, star: bool, parts: range) -> tuple[DataFrame, int]:
+        """The candidates of some parts of the buckets, and how many there were before repeated ones were dropped."""
+        size, t, least, buckets, usual, counts, copied = self.size, self.threshold, self.min_words, self.buckets, self.usual, self.counts, self.copied
+        keyed = docs.mapInArrow(lambda it: _keys(it, size, t, least, buckets, usual, counts, copied, parts), _KEYS)
+        seen = Observation()
+        met = keyed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _tiles(it, t, star), "a bigint, b bigint")
+        met = self.scratch.write(met.observe(seen, F.count(F.lit(1)).alias("n")).distinct(), f"{name}-met")
+        out = self._at_places(met, name, lambda _: self.signs, _possible)
+        self.scratch.drop(f"{name}-met")
+        return out, seen.get["n"]
 
     def _decided(self, candidates: DataFrame, name: str) -> DataFrame:
         """The candidates that reach the threshold."""
-        size, t, least = self.size, self.threshold, self.min_words
+        size, least = self.size, self.min_words
+
+        def sets(low: DataFrame) -> DataFrame:
+            bits = self._filter(low.select(F.pmod(F.xxhash64("a"), F.lit(FILTER_BITS)).alias("slot")))
+            slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")
+            return self.docs.withColumn("slot", slot).mapInArrow(lambda it: _sets(it, size, least, bits), "id bigint, n bigint, blob binary")
+
+        return self._at_places(candidates, name, sets, _reached)
+
+    def _at_places(self, candidates: DataFrame, name: str, blobs: Callable[[DataFrame], DataFrame], test: Callable) -> DataFrame:
+        """The candidates that ``test`` keeps where the ``blobs`` (id, n, blob) of their records meet."""
+        t = self.threshold
         ends = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
         low = ends.select("e.u", "e.v").groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("a"), F.least("u", "v").alias("low"))
         low = self.scratch.write(low, f"{name}-low")
@@ -563,20 +641,11 @@ class NearDuplicates:
         block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
         pairs = candidates.join(low.join(blocks, "low"), "a").select("a", "b", F.xxhash64("low", block("a"), block("b")).alias("place"))
         pairs = self.scratch.write(pairs, f"{name}-placed")
-        slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")
-        seen = low.select(F.pmod(F.xxhash64("a"), F.lit(FILTER_BITS)).alias("slot"))
-        words = seen.groupBy((F.col("slot") / 32768).cast("int").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
-        wanted = bytearray(FILTER_BITS // 8)
-        for row in words.collect():  # FILTER_BITS / 8 bytes in all
-            wanted[row.at * 4096 : row.at * 4096 + len(row.bits)] = row.bits
-        bits = self.spark.sparkContext.broadcast(bytes(wanted))
-        sets = self.docs.withColumn("slot", slot).mapInArrow(lambda it: _sets(it, size, least, bits), "id bigint, n bigint, sign binary, runs binary")
         goes = pairs.select("place", F.explode(F.array("a", "b")).alias("id")).distinct()
-        records = goes.join(sets, "id").select("place", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "sign", "runs")
-        nothing = F.lit(None).cast("binary")
-        both = records.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("bigint").alias("n"), nothing.alias("sign"), nothing.alias("runs")))
+        records = goes.join(blobs(low), "id").select("place", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "blob")
+        both = records.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("blob")))
         placed = both.repartition(partitions(self.spark), "place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
-        out = self.scratch.write(placed.mapInArrow(lambda it: _decide(it, t), "a bigint, b bigint"), name)
+        out = self.scratch.write(placed.mapInArrow(lambda it: _decide(it, t, test), "a bigint, b bigint"), name)
         self.scratch.drop(f"{name}-low", f"{name}-placed")
         return out
 

@@ -12,11 +12,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +51,20 @@ def clear(spark: SparkSession) -> None:
         files.delete(status.getPath(), True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run inside drops its shuffle files at its end; otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Written tables of one operator run; superseded ones are dropped at once."""
 
@@ -59,7 +76,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back; an older table of that name is dropped."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         old = self.paths.get(name)
         self.paths[name] = path
         if old:
